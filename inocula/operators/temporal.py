@@ -94,10 +94,9 @@ def latest_prior(
     on (key, date).
     """
     ev = events.where(F.col(key).isNotNull() & F.col(event_date).isNotNull())
+    fields = list(dict.fromkeys([*pick, *payload]))  # pick order first, each column once
     best = ev.groupBy(F.col(key).alias("_k"), F.col(event_date).alias("_d")).agg(
-        F.min(F.struct(*[F.col(c) for c in pick], *[F.col(c) for c in payload], F.col(event_date).alias("_ed"))).alias(
-            "_best"
-        )
+        F.min(F.struct(*[F.col(c) for c in fields], F.col(event_date).alias("_ed"))).alias("_best")
     )
     days = (
         probes.where(F.col(key).isNotNull() & F.col(probe_date).isNotNull())

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import oracle
 from ..sources.derived import derived_tables
 from . import catalogue as C
+from . import charts as V
+from . import tasks as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,9 +37,28 @@ def queries() -> dict[str, Query]:
         "q7b_symptom_frequency_per_catalogue": _on_derived(C.q7b_symptom_frequency_per_catalogue),
         "q8_symptom_count": _on_derived(C.q8_symptom_count),
     }
+    for mod, names in (
+        (T, [
+            "t1_patient_symptoms", "t2_first_two_doses", "t3_top_symptoms", "t3_top_symptoms_text",
+            "t4_age_groups", "t6_status_share_long", "t6_status_share", "t7a_vaccine_per_diagnosis",
+            "t7b_doses_per_vaccine", "t7c_symptom_vaccine_counts", "t7d_symptom_vaccine_rates",
+            "t7e_symptom_vaccine_words", "t8a_event_attendance", "t8b_dose_reserve",
+            "t9_cumulative_vaccinated", "t10_staff_met", "t10_patients_met", "t10_contacts",
+        ]),
+        (V, [
+            "v2_diagnoses_without_attendance", "v3_staff_vaccinated_by_facility",
+            "v4_doses_per_manufacturer", "v5_patients_per_facility", "v6_symptoms_by_month",
+        ]),
+    ):
+        for n in names:
+            q[n] = _on_derived(getattr(mod, n))
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {k: oracle.with_derived(v) for k, v in oracle.CATALOGUE.items()}
+    out = {
+        k: oracle.with_derived(v)
+        for part in (oracle.CATALOGUE, oracle.TASKS, oracle.CHARTS)
+        for k, v in part.items()
+    }
     return {k: v for k, v in out.items() if k in queries()}
