@@ -11,6 +11,7 @@ from .. import oracle
 from ..sources.derived import derived_tables
 from . import catalogue as C
 from . import charts as V
+from . import raw as R
 from . import tasks as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,7 @@ def queries() -> dict[str, Query]:
     ):
         for n in names:
             q[n] = _on_derived(getattr(mod, n))
+    q.update(R.RUNS)
     return q
 
 
@@ -61,4 +63,5 @@ def oracle_sql() -> dict[str, str]:
         for part in (oracle.CATALOGUE, oracle.TASKS, oracle.CHARTS)
         for k, v in part.items()
     }
+    out.update(oracle.RAW)
     return {k: v for k, v in out.items() if k in queries()}
