@@ -123,7 +123,7 @@ def weekday_number(name: ColumnOrName) -> Column:
 
 def coerce_date(text: ColumnOrName, fmt: str = "yyyy-MM-dd", fill: str | None = REPAIR_DATE) -> Column:
     """Parse text as a date; unreadable (or NULL) -> ``fill`` (NULL if None)."""
-    parsed = F.try_to_date(_c(text).cast("string"), F.lit(fmt))
+    parsed = F.try_to_date(_c(text).cast("string"), fmt)
     return parsed if fill is None else F.coalesce(parsed, F.lit(fill).cast("date"))
 
 

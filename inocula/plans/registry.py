@@ -11,6 +11,7 @@ from .. import oracle
 from ..sources.derived import derived_tables
 from . import catalogue as C
 from . import charts as V
+from . import loading as L
 from . import raw as R
 from . import tasks as T
 
@@ -54,6 +55,7 @@ def queries() -> dict[str, Query]:
         for n in names:
             q[n] = _on_derived(getattr(mod, n))
     q.update(R.RUNS)
+    q.update(L.RUNS)
     return q
 
 
@@ -64,4 +66,7 @@ def oracle_sql() -> dict[str, str]:
         for k, v in part.items()
     }
     out.update(oracle.RAW)
+    out.update(oracle.LOADING)
+    out.update({k: oracle.with_derived(v) for k, v in oracle.LOADING_ON_DERIVED.items()})
+    out["audit_derived_tables"] = oracle.with_derived(oracle._audit_sql())
     return {k: v for k, v in out.items() if k in queries()}

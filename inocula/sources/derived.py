@@ -256,3 +256,42 @@ class DerivedTables:
 def derived_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All twelve campaign tables as lazy DataFrames over ``sf_dir``."""
     return DerivedTables(spark, sf_dir).tables()
+
+
+# ------------------------------------------------------------ raw sheets
+# Two workbook sheets in their raw exported form (text columns, workbook
+# headers, a filler column), derived from the testdata so the cleaning rules
+# run on real volume: the Diagnosis sheet carries impossible calendar dates
+# (day = orderkey mod 31 + 1 of the order's month) and missing dates
+# (orderkey mod 97 = 0); the Shifts sheet carries weekday names, some of them
+# unknown (custkey mod 11 = 0).
+
+
+def raw_diagnosis_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_raw(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = F.concat(
+        F.year("o_orderdate").cast("string"),
+        F.lit("-"),
+        F.lpad(F.month("o_orderdate").cast("string"), 2, "0"),
+        F.lit("-"),
+        F.lpad((k % 31 + 1).cast("string"), 2, "0"),
+    )
+    return o.select(
+        _key("P", "o_custkey").alias("patient"),
+        F.concat(F.col("o_orderpriority"), F.lit("/"), F.col("o_orderstatus")).alias("symptom"),
+        F.when(k % 97 == 0, F.lit(None).cast("string")).otherwise(text).alias("date"),
+        F.lit(None).cast("string").alias("Unnamed: 3"),
+    )
+
+
+def raw_shift_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_raw(spark, sf_dir, "customer").select(
+        "c_custkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("w")
+    )
+    name = F.date_format(F.make_date(F.lit(2024), F.lit(1), F.col("w")), "EEEE")  # 2024-01-01 is a Monday
+    return c.where((F.col("c_custkey") + F.col("w")) % 3 == 0).select(
+        F.lit("station").alias("station"),
+        F.when(F.col("c_custkey") % 11 == 0, F.lit("Someday")).otherwise(name).alias("weekday"),
+        _key("S", "c_custkey").alias("worker"),
+    )
