@@ -17,10 +17,49 @@ from . import tasks as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Reports over the twelve campaign tables: name -> fn(tables) -> DataFrame
+TABLE_REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
+    "q1_staff_on_duty": C.q1_staff_on_duty,
+    "q2_doctors_on_day": C.q2_doctors_on_day,
+    "q3_batch_locations": C.q3_batch_locations,
+    "q4_critical_after": C.q4_critical_after,
+    "q5_vaccination_status": C.q5_vaccination_status,
+    "q6_facility_stock": C.q6_facility_stock,
+    "q7_symptom_frequency": C.q7_symptom_frequency,
+    "q7b_symptom_frequency_per_catalogue": C.q7b_symptom_frequency_per_catalogue,
+    "q8_symptom_count": C.q8_symptom_count,
+    "t1_patient_symptoms": T.t1_patient_symptoms,
+    "t2_first_two_doses": T.t2_first_two_doses,
+    "t3_top_symptoms": T.t3_top_symptoms,
+    "t3_top_symptoms_text": T.t3_top_symptoms_text,
+    "t4_age_groups": T.t4_age_groups,
+    "t6_status_share_long": T.t6_status_share_long,
+    "t6_status_share": T.t6_status_share,
+    "t7a_vaccine_per_diagnosis": T.t7a_vaccine_per_diagnosis,
+    "t7b_doses_per_vaccine": T.t7b_doses_per_vaccine,
+    "t7c_symptom_vaccine_counts": T.t7c_symptom_vaccine_counts,
+    "t7d_symptom_vaccine_rates": T.t7d_symptom_vaccine_rates,
+    "t7e_symptom_vaccine_words": T.t7e_symptom_vaccine_words,
+    "t8a_event_attendance": T.t8a_event_attendance,
+    "t8b_dose_reserve": T.t8b_dose_reserve,
+    "t9_cumulative_vaccinated": T.t9_cumulative_vaccinated,
+    "t10_staff_met": T.t10_staff_met,
+    "t10_patients_met": T.t10_patients_met,
+    "t10_contacts": T.t10_contacts,
+    "v2_diagnoses_without_attendance": V.v2_diagnoses_without_attendance,
+    "v3_staff_vaccinated_by_facility": V.v3_staff_vaccinated_by_facility,
+    "v4_doses_per_manufacturer": V.v4_doses_per_manufacturer,
+    "v5_patients_per_facility": V.v5_patients_per_facility,
+    "v6_symptoms_by_month": V.v6_symptoms_by_month,
+}
 
-def _on_derived(fn, *args) -> Query:
+# Runs that read the raw testdata tables (or sheets derived from them) directly
+SOURCE_RUNS: dict[str, Query] = {**R.RUNS, **L.RUNS}
+
+
+def _on_derived(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(derived_tables(spark, sf_dir), *args)
+        return fn(derived_tables(spark, sf_dir))
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
@@ -28,45 +67,19 @@ def _on_derived(fn, *args) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {
-        "q1_staff_on_duty": _on_derived(C.q1_staff_on_duty),
-        "q2_doctors_on_day": _on_derived(C.q2_doctors_on_day),
-        "q3_batch_locations": _on_derived(C.q3_batch_locations),
-        "q4_critical_after": _on_derived(C.q4_critical_after),
-        "q5_vaccination_status": _on_derived(C.q5_vaccination_status),
-        "q6_facility_stock": _on_derived(C.q6_facility_stock),
-        "q7_symptom_frequency": _on_derived(C.q7_symptom_frequency),
-        "q7b_symptom_frequency_per_catalogue": _on_derived(C.q7b_symptom_frequency_per_catalogue),
-        "q8_symptom_count": _on_derived(C.q8_symptom_count),
-    }
-    for mod, names in (
-        (T, [
-            "t1_patient_symptoms", "t2_first_two_doses", "t3_top_symptoms", "t3_top_symptoms_text",
-            "t4_age_groups", "t6_status_share_long", "t6_status_share", "t7a_vaccine_per_diagnosis",
-            "t7b_doses_per_vaccine", "t7c_symptom_vaccine_counts", "t7d_symptom_vaccine_rates",
-            "t7e_symptom_vaccine_words", "t8a_event_attendance", "t8b_dose_reserve",
-            "t9_cumulative_vaccinated", "t10_staff_met", "t10_patients_met", "t10_contacts",
-        ]),
-        (V, [
-            "v2_diagnoses_without_attendance", "v3_staff_vaccinated_by_facility",
-            "v4_doses_per_manufacturer", "v5_patients_per_facility", "v6_symptoms_by_month",
-        ]),
-    ):
-        for n in names:
-            q[n] = _on_derived(getattr(mod, n))
-    q.update(R.RUNS)
-    q.update(L.RUNS)
+    q: dict[str, Query] = {name: _on_derived(fn) for name, fn in TABLE_REPORTS.items()}
+    q.update(SOURCE_RUNS)
     return q
 
 
 def oracle_sql() -> dict[str, str]:
     out = {
         k: oracle.with_derived(v)
-        for part in (oracle.CATALOGUE, oracle.TASKS, oracle.CHARTS)
+        for part in (oracle.CATALOGUE, oracle.TASKS, oracle.CHARTS, oracle.LOADING_ON_DERIVED)
         for k, v in part.items()
     }
     out.update(oracle.RAW)
     out.update(oracle.LOADING)
-    out.update({k: oracle.with_derived(v) for k, v in oracle.LOADING_ON_DERIVED.items()})
     out["audit_derived_tables"] = oracle.with_derived(oracle._audit_sql())
-    return {k: v for k, v in out.items() if k in queries()}
+    names = queries()
+    return {k: v for k, v in out.items() if k in names}
