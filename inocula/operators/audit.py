@@ -62,18 +62,23 @@ def foreign_key_orphans(
     return child.where(_all_not_null(cc)).join(keys, cond, "left_anti")
 
 
-def check_violations(df: DataFrame, check: Check) -> DataFrame:
-    """Rows whose non-NULL value breaks the CHECK range / value set."""
+def _breaks(check: Check) -> F.Column:
+    """True when a non-NULL value breaks the CHECK range / value set."""
     c = F.col(check.column)
     if check.values is not None:
         ok = c.isin(list(check.values))
     else:
-        ok = None
+        ok = F.lit(True)
         if check.lo is not None:
-            ok = c >= check.lo
+            ok = ok & (c >= check.lo)
         if check.hi is not None:
-            ok = (c <= check.hi) if ok is None else ok & (c <= check.hi)
-    return df.where(c.isNotNull() & ~ok)
+            ok = ok & (c <= check.hi)
+    return c.isNotNull() & ~ok
+
+
+def check_violations(df: DataFrame, check: Check) -> DataFrame:
+    """Rows whose non-NULL value breaks the CHECK range / value set."""
+    return df.where(_breaks(check))
 
 
 def length_violations(df: DataFrame, column: str, max_len: int) -> DataFrame:
@@ -120,20 +125,88 @@ def violations(tables: dict[str, DataFrame], name: str) -> dict[tuple[str, str],
     return out
 
 
+def _row_rules(spec: TableSpec) -> list[tuple[str, str, F.Column]]:
+    """Rules decidable row by row: (kind, detail, "row violates" predicate)."""
+    pk = list(spec.primary_key)
+    out = [("primary_key_null", ",".join(pk), _any_null(pk))]
+    out += [("check", ch.column, _breaks(ch)) for ch in spec.checks]
+    out += [("length", f"{c}<={n}", F.length(F.col(c)) > n) for c, n in spec.max_length.items()]
+    out += [("not_null", c, F.col(c).isNull()) for c in spec.not_null]
+    return out
+
+
+def _orphan_count(child: DataFrame, parent: DataFrame, cols, pcols) -> DataFrame:
+    """Number of child rows whose reference has no parent, as one row.
+
+    The child is first collapsed to one row per distinct reference (partial
+    aggregation absorbs hot keys), and only those keys meet the parent.
+    """
+    cc, pc = list(cols), list(pcols)
+    refs = child.where(_all_not_null(cc)).groupBy(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cc)]).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(pc)])
+    cond = None
+    for i in range(len(cc)):
+        e = refs[f"_c{i}"] == keys[f"_p{i}"]
+        cond = e if cond is None else cond & e
+    return refs.join(keys, cond, "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("violations"))
+
+
+def _dup_count(df: DataFrame, keys) -> DataFrame:
+    return duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("violations"))
+
+
+def _tag(df: DataFrame, table: str, kind: str, detail: str) -> DataFrame:
+    return df.select(
+        F.lit(table).alias("table"), F.lit(kind).alias("rule"), F.lit(detail).alias("detail"), "violations"
+    )
+
+
 def audit_summary(tables: dict[str, DataFrame], names: Sequence[str] | None = None) -> DataFrame:
-    """One row per (table, rule, detail) with the number of violating rows.
+    """One row per (table, rule, detail) with the number of violations.
 
-    Each rule is a count aggregate; the union is one Spark job over all
-    rules (the per-rule scans run as parallel stages).
+    Per table: every row-local rule (NULL key part, CHECK, width, NOT NULL)
+    is one conditional count in a single aggregation pass; each key rule is
+    one grouped aggregate; each foreign key is one anti join over the
+    child's distinct references.  For key rules the count is the number of
+    duplicated key values; for the others, the number of violating rows.
     """
     parts = []
     for name in names or [n for n in TABLES if n in tables]:
-        for (kind, detail), bad in violations(tables, name).items():
-            parts.append(
-                bad.agg(F.count(F.lit(1)).alias("violations")).select(
-                    F.lit(name).alias("table"), F.lit(kind).alias("rule"), F.lit(detail).alias("detail"), "violations"
+        spec, df = TABLES[name], tables[name]
+        rules = _row_rules(spec)
+        agg = df.agg(*[F.count(F.when(pred, 1)).alias(f"_r{i}") for i, (_, _, pred) in enumerate(rules)])
+        rows = agg.select(
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(name).alias("table"),
+                            F.lit(kind).alias("rule"),
+                            F.lit(detail).alias("detail"),
+                            F.col(f"_r{i}").alias("violations"),
+                        )
+                        for i, (kind, detail, _) in enumerate(rules)
+                    ]
+                )
+            ).alias("_x")
+        ).select("_x.*")
+        parts.append(rows)
+        pk = list(spec.primary_key)
+        parts.append(_tag(_dup_count(df, pk), name, "primary_key_duplicate", ",".join(pk)))
+        for u in spec.unique:
+            parts.append(_tag(_dup_count(df, list(u)), name, "unique", ",".join(u)))
+        for fk in spec.foreign_keys:
+            if fk.parent in tables:
+                parts.append(
+                    _tag(
+                        _orphan_count(df, tables[fk.parent], fk.columns, fk.parent_columns),
+                        name,
+                        "foreign_key",
+                        f"{','.join(fk.columns)}->{fk.parent}",
+                    )
                 )
-            )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

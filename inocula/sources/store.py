@@ -7,6 +7,8 @@ job leaves no partial table visible.
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,31 +30,83 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> No
     df.write.mode(mode).parquet(table_path(root, name))
 
 
+def _fs(spark: SparkSession, path: str):
+    """Hadoop FileSystem handle and Path class for ``path`` (any scheme the
+    cluster is configured for: hdfs, s3a, abfs, file, ...)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _publish(spark: SparkSession, staged: str, final: str, mode: str) -> None:
+    """Move a staged table folder into place: replace it (overwrite) or add
+    its data files to it (append).  Renames only -- no data is rewritten."""
+    fs, Path = _fs(spark, staged)
+    src, dst = Path(staged), Path(final)
+    if mode == "overwrite":
+        if fs.exists(dst):
+            fs.delete(dst, True)
+        fs.mkdirs(dst.getParent())
+        if not fs.rename(src, dst):
+            raise OSError(f"could not move {staged} to {final}")
+        return
+    fs.mkdirs(dst)
+    for st in fs.listStatus(src):
+        name = st.getPath().getName()
+        if name.startswith("part-") and not fs.rename(st.getPath(), Path(dst, name)):
+            raise OSError(f"could not move {name} into {final}")
+    fs.delete(src, True)
+
+
 def load_tables(
     tables: dict[str, DataFrame],
     root: str,
     mode: str = "append",
     audit: bool = True,
     ignore: Sequence[str] = (),
+    parallel_writes: int = 4,
 ) -> DataFrame | None:
-    """Write the tables parents-first.  With ``audit`` the declared keys and
-    checks are verified first (one job) and nothing is written when any rule
-    fails: ``AuditFailed`` carries the per-rule counts.  Rule kinds listed in
-    ``ignore`` (e.g. "length") are reported but do not block the load.
-    Returns the audit summary (or None)."""
+    """Load the tables into ``root``: stage, audit, publish.
+
+    Each table is computed once and written to ``<root>/_staging/<run>``.
+    With ``audit`` the declared keys and checks are verified on the staged
+    Parquet -- together with the rows already stored when appending, so a
+    key duplicated across loads is caught -- and nothing is published when
+    a rule fails (``AuditFailed`` names the rules; the staged files stay
+    for inspection).  Rule kinds in ``ignore`` (e.g. "length") are reported
+    but do not block.  Publishing moves the staged files into place,
+    parents before children.  Returns the audit summary (or None).
+    """
+    names = [n for n in LOAD_ORDER if n in tables]
+    if not names:
+        return None
+    spark = tables[names[0]].sparkSession
+    staging = f"{root.rstrip('/')}/_staging/{uuid.uuid4().hex}"
+    # independent jobs: submit them together so small tables overlap
+    with ThreadPoolExecutor(max_workers=min(len(names), parallel_writes)) as pool:
+        list(pool.map(lambda n: write_table(tables[n], staging, n, "overwrite"), names))
     summary = None
     if audit:
-        summary = audit_summary(tables).cache()
+        view = read_tables(spark, staging, names)
+        if mode == "append":
+            fs, Path = _fs(spark, root)
+            for name in names:
+                if fs.exists(Path(table_path(root, name))):
+                    view[name] = read_table(spark, root, name).unionByName(view[name])
+        summary = audit_summary(view)
         bad = summary.where(F.col("violations") > 0)
         if ignore:
             bad = bad.where(~F.col("rule").isin(list(ignore)))
         failing = bad.limit(1000).collect()  # bounded: one row per declared rule
         if failing:
-            summary.unpersist()
-            raise AuditFailed("; ".join(f"{r['table']}.{r['rule']}({r['detail']})={r['violations']}" for r in failing))
-    for name in LOAD_ORDER:
-        if name in tables:
-            write_table(tables[name], root, name, mode)
+            raise AuditFailed(
+                "; ".join(f"{r['table']}.{r['rule']}({r['detail']})={r['violations']}" for r in failing)
+                + f" [staged at {staging}]"
+            )
+    for name in names:
+        _publish(spark, table_path(staging, name), table_path(root, name), mode)
+    fs, Path = _fs(spark, staging)
+    fs.delete(Path(staging), True)
     return summary
 
 

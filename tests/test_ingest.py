@@ -110,6 +110,7 @@ def test_load_refuses_violations_then_round_trips(spark, scratch):
     with pytest.raises(AuditFailed):
         load_tables(t, os.path.join(scratch, "db"))
     assert not os.path.exists(os.path.join(scratch, "db", "vaccine"))
+    assert os.listdir(os.path.join(scratch, "db", "_staging"))  # kept for inspection
     clean = dict(t)
     clean["patient"] = t["patient"].selectExpr("ssno", "name", "birthday", "gender", "least(vaccinationstatus, 2) AS vaccinationstatus")
     clean["shift"] = t["shift"].where("workday IS NOT NULL")
@@ -117,6 +118,15 @@ def test_load_refuses_violations_then_round_trips(spark, scratch):
     back = read_tables(spark, os.path.join(scratch, "db"))
     for name, df in clean.items():
         assert rows_of(back[name]) == rows_of(df), name
+    # appending the same rows again breaks the keys across loads
+    with pytest.raises(AuditFailed, match="primary_key_duplicate"):
+        load_tables({"vaccine": clean["vaccine"]}, os.path.join(scratch, "db"))
+    more = spark.createDataFrame([("V02", "Beta", 1, -20, -10)], clean["vaccine"].schema)
+    load_tables({"vaccine": more}, os.path.join(scratch, "db"))
+    assert rows_of(read_tables(spark, os.path.join(scratch, "db"), ["vaccine"])["vaccine"]) == [
+        ("V01", "Alpha", 2, -80, -60),
+        ("V02", "Beta", 1, -20, -10),
+    ]
 
 
 def test_row_index_is_contiguous_across_partitions(spark):
