@@ -47,9 +47,13 @@ def count_prior_pairs(
     p = pr.groupBy(F.col(key).alias("_k"), F.col(probe_label).alias("_pl"), F.col(probe_date).alias("_d")).agg(
         F.count(F.lit(1)).alias("_np")
     )
-    # 2. probe dates, one per (key, event label present for that key, date)
-    labels = e.select("_k", "_el").distinct()
-    probe_days = p.select("_k", "_d").distinct().join(labels, "_k")
+    # 2. probe dates, one per (key, event label present for that key, date).
+    # Derived from the collapsed sides with a real aggregate (a bare
+    # distinct would be rewritten into a second aggregation of the source);
+    # this way the sources are scanned once and their exchange is reused.
+    labels = e.groupBy("_k", "_el").agg(F.sum("_ne").alias("_x")).where(F.col("_x") > 0).drop("_x")
+    days = p.groupBy("_k", "_d").agg(F.sum("_np").alias("_x")).where(F.col("_x") > 0).drop("_x")
+    probe_days = days.join(labels, "_k")
     # 3. running count of events per (key, event label) as of each probe date
     u = e.select("_k", "_el", "_d", F.lit(0).alias(_KIND), "_ne").unionByName(
         probe_days.select("_k", "_el", "_d", F.lit(1).alias(_KIND), F.lit(0).cast("bigint").alias("_ne"))
