@@ -2,12 +2,12 @@
 
 from .scalars import (
     AGE_BANDS,
-    MONTH_NAMES,
     WEEKDAY_NUMBERS,
     age_band,
     age_years,
     coerce_date,
     criticality_label,
+    format_day,
     iso_weekday,
     month_name,
     rate_words,
@@ -19,12 +19,12 @@ from .scalars import (
 
 __all__ = [
     "AGE_BANDS",
-    "MONTH_NAMES",
     "WEEKDAY_NUMBERS",
     "age_band",
     "age_years",
     "coerce_date",
     "criticality_label",
+    "format_day",
     "iso_weekday",
     "month_name",
     "rate_words",

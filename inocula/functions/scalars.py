@@ -48,21 +48,6 @@ WEEKDAY_NUMBERS: dict[str, int] = {
     "Sunday": 7,
 }
 
-MONTH_NAMES: tuple[str, ...] = (
-    "January",
-    "February",
-    "March",
-    "April",
-    "May",
-    "June",
-    "July",
-    "August",
-    "September",
-    "October",
-    "November",
-    "December",
-)
-
 # Rate words and their lower bounds, checked top to bottom;
 # a rate above 0 that meets none is 'rare', zero or unknown is '-'.
 RATE_WORDS: tuple[tuple[float, str], ...] = ((0.1, "very common"), (0.05, "common"))
@@ -127,6 +112,11 @@ def coerce_date(text: ColumnOrName, fmt: str = "yyyy-MM-dd", fill: str | None =
     return parsed if fill is None else F.coalesce(parsed, F.lit(fill).cast("date"))
 
 
+def format_day(d: ColumnOrName) -> Column:
+    """A date as 'yyyy-MM-dd' text."""
+    return F.date_format(_c(d), "yyyy-MM-dd")
+
+
 def month_name(d: ColumnOrName) -> Column:
     """English month name of a date."""
     return F.date_format(_c(d), "MMMM")

@@ -103,6 +103,18 @@ def q5_vaccination_status(t: Tables) -> DataFrame:
     return j.select("ssno", "name", "birthday", "gender", flag.alias("vaccinationstatus"))
 
 
+VACCINATION_STATUS_VIEW = "vaccination_status_view"
+
+
+def register_vaccination_status_view(t: Tables, name: str = VACCINATION_STATUS_VIEW) -> DataFrame:
+    """Register Q5 as a named view (``SELECT * FROM vaccination_status_view``
+    then works in ``spark.sql``) and return it.  A temp view is a named
+    logical plan: every read re-plans it against the current tables."""
+    df = q5_vaccination_status(t)
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def q6_facility_stock(t: Tables) -> DataFrame:
     """Per facility: doses in its batches and number of vaccine types.
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import age_band, age_years, rate_words, round_half_even, same_weekday, sentence
+from ..functions import age_band, age_years, format_day, rate_words, round_half_even, same_weekday, sentence
 from ..functions.scalars import AGE_BAND_LABELS
 from ..operators import (
     add_std,
@@ -202,12 +202,18 @@ def t8b_dose_reserve(t: Tables) -> DataFrame:
 
 
 def t9_cumulative_vaccinated(t: Tables) -> DataFrame:
-    """Vaccinated per event date and running total: date, total_vaccinated,
-    cumulative.  Aggregated per date before the (global) running sum."""
+    """Vaccinated per event date and running total, in date order: date,
+    day ('yyyy-MM-dd' text, the chart's axis), total_vaccinated, cumulative.
+    Aggregated per date before the (global) running sum, so the single
+    ordered partition holds one row per calendar day."""
     v = t["vaccination"].select(*EVENT_KEY)
     a = t["attends"].select(*EVENT_KEY, "ssno")
     per_day = v.join(a, EVENT_KEY).groupBy("date").agg(F.count("ssno").alias("total_vaccinated"))
-    return running_total(per_day, "date", "total_vaccinated", "cumulative")
+    return (
+        running_total(per_day, "date", "total_vaccinated", "cumulative")
+        .select("date", format_day("date").alias("day"), "total_vaccinated", "cumulative")
+        .orderBy("date")
+    )
 
 
 # ------------------------------------------------------------------ T10

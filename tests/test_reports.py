@@ -146,7 +146,7 @@ def test_t9_running_total_ends_at_attendance_count(spark):
     r = base_rows()
     r["attends"] = [(d("2021-05-03"), "H1", "P1"), (d("2021-05-03"), "H2", "P2"), (d("2021-05-10"), "H1", "P3")]
     got = rows_of(T.t9_cumulative_vaccinated(make_tables(spark, **r)))
-    assert got == [(d("2021-05-03"), 2, 2), (d("2021-05-10"), 1, 3)]
+    assert got == [(d("2021-05-03"), "2021-05-03", 2, 2), (d("2021-05-10"), "2021-05-10", 1, 3)]
 
 
 def test_t10_range_exclusive_and_weekday(spark):
@@ -192,3 +192,13 @@ def test_v2_v3_v4_v5_v6(spark):
     assert v4[0] == (None, "M3") and v4[1:] == [(20, "M2"), (10, "M1")]
     assert rows_of(V.v5_patients_per_facility(t)) == [("H1", 1, 100.0)]
     assert rows_of(V.v6_symptoms_by_month(t)) == [(1, "January", "Critical", 2), (7, "July", "Non-Critical", 1)]
+
+
+def test_q5_as_named_view(spark):
+    r = base_rows()
+    r["patient"] = [("P1", "a", None, "F", 0)]
+    r["attends"] = [(d("2021-05-03"), "H1", "P1")]
+    C.register_vaccination_status_view(make_tables(spark, **r))
+    got = rows_of(spark.sql("SELECT ssno, vaccinationstatus FROM vaccination_status_view"))
+    assert got == [("P1", 1)]
+    assert rows_of(spark.table("vaccination_status_view").select("ssno")) == [("P1",)]
