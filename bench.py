@@ -5,6 +5,8 @@
     BENCH_REPEAT   runs per query, best kept (default 2)
     BENCH_ONLY     comma-separated query names (default: all)
     BENCH_EVENTLOG 1 -> write Spark's event log into the scratch folder
+    BENCH_SHUFFLE_PARTITIONS  initial shuffle partitions (default 2 x cpus;
+                   AQE coalesces small ones at runtime)
 
 Phases, each timed:
   ingest   derive the twelve campaign tables from the testdata, audit keys
@@ -56,7 +58,7 @@ def main() -> None:
         os.makedirs(f"{scratch}/events", exist_ok=True)
         extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{scratch}/events"}
     spark = build_session(
-        app="inocula-bench", cpus=cpus, shuffle_partitions=max(8, 2 * cpus), driver_memory="16g", extra=extra
+        app="inocula-bench", cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * cpus))), driver_memory="16g", extra=extra
     )
 
     # warm the JVM (class loading, codegen caches) on an untimed scan
