@@ -25,6 +25,7 @@ from .core import (
     semi_on,
     share_of_group,
     top_n_per_group,
+    union_all,
     with_scalar,
 )
 from .temporal import count_prior_pairs, latest_prior
@@ -53,6 +54,7 @@ __all__ = [
     "semi_on",
     "share_of_group",
     "top_n_per_group",
+    "union_all",
     "violations",
     "with_scalar",
 ]

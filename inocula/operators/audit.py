@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TABLES, Check, TableSpec
+from .core import union_all
 
 
 def _any_null(cols: Sequence[str]):
@@ -135,11 +136,11 @@ def _row_rules(spec: TableSpec) -> list[tuple[str, str, F.Column]]:
     return out
 
 
-def _orphan_count(child: DataFrame, parent: DataFrame, cols, pcols) -> DataFrame:
-    """Number of child rows whose reference has no parent, as one row.
+def _orphan_rows(child: DataFrame, parent: DataFrame, cols, pcols) -> DataFrame:
+    """Distinct orphan references of the child with their row counts (``_n``).
 
     The child is first collapsed to one row per distinct reference (partial
-    aggregation absorbs hot keys), and only those keys meet the parent.
+    aggregation absorbs hot keys); only those keys meet the parent.
     """
     cc, pc = list(cols), list(pcols)
     refs = child.where(_all_not_null(cc)).groupBy(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cc)]).agg(
@@ -150,64 +151,62 @@ def _orphan_count(child: DataFrame, parent: DataFrame, cols, pcols) -> DataFrame
     for i in range(len(cc)):
         e = refs[f"_c{i}"] == keys[f"_p{i}"]
         cond = e if cond is None else cond & e
-    return refs.join(keys, cond, "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("violations"))
+    return refs.join(keys, cond, "left_anti")
 
 
-def _dup_count(df: DataFrame, keys) -> DataFrame:
-    return duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("violations"))
+_TAG = ("table", "rule", "detail")
 
 
-def _tag(df: DataFrame, table: str, kind: str, detail: str) -> DataFrame:
-    return df.select(
-        F.lit(table).alias("table"), F.lit(kind).alias("rule"), F.lit(detail).alias("detail"), "violations"
-    )
+def _tagged(df: DataFrame, table: str, kind: str, detail: str, n) -> DataFrame:
+    return df.select(F.lit(table).alias("table"), F.lit(kind).alias("rule"), F.lit(detail).alias("detail"), n.alias("_v"))
 
 
 def audit_summary(tables: dict[str, DataFrame], names: Sequence[str] | None = None) -> DataFrame:
     """One row per (table, rule, detail) with the number of violations.
 
-    Per table: every row-local rule (NULL key part, CHECK, width, NOT NULL)
-    is one conditional count in a single aggregation pass; each key rule is
-    one grouped aggregate; each foreign key is one anti join over the
-    child's distinct references.  For key rules the count is the number of
-    duplicated key values; for the others, the number of violating rows.
+    All rules feed one final aggregate: row-local rules (NULL key part,
+    CHECK, width, NOT NULL) emit a tagged row only for a violating row; each
+    key rule emits one row per duplicated key value (one grouped aggregate);
+    each foreign key emits its orphan references with their row counts (one
+    anti join over distinct references).  The tagged rows are summed per
+    rule in a single shuffle and laid over the list of declared rules, so a
+    rule without violations reads 0.  Key rules count duplicated key values;
+    the others count violating rows.
     """
-    parts = []
+    spark = None
+    parts: list[DataFrame] = []
+    declared: list[tuple[str, str, str]] = []
     for name in names or [n for n in TABLES if n in tables]:
         spec, df = TABLES[name], tables[name]
+        spark = spark or df.sparkSession
         rules = _row_rules(spec)
-        agg = df.agg(*[F.count(F.when(pred, 1)).alias(f"_r{i}") for i, (_, _, pred) in enumerate(rules)])
-        rows = agg.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(name).alias("table"),
-                            F.lit(kind).alias("rule"),
-                            F.lit(detail).alias("detail"),
-                            F.col(f"_r{i}").alias("violations"),
-                        )
-                        for i, (kind, detail, _) in enumerate(rules)
-                    ]
-                )
-            ).alias("_x")
-        ).select("_x.*")
-        parts.append(rows)
-        pk = list(spec.primary_key)
-        parts.append(_tag(_dup_count(df, pk), name, "primary_key_duplicate", ",".join(pk)))
-        for u in spec.unique:
-            parts.append(_tag(_dup_count(df, list(u)), name, "unique", ",".join(u)))
+        declared += [(name, kind, detail) for kind, detail, _ in rules]
+        hits = F.filter(
+            F.array(
+                *[
+                    F.struct(F.lit(kind).alias("rule"), F.lit(detail).alias("detail"), pred.alias("hit"))
+                    for kind, detail, pred in rules
+                ]
+            ),
+            lambda r: F.coalesce(r["hit"], F.lit(False)),
+        )
+        local = df.select(F.explode(hits).alias("_x"))
+        parts.append(local.select(F.lit(name).alias("table"), "_x.rule", "_x.detail", F.lit(1).cast("bigint").alias("_v")))
+        key_rules = [("primary_key_duplicate", list(spec.primary_key))] + [("unique", list(u)) for u in spec.unique]
+        for kind, keys in key_rules:
+            declared.append((name, kind, ",".join(keys)))
+            parts.append(_tagged(duplicate_keys(df, keys), name, kind, ",".join(keys), F.lit(1).cast("bigint")))
         for fk in spec.foreign_keys:
             if fk.parent in tables:
-                parts.append(
-                    _tag(
-                        _orphan_count(df, tables[fk.parent], fk.columns, fk.parent_columns),
-                        name,
-                        "foreign_key",
-                        f"{','.join(fk.columns)}->{fk.parent}",
-                    )
-                )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                detail = f"{','.join(fk.columns)}->{fk.parent}"
+                declared.append((name, "foreign_key", detail))
+                orphans = _orphan_rows(df, tables[fk.parent], fk.columns, fk.parent_columns)
+                parts.append(_tagged(orphans, name, "foreign_key", detail, F.col("_n").cast("bigint")))
+    found = union_all(parts).groupBy(*_TAG).agg(F.sum("_v").alias("_found"))
+    # the declared rules are metadata (a few rows per table), not data
+    rules_df = spark.createDataFrame(declared, "table string, rule string, detail string")
+    return (
+        F.broadcast(rules_df)
+        .join(found, list(_TAG), "left")
+        .select(*_TAG, F.coalesce(F.col("_found"), F.lit(0)).cast("bigint").alias("violations"))
+    )

@@ -175,6 +175,21 @@ def add_std(df: DataFrame, value_col: str, alias: str) -> DataFrame:
     return with_scalar(df, sd).withColumn(alias, F.col(value_col) + F.col("_sd")).drop("_sd")
 
 
+def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
+    """UNION ALL of frames with the same columns, combined as a balanced
+    tree: a left-deep chain of n unions re-analyses the growing plan n
+    times; the tree keeps driver-side planning near n log n."""
+    parts = list(dfs)
+    if not parts:
+        raise ValueError("union_all needs at least one frame")
+    while len(parts) > 1:
+        nxt = [parts[i].unionByName(parts[i + 1]) for i in range(0, len(parts) - 1, 2)]
+        if len(parts) % 2:
+            nxt.append(parts[-1])
+        parts = nxt
+    return parts[0]
+
+
 def count_rows(df: DataFrame, alias: str = "count") -> DataFrame:
     """``COUNT(*)`` of a whole frame as a one-row frame (bigint)."""
     return df.agg(F.count(F.lit(1)).alias(alias))

@@ -250,7 +250,44 @@ class DerivedTables:
         )
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name)() for name in TABLES}
+        return LazyTables({name: getattr(self, name) for name in TABLES})
+
+
+class LazyTables(dict):
+    """A table dict whose DataFrames are built on first access.
+
+    Building a DataFrame analyses its plan on the driver; a report that
+    reads three tables should not pay for building all twelve.
+    """
+
+    def __init__(self, builders):
+        super().__init__()
+        self._builders = dict(builders)
+
+    def __missing__(self, name):
+        if name not in self._builders:
+            raise KeyError(name)
+        df = self._builders[name]()
+        self[name] = df
+        return df
+
+    def __contains__(self, name):
+        return name in self._builders
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self):
+        return len(self._builders)
+
+    def keys(self):
+        return self._builders.keys()
+
+    def items(self):
+        return [(n, self[n]) for n in self._builders]
+
+    def values(self):
+        return [self[n] for n in self._builders]
 
 
 def derived_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
