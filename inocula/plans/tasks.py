@@ -246,10 +246,11 @@ def t10_staff_met(t: Tables, p: Params = TESTDATA) -> DataFrame:
         .distinct()
     )
     events = v.join(keys, EVENT_KEY)  # vaccination rows in the key set, with their weekday
-    staff_shifts = (
-        t["staff"].select("ssno", "name", "healthcarefacilityname")
-        .join(t["shift"].select("ssno", "workday"), "ssno")
-        .join(hf, F.col("healthcarefacilityname") == F.col("_hn"))
+    # only staff of the key set's facilities can match: cut staff down with a
+    # semi join against that tiny set before meeting the shift table
+    staff = semi_on(t["staff"].select("ssno", "name", "healthcarefacilityname"), keys, ["healthcarefacilityname"])
+    staff_shifts = staff.join(t["shift"].select("ssno", "workday"), "ssno").join(
+        hf, F.col("healthcarefacilityname") == F.col("_hn")
     )
     return staff_shifts.join(events, ["healthcarefacilityname", "workday"]).select("ssno", "name")
 
