@@ -26,8 +26,15 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
-    df.write.mode(mode).parquet(table_path(root, name))
+def write_table(
+    df: DataFrame, root: str, name: str, mode: str = "append", partition_by: Sequence[str] | None = None
+) -> None:
+    """Write one table folder.  With ``partition_by`` (e.g. ``["date"]`` for
+    the dated fact tables) rows are clustered by those columns first, so each
+    partition directory gets few files, and filters on them prune whole
+    directories when the table is read."""
+    w = df.repartition(*partition_by).write.partitionBy(*partition_by) if partition_by else df.write
+    w.mode(mode).parquet(table_path(root, name))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -38,6 +45,17 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def _move_files(fs, Path, src, dst) -> None:
+    """Move data files from ``src`` into ``dst``, keeping partition folders."""
+    fs.mkdirs(dst)
+    for st in fs.listStatus(src):
+        name = st.getPath().getName()
+        if st.isDirectory() and "=" in name:
+            _move_files(fs, Path, st.getPath(), Path(dst, name))
+        elif name.startswith("part-") and not fs.rename(st.getPath(), Path(dst, name)):
+            raise OSError(f"could not move {st.getPath()} into {dst}")
+
+
 def _publish(spark: SparkSession, staged: str, final: str, mode: str) -> None:
     """Move a staged table folder into place: replace it (overwrite) or add
     its data files to it (append).  Renames only -- no data is rewritten."""
@@ -50,11 +68,7 @@ def _publish(spark: SparkSession, staged: str, final: str, mode: str) -> None:
         if not fs.rename(src, dst):
             raise OSError(f"could not move {staged} to {final}")
         return
-    fs.mkdirs(dst)
-    for st in fs.listStatus(src):
-        name = st.getPath().getName()
-        if name.startswith("part-") and not fs.rename(st.getPath(), Path(dst, name)):
-            raise OSError(f"could not move {name} into {final}")
+    _move_files(fs, Path, src, dst)
     fs.delete(src, True)
 
 
@@ -65,6 +79,7 @@ def load_tables(
     audit: bool = True,
     ignore: Sequence[str] = (),
     parallel_writes: int = 4,
+    partition_by: dict[str, Sequence[str]] | None = None,
 ) -> DataFrame | None:
     """Load the tables into ``root``: stage, audit, publish.
 
@@ -74,8 +89,10 @@ def load_tables(
     key duplicated across loads is caught -- and nothing is published when
     a rule fails (``AuditFailed`` names the rules; the staged files stay
     for inspection).  Rule kinds in ``ignore`` (e.g. "length") are reported
-    but do not block.  Publishing moves the staged files into place,
-    parents before children.  Returns the audit summary (or None).
+    but do not block.  ``partition_by`` maps table -> partition columns
+    (e.g. ``{"diagnosis": ["date"], "attends": ["date"]}``; use the same
+    columns on every load of a table).  Publishing moves the staged files
+    into place, parents before children.  Returns the audit summary (or None).
     """
     names = [n for n in LOAD_ORDER if n in tables]
     if not names:
@@ -84,7 +101,11 @@ def load_tables(
     staging = f"{root.rstrip('/')}/_staging/{uuid.uuid4().hex}"
     # independent jobs: submit them together so small tables overlap
     with ThreadPoolExecutor(max_workers=min(len(names), parallel_writes)) as pool:
-        list(pool.map(lambda n: write_table(tables[n], staging, n, "overwrite"), names))
+        list(
+            pool.map(
+                lambda n: write_table(tables[n], staging, n, "overwrite", (partition_by or {}).get(n)), names
+            )
+        )
     summary = None
     if audit:
         view = read_tables(spark, staging, names)
@@ -111,7 +132,10 @@ def load_tables(
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name].schema).parquet(table_path(root, name))
+    """A stored table with its declared schema and column order (partition
+    columns, which Parquet keeps in folder names, are put back in place)."""
+    schema = TABLES[name].schema
+    return spark.read.schema(schema).parquet(table_path(root, name)).select(*schema.fieldNames())
 
 
 def read_tables(spark: SparkSession, root: str, names: Sequence[str] = LOAD_ORDER) -> dict[str, DataFrame]:

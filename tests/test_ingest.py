@@ -160,3 +160,28 @@ def test_streaming_append_is_exactly_once(spark, scratch):
 def test_clean_sheet_missing_column_is_null(spark):
     df = spark.createDataFrame([("fever",)], "name string")
     assert rows_of(clean_sheet("Symptoms", df)) == [("fever", None)]
+
+
+def test_date_partitioned_fact_table_prunes(spark, scratch):
+    from conftest import base_rows, make_tables
+    from inocula.plans.catalogue import q4_critical_after
+    from inocula.plans.params import Params
+
+    r = base_rows()
+    r["patient"] = [("P1", "a", None, "F", 0)]
+    r["diagnosis"] = [("P1", "rash", d("2021-05-09")), ("P1", "rash", d("2021-05-11")), ("P1", "fever", d("2021-05-12"))]
+    t = make_tables(spark, **r)
+    db = os.path.join(scratch, "db")
+    parts = {"diagnosis": ["date"], "vaccination": ["date"]}
+    load_tables(t, db, mode="overwrite", audit=True, ignore=(), partition_by=parts)
+    # a second append of new days lands in new partition folders
+    more = spark.createDataFrame([("P1", "fever", d("2021-05-13"))], t["diagnosis"].schema)
+    load_tables({"diagnosis": more, "patient": spark.createDataFrame([], t["patient"].schema)}, db, partition_by=parts)
+    back = read_tables(spark, db)
+    assert back["diagnosis"].columns == ["ssno", "symptom", "date"]
+    assert len(back["diagnosis"].collect()) == 4
+    assert any(n.startswith("date=2021-05-13") for n in os.listdir(os.path.join(db, "diagnosis")))
+    q4 = q4_critical_after(back, Params(diagnosed_after="2021-05-10"))
+    assert rows_of(q4.select("date")) == [(d("2021-05-11"),)]
+    plan = q4._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
