@@ -55,8 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only when none is set.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that value
-    wins.  Only when neither the context nor the conf has one (local tests) do
-    we create a private scratch folder.
+    wins.  Only a local-mode session (tests, bench) with none set gets a
+    private scratch folder; a cluster session without one is an error, since
+    a machine-local folder would not survive the loss of that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -66,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store)")
         conf_dir = tempfile.mkdtemp(prefix="inocula-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
