@@ -16,13 +16,23 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import ensure_checkpoint_dir
 from ..sources.store import table_path
 from ..sources.workbook import SHEET_TABLE, clean_sheet, sheet_path
 
 APPENDABLE = tuple(s for s, t in SHEET_TABLE.items() if t != "patient")
 
 
+def _stream_checkpoint(spark: SparkSession, table: str) -> str:
+    """``<spark.checkpoint.dir>/streams/<table>``: a stable path, so a
+    restarted application resumes where the last run stopped.  (The
+    context's own checkpoint folder has a per-application suffix and would
+    make a restart re-read every file.)"""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("pass checkpoint= or set spark.checkpoint.dir to a shared folder")
+    return f"{base.rstrip('/')}/streams/{table}"
+
+
 def sheet_stream(
     spark: SparkSession,
     export_root: str,
@@ -37,7 +47,8 @@ def sheet_stream(
     ``header`` is the sheet's column list as exported (a file stream needs
     its schema up front; every column is read as text).  With
     ``available_now`` the query processes the files present and stops
-    (scheduled runs); otherwise it keeps watching the folder.
+    (scheduled runs); otherwise it keeps watching the folder.  The
+    checkpoint defaults to ``<spark.checkpoint.dir>/streams/<table>``.
     """
     if sheet not in APPENDABLE:
         raise ValueError(f"{sheet}: not an append-only sheet")
@@ -50,7 +61,7 @@ def sheet_stream(
         .csv(sheet_path(export_root, sheet))
     )
     table = SHEET_TABLE[sheet]
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{table}"
+    ckpt = checkpoint or _stream_checkpoint(spark, table)
     w = (
         clean_sheet(sheet, src)
         .writeStream.format("parquet")
