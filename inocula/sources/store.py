@@ -26,6 +26,13 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def incoming_path(root: str, name: str) -> str:
+    """Where a stream appends to a table.  A streaming file sink keeps a
+    commit log in its folder and readers of that folder see only logged
+    files, so streamed rows live beside the published folder, not in it."""
+    return f"{root.rstrip('/')}/_incoming/{name}"
+
+
 def write_table(
     df: DataFrame, root: str, name: str, mode: str = "append", partition_by: Sequence[str] | None = None
 ) -> None:
@@ -133,9 +140,15 @@ def load_tables(
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table with its declared schema and column order (partition
-    columns, which Parquet keeps in folder names, are put back in place)."""
+    columns, which Parquet keeps in folder names, are put back in place):
+    the published folder plus any rows a stream has appended."""
     schema = TABLES[name].schema
-    return spark.read.schema(schema).parquet(table_path(root, name)).select(*schema.fieldNames())
+    fs, Path = _fs(spark, root)
+    paths = [p for p in (table_path(root, name), incoming_path(root, name)) if fs.exists(Path(p))]
+    if not paths:
+        raise FileNotFoundError(f"no stored table {name} under {root}")
+    parts = [spark.read.schema(schema).parquet(p).select(*schema.fieldNames()) for p in paths]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def read_tables(spark: SparkSession, root: str, names: Sequence[str] = LOAD_ORDER) -> dict[str, DataFrame]:

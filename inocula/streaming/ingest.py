@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import table_path
+from ..sources.store import incoming_path
 from ..sources.workbook import SHEET_TABLE, clean_sheet, sheet_path
 
 APPENDABLE = tuple(s for s, t in SHEET_TABLE.items() if t != "patient")
@@ -42,7 +42,8 @@ def sheet_stream(
     checkpoint: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start appending cleaned rows of ``sheet`` exports to its table.
+    """Start appending cleaned rows of ``sheet`` exports to its table
+    (under ``<table_root>/_incoming/<table>``; ``read_table`` includes them).
 
     ``header`` is the sheet's column list as exported (a file stream needs
     its schema up front; every column is read as text).  With
@@ -67,7 +68,7 @@ def sheet_stream(
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", ckpt)
-        .option("path", table_path(table_root, table))
+        .option("path", incoming_path(table_root, table))
     )
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

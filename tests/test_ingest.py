@@ -151,8 +151,12 @@ def test_streaming_append_is_exactly_once(spark, scratch):
         w.writerow(["H1", "Sunday", "S2"])
     q = sheet_stream(spark, root, "Shifts", header, db, checkpoint=ckpt)
     q.awaitTermination(120)
-    got = rows_of(spark.read.parquet(os.path.join(db, "shift")))
+    got = rows_of(read_tables(spark, db, ["shift"])["shift"])
     assert got == [(1, "S1"), (7, "S2"), (None, "S1")]
+    # a batch load into the same table stays visible next to the streamed rows
+    load_tables({"shift": spark.createDataFrame([(3, "S3")], "workday int, ssno string")}, db, audit=False)
+    got = rows_of(read_tables(spark, db, ["shift"])["shift"])
+    assert got == [(1, "S1"), (3, "S3"), (7, "S2"), (None, "S1")]
     with pytest.raises(ValueError):
         sheet_stream(spark, root, "Patients", ["ssNo"], db)
 
