@@ -29,6 +29,7 @@ TABLE_REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
     "q7b_symptom_frequency_per_catalogue": C.q7b_symptom_frequency_per_catalogue,
     "q8_symptom_count": C.q8_symptom_count,
     "t1_patient_symptoms": T.t1_patient_symptoms,
+    "t1_patient_symptoms_indexed": T.t1_patient_symptoms_indexed,
     "t2_first_two_doses": T.t2_first_two_doses,
     "t3_top_symptoms": T.t3_top_symptoms,
     "t3_top_symptoms_text": T.t3_top_symptoms_text,

@@ -23,6 +23,7 @@ from ..operators import (
     top_n_per_group,
     with_scalar,
 )
+from ..sources.store import with_row_index
 from .builders import EVENT_KEY, Tables, doses
 from .params import TESTDATA, Params
 
@@ -54,6 +55,12 @@ def t1_patient_symptoms(t: Tables) -> DataFrame:
     )
 
 
+def t1_patient_symptoms_indexed(t: Tables) -> DataFrame:
+    """T1 as persisted by the source: with a 0-based ``index`` column, here
+    the row's rank in (ssNO, symptom, diagnosisDate) order."""
+    return with_row_index(t1_patient_symptoms(t), "index", order_by=["ssNO", "symptom", "diagnosisDate"])
+
+
 def t2_first_two_doses(t: Tables) -> DataFrame:
     """Per patient the first two doses (date, vaccine name); all patients,
     NULLs when fewer doses.  Same-day doses are ordered by facility, then

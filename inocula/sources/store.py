@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.audit import audit_summary
 from ..schema import LOAD_ORDER, TABLES
+from ..session import ensure_checkpoint_dir
 
 
 class AuditFailed(ValueError):
@@ -163,16 +164,20 @@ def register_views(tables: dict[str, DataFrame], extra: dict[str, DataFrame] | N
         df.createOrReplaceTempView(name)
 
 
-def with_row_index(df: DataFrame, name: str = "index") -> DataFrame:
+def with_row_index(df: DataFrame, name: str = "index", order_by: Sequence[str] | None = None) -> DataFrame:
     """Add a 0-based, gap-free row index without moving rows to one task.
 
+    With ``order_by`` the rows are first sorted (a range-partitioned,
+    distributed sort), so the index is the row's rank in that order.
     ``monotonically_increasing_id`` numbers rows inside each partition
     (partition id in the upper bits); a per-partition count -- one row per
     partition, so a bounded broadcast -- turns that into global offsets.  The
-    frame is checkpointed first (to the session's shared checkpoint folder)
-    so both passes see the same partitioning.
+    numbered frame is checkpointed first (to the session's shared checkpoint
+    folder) so both passes see the same rows in the same partitions.
     """
-    base = df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    ensure_checkpoint_dir(df.sparkSession)
+    src = df.orderBy(*order_by) if order_by else df
+    base = src.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), 33)
     counts = base.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -187,6 +192,8 @@ def with_row_index(df: DataFrame, name: str = "index") -> DataFrame:
     )
 
 
-def write_indexed(df: DataFrame, path: str, mode: str = "overwrite", index: str = "index") -> None:
+def write_indexed(
+    df: DataFrame, path: str, mode: str = "overwrite", index: str = "index", order_by: Sequence[str] | None = None
+) -> None:
     """Overwrite ``path`` with the frame plus a 0-based ``index`` column."""
-    with_row_index(df, index).write.mode(mode).parquet(path)
+    with_row_index(df, index, order_by).write.mode(mode).parquet(path)
