@@ -29,6 +29,28 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of Parquet.
+
+    Shuffles start with about one partition per 128 MB of input (at least
+    twice the cores) and AQE coalesces them to the 64 MB advisory size or
+    splits skewed ones at runtime; scans read up to 256 MB per task.  The
+    checkpoint folder is the cluster's shared one and is not set here.
+    """
+    cores = executors * cores_per_executor
+    partitions = max(2 * cores, input_bytes // (128 * 1024 * 1024))
+    return {
+        **DEFAULT_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    }
+
+
 def build_session(
     app: str = "inocula",
     cpus: int | str = "*",
