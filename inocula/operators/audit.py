@@ -91,17 +91,6 @@ def not_null_violations(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNull())
 
 
-def rules_of(spec: TableSpec) -> list[tuple[str, str]]:
-    """(rule kind, detail) pairs declared for a table."""
-    out = [("primary_key_duplicate", ",".join(spec.primary_key)), ("primary_key_null", ",".join(spec.primary_key))]
-    out += [("foreign_key", f"{','.join(fk.columns)}->{fk.parent}") for fk in spec.foreign_keys]
-    out += [("check", ch.column) for ch in spec.checks]
-    out += [("length", f"{c}<={n}") for c, n in spec.max_length.items()]
-    out += [("not_null", c) for c in spec.not_null]
-    out += [("unique", ",".join(u)) for u in spec.unique]
-    return out
-
-
 def violations(tables: dict[str, DataFrame], name: str) -> dict[tuple[str, str], DataFrame]:
     """Every declared rule of table ``name`` -> its violating rows."""
     spec = TABLES[name]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import count_prior_pairs, count_rows, latest_per_key, share_of_group, with_scalar
-from .builders import EVENT_KEY, Tables, doses
+from .builders import Tables, doses
 from .params import TESTDATA, Params
 
 
@@ -177,7 +177,6 @@ def q8_symptom_count(t: Tables) -> DataFrame:
 
 
 __all__ = [
-    "EVENT_KEY",
     "q1_staff_on_duty",
     "q2_doctors_on_day",
     "q3_batch_locations",
