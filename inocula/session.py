@@ -73,7 +73,7 @@ def build_session(
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the shared checkpoint folder, setting one only when none is set.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that value
@@ -81,7 +81,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     private scratch folder; a cluster session without one is an error, since
     a machine-local folder would not survive the loss of that machine.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session: the server owns the folder
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
