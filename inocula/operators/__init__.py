@@ -13,6 +13,7 @@ from .audit import (
 from .core import (
     add_std,
     count_rows,
+    count_std,
     crosstab,
     drop_null_keys,
     first_n_wide,
@@ -36,6 +37,7 @@ __all__ = [
     "check_violations",
     "count_prior_pairs",
     "count_rows",
+    "count_std",
     "crosstab",
     "drop_null_keys",
     "duplicate_keys",

@@ -175,6 +175,22 @@ def add_std(df: DataFrame, value_col: str, alias: str) -> DataFrame:
     return with_scalar(df, sd).withColumn(alias, F.col(value_col) + F.col("_sd")).drop("_sd")
 
 
+def count_std(df: DataFrame, count_col: str, alias: str = "_sd") -> DataFrame:
+    """Sample standard deviation of an integer column, exactly, as one row.
+
+    ``sqrt((n * sum(c^2) - sum(c)^2) / (n * (n - 1)))`` with the sums in
+    38-digit decimals: the sums are exact, so the result does not depend on
+    row order or partitioning (a double ``stddev_samp`` can differ in its last
+    bits from run to run on a cluster).  NULL for fewer than two rows.
+    """
+    c = F.col(count_col).cast("decimal(38,0)")
+    s = df.agg(F.count(c).alias("_n"), F.sum(c).alias("_s1"), F.sum(c * c).alias("_s2"))
+    n = F.col("_n").cast("decimal(38,0)")
+    num = (n * F.col("_s2") - F.col("_s1") * F.col("_s1")).cast("double")
+    den = (n * (n - 1)).cast("double")
+    return s.select(F.when(F.col("_n") >= 2, F.sqrt(num / den)).alias(alias))
+
+
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL of frames with the same columns, combined as a balanced
     tree: a left-deep chain of n unions re-analyses the growing plan n

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import age_band, age_years, iso_weekday, rate_words, round_half_even
 from ..operators import (
-    add_std,
     check_violations,
     count_prior_pairs,
     count_rows,
+    count_std,
     crosstab,
     duplicate_keys,
     first_n_wide,
@@ -146,10 +146,14 @@ def supplier_line_share_reserve(spark, sf_dir) -> DataFrame:
     li = _r(spark, sf_dir, "lineitem")
     per = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("_c"))
     tot = count_rows(li, "_t")
-    pct = with_scalar(per, tot).select(
-        "l_suppkey", (F.col("_c").cast("double") * 100.0 / F.col("_t").cast("double")).alias("pct")
+    sd = count_std(per, "_c", "_sdc")
+
+    def pct(c):
+        return F.col(c).cast("double") * 100.0 / F.col("_t").cast("double")
+
+    return with_scalar(with_scalar(per, tot), sd).select(
+        "l_suppkey", pct("_c").alias("pct"), (pct("_c") + pct("_sdc")).alias("reserve")
     )
-    return add_std(pct, "pct", "reserve")
 
 
 def customer_balance_band(spark, sf_dir) -> DataFrame:

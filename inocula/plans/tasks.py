@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import age_band, age_years, format_day, rate_words, round_half_even, same_weekday, sentence
 from ..functions.scalars import AGE_BAND_LABELS
 from ..operators import (
-    add_std,
     count_rows,
+    count_std,
     crosstab,
     first_n_wide,
     latest_prior,
@@ -187,24 +187,37 @@ def t7e_symptom_vaccine_words(
 
 
 # ------------------------------------------------------------------ T8 - T9
+def _event_attendance_counts(t: Tables) -> DataFrame:
+    return t["attends"].groupBy(*EVENT_KEY).agg(F.count_distinct("ssno").alias("_d"))
+
+
+def _pct(count: str, total: str) -> F.Column:
+    return F.col(count).cast("double") * 100.0 / F.col(total).cast("double")
+
+
 def t8a_event_attendance(t: Tables) -> DataFrame:
     """% of all patients attending each event: date, healthcarefacilityname,
     percentage_patient_attending.  The patient count is a one-row aggregate
     attached to every event (no round trip through the driver)."""
-    a = t["attends"]
-    per = a.groupBy(*EVENT_KEY).agg(F.count_distinct("ssno").alias("_d"))
     n = count_rows(t["patient"], "_np")
-    return with_scalar(per, n).select(
-        *EVENT_KEY,
-        (F.col("_d").cast("double") * 100.0 / F.col("_np").cast("double")).alias("percentage_patient_attending"),
+    return with_scalar(_event_attendance_counts(t), n).select(
+        *EVENT_KEY, _pct("_d", "_np").alias("percentage_patient_attending")
     )
 
 
 def t8b_dose_reserve(t: Tables) -> DataFrame:
     """Per event: attendance % plus the sample std of that % over events:
-    date, healthcarefacilityname, vaccine_percentage."""
-    return add_std(t8a_event_attendance(t), "percentage_patient_attending", "vaccine_percentage").select(
-        *EVENT_KEY, "vaccine_percentage"
+    date, healthcarefacilityname, vaccine_percentage.
+
+    The % is a count scaled by 100 / patients, so its std is the counts' std
+    scaled the same way; that std is computed exactly (``count_std``), which
+    makes the result independent of partitioning.
+    """
+    per = _event_attendance_counts(t)
+    n = count_rows(t["patient"], "_np")
+    sd = count_std(per, "_d", "_sdc")
+    return with_scalar(with_scalar(per, n), sd).select(
+        *EVENT_KEY, (_pct("_d", "_np") + _pct("_sdc", "_np")).alias("vaccine_percentage")
     )
 
 

@@ -116,3 +116,19 @@ def test_orphans_two_forms(spark):
     assert rows_of(orphans(child, parent, [("k", "pk")])) == [("b", 2), (None, 3)]
     parent2 = spark.createDataFrame([("b",)], "k string")
     assert rows_of(orphans(child, parent2, ["k"])) == [("a", 1), (None, 3)]
+
+
+def test_count_std_exact_and_add_std(spark):
+    import statistics
+
+    from inocula.operators import add_std, count_std
+
+    vals = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]
+    df = spark.createDataFrame([(v,) for v in vals], "c long")
+    sd = count_std(df, "c").first()[0]
+    assert abs(sd - statistics.stdev(vals)) < 1e-12
+    # order and partitioning do not change a single bit
+    assert count_std(df.repartition(7), "c").first()[0] == sd
+    assert count_std(df.limit(1), "c").first()[0] is None
+    got = sorted(r.r for r in add_std(df.selectExpr("CAST(c AS DOUBLE) AS x"), "x", "r").collect())
+    assert abs(got[0] - (1 + statistics.stdev(vals))) < 1e-9
