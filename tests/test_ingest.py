@@ -189,3 +189,26 @@ def test_date_partitioned_fact_table_prunes(spark, scratch):
     assert rows_of(q4.select("date")) == [(d("2021-05-11"),)]
     plan = q4._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
+
+
+def test_command_line_ingest_audit_report(spark, scratch):
+    from inocula.__main__ import main
+
+    export = write_export(os.path.join(scratch, "export"))
+    store = os.path.join(scratch, "store")
+    # the export plants a status-3 patient (CHECK) and a NULL workday (key):
+    # the load is refused until those rule kinds are let through
+    with pytest.raises(AuditFailed):
+        main(["ingest", "--export", export, "--store", store])
+    assert main(["ingest", "--export", export, "--store", store, "--ignore", "check,primary_key_null", "--partition-dates"]) == 0
+    assert main(["audit", "--store", store, "--out", os.path.join(scratch, "audit")]) == 0
+    audit = {(r.table, r.rule): r.violations for r in spark.read.parquet(os.path.join(scratch, "audit")).collect()}
+    assert audit[("patient", "check")] == 1
+    out = os.path.join(scratch, "out")
+    args = ["report", "--store", store, "--out", out, "--names", "q5_vaccination_status,t9_cumulative_vaccinated,q1_staff_on_duty"]
+    assert main(args + ["--set", "event_date=2021-05-03", "--set", "facilities=H1,H2"]) == 0
+    assert rows_of(spark.read.parquet(os.path.join(out, "q5_vaccination_status")).select("ssno", "vaccinationstatus")) == [
+        ("P1", 1),  # three doses of a two-dose vaccine
+        ("P9", 0),  # one dose
+    ]
+    assert spark.read.parquet(os.path.join(out, "t9_cumulative_vaccinated")).count() == 3
