@@ -154,7 +154,7 @@ def audit_summary(tables: dict[str, DataFrame], names: Sequence[str] | None = No
     """One row per (table, rule, detail) with the number of violations.
 
     All rules feed one final aggregate: row-local rules (NULL key part,
-    CHECK, width, NOT NULL) emit a tagged row only for a violating row; each
+    CHECK, width, NOT NULL) are conditional counts in one pass per table; each
     key rule emits one row per duplicated key value (one grouped aggregate);
     each foreign key emits its orphan references with their row counts (one
     anti join over distinct references).  The tagged rows are summed per
@@ -170,17 +170,20 @@ def audit_summary(tables: dict[str, DataFrame], names: Sequence[str] | None = No
         spark = spark or df.sparkSession
         rules = _row_rules(spec)
         declared += [(name, kind, detail) for kind, detail, _ in rules]
-        hits = F.filter(
-            F.array(
-                *[
-                    F.struct(F.lit(kind).alias("rule"), F.lit(detail).alias("detail"), pred.alias("hit"))
-                    for kind, detail, pred in rules
-                ]
-            ),
-            lambda r: F.coalesce(r["hit"], F.lit(False)),
+        # one codegen'd pass: a conditional count per rule (partial
+        # aggregation per task), then the single result row is unpivoted
+        counts = df.agg(*[F.count(F.when(pred, 1)).alias(f"_r{i}") for i, (_, _, pred) in enumerate(rules)])
+        local = counts.select(
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(F.lit(kind).alias("rule"), F.lit(detail).alias("detail"), F.col(f"_r{i}").alias("n"))
+                        for i, (kind, detail, _) in enumerate(rules)
+                    ]
+                )
+            ).alias("_x")
         )
-        local = df.select(F.explode(hits).alias("_x"))
-        parts.append(local.select(F.lit(name).alias("table"), "_x.rule", "_x.detail", F.lit(1).cast("bigint").alias("_v")))
+        parts.append(local.select(F.lit(name).alias("table"), "_x.rule", "_x.detail", F.col("_x.n").alias("_v")))
         key_rules = [("primary_key_duplicate", list(spec.primary_key))] + [("unique", list(u)) for u in spec.unique]
         for kind, keys in key_rules:
             declared.append((name, kind, ",".join(keys)))
