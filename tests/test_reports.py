@@ -202,3 +202,36 @@ def test_q5_as_named_view(spark):
     got = rows_of(spark.sql("SELECT ssno, vaccinationstatus FROM vaccination_status_view"))
     assert got == [("P1", 1)]
     assert rows_of(spark.table("vaccination_status_view").select("ssno")) == [("P1",)]
+
+
+def test_sql_over_registered_views(spark):
+    """Tables registered as views answer SQL written the source's way
+    (here the doctors-on-a-weekday and stock-per-facility queries)."""
+    from inocula.sources.store import register_views
+
+    r = base_rows()
+    r["staff"] = [
+        ("S1", "Ann", None, "", "doctor", 1, "H1"),
+        ("S2", "Bob", None, "", "nurse", 1, "H1"),
+        ("S3", "Cid", None, "", "doctor", 1, "H3"),
+    ]
+    r["shift"] = [(3, "S1"), (3, "S2"), (3, "S3"), (1, "S1")]
+    t = make_tables(spark, **r)
+    register_views(t)
+    q2 = spark.sql(
+        """SELECT DISTINCT shift.ssno, name, role, healthcarefacilityname FROM staff
+           JOIN shift ON staff.ssno = shift.ssno
+           WHERE shift.workday = 3 AND staff.role = 'doctor'
+           AND (staff.healthcarefacilityname = 'H1' OR staff.healthcarefacilityname = 'H2')"""
+    )
+    assert rows_of(q2) == rows_of(C.q2_doctors_on_day(t, P)) == [("S1", "Ann", "doctor", "H1")]
+    q6 = spark.sql(
+        """SELECT hf.name AS facility_name, SUM(b.numberofvaccines) AS total_vaccines,
+                  COUNT(DISTINCT v.id) AS different_types
+           FROM healthcarefacility hf
+           LEFT JOIN batch b ON hf.name = b.healthcarefacilityname
+           LEFT JOIN manufacturer m ON b.manufacturerid = m.id
+           LEFT JOIN vaccine v ON m.vaccineid = v.id
+           GROUP BY hf.name"""
+    )
+    assert rows_of(q6) == rows_of(C.q6_facility_stock(t))
