@@ -55,7 +55,7 @@ def foreign_key_orphans(
 ) -> DataFrame:
     """Child rows whose (fully non-NULL) reference has no parent row."""
     cc, pc = list(child_cols), list(parent_cols)
-    keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(pc)])
+    keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(pc)]).distinct()
     cond = None
     for i, c in enumerate(cc):
         e = child[c] == keys[f"_p{i}"]
@@ -135,7 +135,7 @@ def _orphan_rows(child: DataFrame, parent: DataFrame, cols, pcols) -> DataFrame:
     refs = child.where(_all_not_null(cc)).groupBy(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cc)]).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(pc)])
+    keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(pc)]).distinct()
     cond = None
     for i in range(len(cc)):
         e = refs[f"_c{i}"] == keys[f"_p{i}"]

@@ -145,18 +145,23 @@ def orphans(child: DataFrame, parent: DataFrame, on: Names | list[tuple[str, str
     ``on`` is a column name list (same names both sides) or a list of
     (child column, parent column) pairs.
     """
+    # Only the parent's distinct keys matter; de-duplicating them first
+    # (partial aggregation) keeps a hot parent key from filling one task on
+    # the build side, which AQE's skew split cannot divide for an anti join.
     if on and isinstance(on, list) and isinstance(on[0], tuple):
+        keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, (_, p) in enumerate(on)]).distinct()
         cond = None
-        for c, p in on:
-            e = child[c] == parent[p]
+        for i, (c, _) in enumerate(on):
+            e = child[c] == keys[f"_p{i}"]
             cond = e if cond is None else cond & e
-        return child.join(parent, cond, "left_anti")
-    return child.join(parent, _names(on), "left_anti")
+        return child.join(keys, cond, "left_anti")
+    return child.join(parent.select(*_names(on)).distinct(), _names(on), "left_anti")
 
 
 def semi_on(df: DataFrame, keys: DataFrame, on: Names) -> DataFrame:
-    """Rows of ``df`` whose ``on`` tuple occurs in ``keys`` (tuple ``IN``)."""
-    return df.join(keys.select(*_names(on)), _names(on), "left_semi")
+    """Rows of ``df`` whose ``on`` tuple occurs in ``keys`` (tuple ``IN``).
+    The key side is de-duplicated first, as in ``orphans``."""
+    return df.join(keys.select(*_names(on)).distinct(), _names(on), "left_semi")
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
