@@ -53,9 +53,10 @@ def v5_patients_per_facility(t: Tables) -> DataFrame:
     """Patients vaccinated per facility and their % of the total:
     hospital, patients, pct."""
     v = t["vaccination"].select(*EVENT_KEY)
-    a = t["attends"].select(*EVENT_KEY, "ssno")
-    per = v.join(a, EVENT_KEY).groupBy(F.col("healthcarefacilityname").alias("hospital")).agg(
-        F.count("ssno").alias("patients")
+    # attendances counted per event before the join (one row per event)
+    a = t["attends"].groupBy(*EVENT_KEY).agg(F.count("ssno").alias("_people"))
+    per = a.join(v, EVENT_KEY).groupBy(F.col("healthcarefacilityname").alias("hospital")).agg(
+        F.sum("_people").alias("patients")
     )
     tot = per.agg(F.sum("patients").alias("_tot"))
     return with_scalar(per, tot).select(

@@ -24,7 +24,7 @@ from ..operators import (
     with_scalar,
 )
 from ..sources.store import with_row_index
-from .builders import EVENT_KEY, Tables, doses
+from .builders import EVENT_KEY, Tables, doses, event_vaccines
 from .params import TESTDATA, Params
 
 
@@ -85,8 +85,11 @@ def t2_first_two_doses(t: Tables) -> DataFrame:
 def t3_top_symptoms(t: Tables, p: Params = TESTDATA) -> DataFrame:
     """Top-k symptoms per gender by number of diagnoses (ties: symptom name).
     Columns: gender, rank, symptom, n."""
-    ps = t1_patient_symptoms(t).where(F.col("gender").isin(list(p.genders)))
-    counts = ps.groupBy("gender", "symptom").agg(F.count(F.lit(1)).alias("n"))
+    # diagnoses are counted per (patient, symptom) before meeting the patient
+    # table, so a patient with many diagnoses ships one row per symptom
+    per = t["diagnosis"].groupBy("ssno", "symptom").agg(F.count(F.lit(1)).alias("_n"))
+    pt = t["patient"].where(F.col("gender").isin(list(p.genders))).select("ssno", "gender")
+    counts = per.join(pt, "ssno").groupBy("gender", "symptom").agg(F.sum("_n").alias("n"))
     return top_n_per_group(counts, "gender", [F.desc("n"), F.asc("symptom")], p.top_k).select(
         "gender", "rank", "symptom", "n"
     )
@@ -146,9 +149,24 @@ def t7a_vaccine_per_diagnosis(t: Tables) -> DataFrame:
     return latest_prior(ev, probes, "ssno", "date", "date", pick=["healthcarefacilityname", "vaccine"], payload=["vaccine"])
 
 
+def _attendance_per_event(t: Tables) -> DataFrame:
+    """Attendances (rows, and non-NULL ssno) per vaccination event: the fact
+    table collapsed before it meets the event side."""
+    return t["attends"].groupBy(*EVENT_KEY).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("ssno").alias("_people")
+    )
+
+
 def t7b_doses_per_vaccine(t: Tables) -> DataFrame:
-    """Attendances per vaccine: vaccine, count."""
-    return _t7_doses(t).groupBy(F.col("vaccineid").alias("vaccine")).agg(F.count(F.lit(1)).alias("count"))
+    """Attendances per vaccine: vaccine, count (attendances are counted per
+    event first, then summed over the events of each vaccine)."""
+    ev = event_vaccines(t, how="inner", with_vaccine_table=False)
+    return (
+        _attendance_per_event(t)
+        .join(ev, EVENT_KEY)
+        .groupBy(F.col("vaccineid").alias("vaccine"))
+        .agg(F.sum("_rows").alias("count"))
+    )
 
 
 def _vaccine_ids(t: Tables, vaccines: Sequence[str] | None) -> list[str]:
@@ -227,8 +245,12 @@ def t9_cumulative_vaccinated(t: Tables) -> DataFrame:
     Aggregated per date before the (global) running sum, so the single
     ordered partition holds one row per calendar day."""
     v = t["vaccination"].select(*EVENT_KEY)
-    a = t["attends"].select(*EVENT_KEY, "ssno")
-    per_day = v.join(a, EVENT_KEY).groupBy("date").agg(F.count("ssno").alias("total_vaccinated"))
+    per_day = (
+        _attendance_per_event(t)
+        .join(v, EVENT_KEY)
+        .groupBy("date")
+        .agg(F.sum("_people").alias("total_vaccinated"))
+    )
     return (
         running_total(per_day, "date", "total_vaccinated", "cumulative")
         .select("date", format_day("date").alias("day"), "total_vaccinated", "cumulative")
