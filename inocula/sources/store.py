@@ -86,7 +86,7 @@ def load_tables(
     mode: str = "append",
     audit: bool = True,
     ignore: Sequence[str] = (),
-    parallel_writes: int = 4,
+    parallel_writes: int = 12,
     partition_by: dict[str, Sequence[str]] | None = None,
 ) -> DataFrame | None:
     """Load the tables into ``root``: stage, audit, publish.
@@ -116,13 +116,13 @@ def load_tables(
         )
     summary = None
     if audit:
-        view = read_tables(spark, staging, names)
-        if mode == "append":
-            fs, Path = _fs(spark, root)
-            for name in names:
-                if fs.exists(Path(table_path(root, name))):
-                    view[name] = read_table(spark, root, name).unionByName(view[name])
-        audit = audit_summary(view)
+        # the store as it will be after publishing: stored tables (so foreign
+        # keys of a partial load are checked against existing parents) with
+        # the staged rows added (append) or in place of them (overwrite)
+        view = {n: read_table(spark, root, n) for n in TABLES if stored(spark, root, n)}
+        for name, df in read_tables(spark, staging, names).items():
+            view[name] = view[name].unionByName(df) if (mode == "append" and name in view) else df
+        audit = audit_summary(view, names)
         # one row per declared rule (a few per table): safe to bring back,
         # and the staged files it reads are moved away by the publish below
         rows = audit.collect()
@@ -140,6 +140,12 @@ def load_tables(
     return summary
 
 
+def stored(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether the store holds table ``name`` (published or streamed rows)."""
+    fs, Path = _fs(spark, root)
+    return any(fs.exists(Path(p)) for p in (table_path(root, name), incoming_path(root, name)))
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table with its declared schema and column order (partition
     columns, which Parquet keeps in folder names, are put back in place):

@@ -121,6 +121,10 @@ def test_load_refuses_violations_then_round_trips(spark, scratch):
     # appending the same rows again breaks the keys across loads
     with pytest.raises(AuditFailed, match="primary_key_duplicate"):
         load_tables({"vaccine": clean["vaccine"]}, os.path.join(scratch, "db"))
+    # a partial load is checked against the parents already stored
+    orphan = spark.createDataFrame([(d("2021-05-03"), "H1", "P404")], clean["attends"].schema)
+    with pytest.raises(AuditFailed, match="ssno->patient"):
+        load_tables({"attends": orphan}, os.path.join(scratch, "db"))
     more = spark.createDataFrame([("V02", "Beta", 1, -20, -10)], clean["vaccine"].schema)
     load_tables({"vaccine": more}, os.path.join(scratch, "db"))
     assert rows_of(read_tables(spark, os.path.join(scratch, "db"), ["vaccine"])["vaccine"]) == [
