@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TABLES, Check, TableSpec
-from .core import union_all
+from .core import literal_rows, union_all
 
 
 def _any_null(cols: Sequence[str]):
@@ -196,7 +196,7 @@ def audit_summary(tables: dict[str, DataFrame], names: Sequence[str] | None = No
                 parts.append(_tagged(orphans, name, "foreign_key", detail, F.col("_n").cast("bigint")))
     found = union_all(parts).groupBy(*_TAG).agg(F.sum("_v").alias("_found"))
     # the declared rules are metadata (a few rows per table), not data
-    rules_df = spark.createDataFrame(declared, "table string, rule string, detail string")
+    rules_df = literal_rows(spark, declared, _TAG)
     return (
         F.broadcast(rules_df)
         .join(found, list(_TAG), "left")

@@ -180,6 +180,13 @@ def add_std(df: DataFrame, value_col: str, alias: str) -> DataFrame:
     return with_scalar(df, sd).withColumn(alias, F.col(value_col) + F.col("_sd")).drop("_sd")
 
 
+def literal_rows(spark, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    """A small constant table built from literals inside the JVM plan (no
+    Python data transfer): for metadata such as rule lists, not for data."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def count_std(df: DataFrame, count_col: str, alias: str = "_sd") -> DataFrame:
     """Sample standard deviation of an integer column, exactly, as one row.
 

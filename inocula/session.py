@@ -24,6 +24,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
     "spark.sql.session.timeZone": "UTC",
+    # A broadcast hash relation takes at least one memory page.  The default
+    # page (up to 64 MB) makes every small broadcast cost 64 MB of driver
+    # heap; reports and audits issue dozens of them concurrently.  8 MB pages
+    # bound that and are still large for executor sorts and aggregations.
+    "spark.buffer.pageSize": "8m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

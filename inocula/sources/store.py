@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.audit import audit_summary
+from ..operators.core import literal_rows
 from ..schema import LOAD_ORDER, TABLES
 from ..session import ensure_checkpoint_dir
 
@@ -126,7 +127,7 @@ def load_tables(
         # one row per declared rule (a few per table): safe to bring back,
         # and the staged files it reads are moved away by the publish below
         rows = audit.collect()
-        summary = spark.createDataFrame(rows, audit.schema)
+        summary = literal_rows(spark, [tuple(r) for r in rows], audit.columns)
         failing = [r for r in rows if r["violations"] > 0 and r["rule"] not in set(ignore)]
         if failing:
             raise AuditFailed(
