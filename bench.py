@@ -7,6 +7,7 @@
     BENCH_EVENTLOG 1 -> write Spark's event log into the scratch folder
     BENCH_SHUFFLE_PARTITIONS  initial shuffle partitions (default 2 x cpus;
                    AQE coalesces small ones at runtime)
+    BENCH_CONF     extra Spark settings, "key=value,key=value" (tuning runs)
 
 Phases, each timed:
   ingest   derive the twelve campaign tables from the testdata, audit keys
@@ -53,10 +54,10 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     only = [x for x in os.environ.get("BENCH_ONLY", "").split(",") if x]
     scratch = tempfile.mkdtemp(prefix="inocula-bench-")
-    extra = {}
+    extra = dict(kv.split("=", 1) for kv in os.environ.get("BENCH_CONF", "").split(",") if "=" in kv)
     if os.environ.get("BENCH_EVENTLOG") == "1":
         os.makedirs(f"{scratch}/events", exist_ok=True)
-        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{scratch}/events"}
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{scratch}/events"})
     spark = build_session(
         app="inocula-bench", cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * cpus))), driver_memory="16g", extra=extra
     )
