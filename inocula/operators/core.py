@@ -167,11 +167,12 @@ def semi_on(df: DataFrame, keys: DataFrame, on: Names) -> DataFrame:
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame to every row.
 
-    Only pass a global aggregate (``df.agg(...)`` without grouping): it has
-    exactly one row whatever the input size, which is what makes the
-    broadcast safe.
+    Pass a global aggregate (``df.agg(...)`` without grouping): it has exactly
+    one row whatever the input size.  Each column becomes a scalar subquery,
+    which Spark evaluates once and inlines as a value -- no join, nothing
+    broadcast but the value itself (identical subqueries are reused).
     """
-    return df.crossJoin(F.broadcast(one_row))
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
 def add_std(df: DataFrame, value_col: str, alias: str) -> DataFrame:

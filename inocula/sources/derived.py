@@ -9,7 +9,8 @@ Scale notes: the dimension-side inputs (region, nation, supplier) are tiny and
 joined by size (AQE broadcast); every fact-side derivation (vaccination,
 attends, transportationlog, diagnosis) is a grouped aggregate with map-side
 partial aggregation, so a hot supplier/customer never lands whole in one task.
-The supplier count ``N`` is a one-row global aggregate, broadcast as a scalar.
+The supplier count ``N`` is a one-row global aggregate, used as a scalar
+subquery (evaluated once, inlined as a value).
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ class DerivedTables:
         return read_raw(self.spark, self.sf_dir, name)
 
     def _supplier_count(self) -> DataFrame:
-        # one row, always: a global aggregate -> safe to broadcast
+        # one row, always (a global aggregate): used as a scalar subquery
         return self.raw("supplier").agg(F.count(F.lit(1)).alias("_n"))
 
     def vaccine(self) -> DataFrame:
@@ -108,9 +109,7 @@ class DerivedTables:
     def batch(self) -> DataFrame:
         p, s = self.raw("part"), self.raw("supplier")
         pk = F.col("p_partkey")
-        p = p.crossJoin(F.broadcast(self._supplier_count())).withColumn(
-            "_sk", pk % (F.col("_n") - 1)
-        )
+        p = p.withColumn("_sk", pk % (self._supplier_count().scalar() - 1))
         return _conform(
             p.join(s.select("s_suppkey", "s_name"), F.col("_sk") == F.col("s_suppkey")).select(
                 _key("B", "p_partkey").alias("id"),
@@ -142,7 +141,7 @@ class DerivedTables:
     def staff(self) -> DataFrame:
         c, s = self.raw("customer"), self.raw("supplier")
         ck = F.col("c_custkey")
-        c = c.crossJoin(F.broadcast(self._supplier_count())).withColumn("_sk", ck % F.col("_n"))
+        c = c.withColumn("_sk", ck % self._supplier_count().scalar())
         return _conform(
             c.join(s.select("s_suppkey", "s_name"), F.col("_sk") == F.col("s_suppkey")).select(
                 _key("S", "c_custkey").alias("ssno"),
@@ -229,9 +228,7 @@ class DerivedTables:
 
     def transportationlog(self) -> DataFrame:
         l, s = self.raw("lineitem"), self.raw("supplier")
-        l = l.crossJoin(F.broadcast(self._supplier_count())).withColumn(
-            "_tk", (F.col("l_suppkey") + F.col("l_linenumber")) % F.col("_n")
-        )
+        l = l.withColumn("_tk", (F.col("l_suppkey") + F.col("l_linenumber")) % self._supplier_count().scalar())
         f = s.select(F.col("s_suppkey").alias("f_key"), F.col("s_name").alias("f_name"))
         t = s.select(F.col("s_suppkey").alias("t_key"), F.col("s_name").alias("t_name"))
         j = l.join(f, F.col("l_suppkey") == F.col("f_key")).join(t, F.col("_tk") == F.col("t_key"))
