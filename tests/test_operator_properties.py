@@ -67,3 +67,23 @@ def test_latest_per_key(spark, rows):
             mx[k] = max(mx.get(k, d), d)
     want = sorted(r for r in rows if r[0] is not None and r[1] is not None and r[1] == mx[r[0]])
     assert got == want
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["h", "h", "a", "b"]), st.integers(0, 5), st.integers(0, 999)), max_size=40, unique_by=lambda r: r[2]))
+def test_first_n_wide_and_top_n(spark, rows):
+    from pyspark.sql import functions as F
+
+    from inocula.operators import first_n_wide, top_n_per_group
+
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    wide = {r.k: (r.v1, r.v2) for r in first_n_wide(df, "k", ["o", "v"], ["v"], 2).collect()}
+    top = sorted((r.k, r.rank, r.v) for r in top_n_per_group(df, "k", [F.desc("o"), F.asc("v")], 3).collect())
+    want_wide, want_top = {}, []
+    for k in {r[0] for r in rows}:
+        asc = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))
+        want_wide[k] = (asc[0][2], asc[1][2] if len(asc) > 1 else None)
+        desc = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))[:3]
+        want_top += [(k, i + 1, r[2]) for i, r in enumerate(desc)]
+    assert wide == want_wide
+    assert top == sorted(want_top)
