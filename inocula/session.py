@@ -37,20 +37,25 @@ DEFAULT_CONF = {
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4) -> dict[str, str]:
     """Settings for a cluster run over ``input_bytes`` of Parquet.
 
-    Shuffles start with about one partition per 128 MB of input (at least
-    twice the cores) and AQE coalesces them to the 64 MB advisory size or
-    splits skewed ones at runtime; scans read up to 256 MB per task.  The
-    checkpoint folder is the cluster's shared one and is not set here.
+    Shuffles start with one partition per 512 MB of input (at least three per
+    core, at most 200k: map tasks x reducers is the number of shuffle blocks
+    the driver tracks, so ~400k scan tasks must not meet ~800k reducers) and
+    AQE coalesces them to 256 MB or splits partitions over 1 GB that are 4x
+    the median.  Scans read up to 256 MB per task.  The checkpoint folder is
+    the cluster's shared one and is not set here.
     """
+    mb = 1024 * 1024
     cores = executors * cores_per_executor
-    partitions = max(2 * cores, input_bytes // (128 * 1024 * 1024))
+    partitions = max(3 * cores, min(input_bytes // (512 * mb), 200_000))
     return {
         **DEFAULT_CONF,
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * mb),
+        "spark.sql.files.maxPartitionBytes": str(256 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * mb),
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     }
