@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import audit_summary
+from ..operators import audit_summary, foreign_key_orphans, length_violations, not_null_violations
 from ..sources.derived import derived_tables, raw_diagnosis_sheet, raw_shift_sheet
 from ..sources.workbook import clean_sheet, patient_status, unreadable_dates
 
@@ -36,10 +36,30 @@ def audit_derived_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_summary(derived_tables(spark, sf_dir))
 
 
+def audit_rows_batch_id_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches whose id is longer than its declared width (char(4))."""
+    return length_violations(derived_tables(spark, sf_dir)["batch"], "id", 4)
+
+
+def audit_rows_attends_event_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attendances whose (date, facility) has no vaccination event (the
+    two-column foreign key)."""
+    t = derived_tables(spark, sf_dir)
+    return foreign_key_orphans(t["attends"], t["vaccination"], ["date", "healthcarefacilityname"], ["date", "healthcarefacilityname"])
+
+
+def audit_rows_staff_unknown_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staff rows without a vaccination status."""
+    return not_null_violations(derived_tables(spark, sf_dir)["staff"], "vaccinationstatus")
+
+
 RUNS = {
     "l1_clean_diagnosis": l1_clean_diagnosis,
     "l1_clean_shift": l1_clean_shift,
     "l2_patient_status": l2_patient_status,
     "v1_unreadable_diagnosis_dates": v1_unreadable_diagnosis_dates,
     "audit_derived_tables": audit_derived_tables,
+    "audit_rows_batch_id_width": audit_rows_batch_id_width,
+    "audit_rows_attends_event_fk": audit_rows_attends_event_fk,
+    "audit_rows_staff_unknown_status": audit_rows_staff_unknown_status,
 }
