@@ -271,6 +271,9 @@ class LazyTables(dict):
     def __contains__(self, name):
         return name in self._builders
 
+    def get(self, name, default=None):
+        return self[name] if name in self._builders else default
+
     def __iter__(self):
         return iter(self._builders)
 

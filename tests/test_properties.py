@@ -81,3 +81,11 @@ def test_q7_frequency_equals_pair_count(t):
     pairs = d.alias("d").join(a.alias("a"), (F.col("d.ssno") == F.col("a.ssno")) & (F.col("d.date") >= F.col("a.date")))
     total = C.q7_symptom_frequency(t).agg(F.sum("frequency")).first()[0]
     assert total == pairs.count()
+
+
+def test_lazy_tables_build_on_access(spark):
+    t = derived_tables(spark, SF)
+    assert "batch" in t and len(t) == 12 and "nothing" not in t
+    assert dict.__len__(t) == 0  # nothing built yet
+    assert t.get("batch") is t["batch"] and t.get("nothing") is None
+    assert dict.__len__(t) == 1
