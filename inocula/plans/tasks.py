@@ -179,7 +179,7 @@ def t7c_symptom_vaccine_counts(t: Tables, vaccines: Sequence[str] | None = None)
     return crosstab(t7a_vaccine_per_diagnosis(t), "symptom", "vaccine", _vaccine_ids(t, vaccines))
 
 
-def _t7_rates_long(t: Tables, vaccines: list[str]) -> DataFrame:
+def _t7_rates_long(t: Tables) -> DataFrame:
     cnt = t7a_vaccine_per_diagnosis(t).groupBy("symptom", "vaccine").agg(F.count(F.lit(1)).alias("_n"))
     tot = t7b_doses_per_vaccine(t).select(F.col("vaccine").alias("_v"), F.col("count").alias("_doses"))
     rate = round_half_even(F.col("_n").cast("double") / F.col("_doses").cast("double"), 2)
@@ -190,7 +190,7 @@ def t7d_symptom_vaccine_rates(t: Tables, vaccines: Sequence[str] | None = None)
     """count / doses of that vaccine, rounded half-even to 2 digits; absent
     cells 0.0."""
     vs = _vaccine_ids(t, vaccines)
-    wide = pivot_fixed(_t7_rates_long(t, vs), "symptom", "vaccine", vs, "_rate")
+    wide = pivot_fixed(_t7_rates_long(t), "symptom", "vaccine", vs, "_rate")
     return wide.na.fill(0.0, subset=[str(v) for v in vs])
 
 
