@@ -53,6 +53,8 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4)
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * mb),
+        # split a hot key's partition even when that costs an extra shuffle
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.files.maxPartitionBytes": str(256 * mb),
         "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * mb),

@@ -11,6 +11,7 @@ def test_cluster_conf_scales_and_caps_shuffle_partitions():
     mid = cluster_conf(10 * TB, executors=100)
     assert int(mid["spark.sql.shuffle.partitions"]) == 10 * TB // (512 * 1024**2)
     assert big["spark.sql.adaptive.enabled"] == "true"
+    assert big["spark.sql.adaptive.forceOptimizeSkewedJoin"] == "true"
     assert "spark.checkpoint.dir" not in big  # the cluster's shared folder is never overridden
 
 
