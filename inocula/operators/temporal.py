@@ -28,10 +28,16 @@ def count_prior_pairs(
     event_label: str,
     probe_label: str,
     alias: str = "frequency",
+    labels: Sequence | None = None,
 ) -> DataFrame:
     """Per (event_label, probe_label): the number of (event, probe) pairs with
     equal ``key`` and ``event_date <= probe_date``.
 
+    ``labels``: the complete, small set of non-NULL event labels, if known
+    (e.g. the vaccine ids of the vaccine dimension).  Event rows with another
+    label are then ignored, and one running count per label is kept as a
+    column, which saves the label/probe-day join and its shuffles.
+
     Same counts as ``SELECT e.label, p.label, COUNT(*) FROM events e JOIN
     probes p ON e.key = p.key AND e.date <= p.date GROUP BY 1, 2`` (pairs
     with a NULL key or date never match; label groups with no pair are
@@ -39,6 +45,8 @@ def count_prior_pairs(
     """
     ev = events.where(F.col(key).isNotNull() & F.col(event_date).isNotNull())
     pr = probes.where(F.col(key).isNotNull() & F.col(probe_date).isNotNull())
+    if labels is not None:
+        return _count_prior_pairs_by_columns(ev, pr, key, event_date, probe_date, event_label, probe_label, alias, labels)
 
     # 1. collapse: events per (key, label, date); probes per (key, label, date)
     e = ev.groupBy(F.col(key).alias("_k"), F.col(event_label).alias("_el"), F.col(event_date).alias("_d")).agg(
@@ -76,6 +84,33 @@ def count_prior_pairs(
     )
 
 
+def _count_prior_pairs_by_columns(ev, pr, key, event_date, probe_date, event_label, probe_label, alias, labels):
+    vs = list(labels)
+    cols = [f"_c{i}" for i in range(len(vs))]
+    # events per (key, date), one count column per label
+    e = ev.groupBy(F.col(key).alias("_k"), F.col(event_date).alias("_d")).agg(
+        *[F.count(F.when(F.col(event_label) == F.lit(v), 1)).alias(c) for v, c in zip(vs, cols)]
+    )
+    p = pr.groupBy(F.col(key).alias("_k"), F.col(probe_label).alias("_pl"), F.col(probe_date).alias("_d")).agg(
+        F.count(F.lit(1)).alias("_np")
+    )
+    days = p.groupBy("_k", "_d").agg(F.sum("_np").alias("_x")).where(F.col("_x") > 0).drop("_x")
+    zero = [F.lit(0).cast("bigint").alias(c) for c in cols]
+    u = e.select("_k", "_d", F.lit(0).alias(_KIND), *cols).unionByName(days.select("_k", "_d", F.lit(1).alias(_KIND), *zero))
+    w = Window.partitionBy("_k").orderBy("_d", _KIND).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prior = u.select("_k", "_d", _KIND, *[F.sum(c).over(w).alias(c) for c in cols]).where(F.col(_KIND) == 1)
+    hits = F.filter(
+        F.array(*[F.struct(F.lit(v).alias("_el"), F.col(c).alias("_prior")) for v, c in zip(vs, cols)]),
+        lambda x: x["_prior"] > 0,
+    )
+    return (
+        p.join(prior.select("_k", "_d", hits.alias("_h")), ["_k", "_d"])
+        .select("_pl", "_np", F.explode("_h").alias("_x"))
+        .groupBy(F.col("_x._el").alias(event_label), F.col("_pl").alias(probe_label))
+        .agg(F.sum(F.col("_np") * F.col("_x._prior")).cast("bigint").alias(alias))
+    )
+
+
 def latest_prior(
     events: DataFrame,
     probes: DataFrame,

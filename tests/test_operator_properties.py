@@ -87,3 +87,19 @@ def test_first_n_wide_and_top_n(spark, rows):
         want_top += [(k, i + 1, r[2]) for i, r in enumerate(desc)]
     assert wide == want_wide
     assert top == sorted(want_top)
+
+
+@SETTINGS
+@given(
+    ev=st.lists(st.tuples(keys, days, st.sampled_from(["V1", "V2", "V3"])), max_size=40),
+    pr=st.lists(st.tuples(keys, days, st.sampled_from(["s1", "s2"])), max_size=40),
+)
+def test_count_prior_pairs_known_labels(spark, ev, pr):
+    e = spark.createDataFrame(ev, "k string, d date, v string")
+    p = spark.createDataFrame(pr, "k string, d date, s string")
+    generic = {(r.v, r.s): r.frequency for r in count_prior_pairs(e, p, "k", "d", "d", "v", "s").collect()}
+    known = {
+        (r.v, r.s): r.frequency
+        for r in count_prior_pairs(e, p, "k", "d", "d", "v", "s", labels=["V1", "V2", "V3"]).collect()
+    }
+    assert known == generic
