@@ -18,3 +18,14 @@ def test_cluster_conf_scales_and_caps_shuffle_partitions():
 def test_defaults_keep_the_ui_off_and_pages_small():
     assert DEFAULT_CONF["spark.ui.enabled"] == "false"
     assert DEFAULT_CONF["spark.buffer.pageSize"] == "8m"
+
+
+def test_command_line_parameters():
+    import pytest
+
+    from inocula.__main__ import _params
+
+    p = _params(["event_date=2021-05-10", "event_workday=2", "facilities=A,B", "ill_staff=S7"])
+    assert (p.event_date, p.event_workday, p.facilities, p.ill_staff) == ("2021-05-10", 2, ("A", "B"), "S7")
+    with pytest.raises(SystemExit):
+        _params(["no_such_parameter=1"])
