@@ -99,15 +99,18 @@ def _count_prior_pairs_by_columns(ev, pr, key, event_date, probe_date, event_lab
     u = e.select("_k", "_d", F.lit(0).alias(_KIND), *cols).unionByName(days.select("_k", "_d", F.lit(1).alias(_KIND), *zero))
     w = Window.partitionBy("_k").orderBy("_d", _KIND).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = u.select("_k", "_d", _KIND, *[F.sum(c).over(w).alias(c) for c in cols]).where(F.col(_KIND) == 1)
-    hits = F.filter(
-        F.array(*[F.struct(F.lit(v).alias("_el"), F.col(c).alias("_prior")) for v, c in zip(vs, cols)]),
-        lambda x: x["_prior"] > 0,
+    # one (label, count-so-far) row per label with events before the probe
+    # date: explode, then a plain filter (both stay in generated code)
+    per_label = F.array(*[F.struct(F.lit(v).alias("_el"), F.col(c).alias("_prior")) for v, c in zip(vs, cols)])
+    prior_rows = (
+        prior.select("_k", "_d", F.explode(per_label).alias("_x"))
+        .where(F.col("_x._prior") > 0)
+        .select("_k", "_d", "_x._el", "_x._prior")
     )
     return (
-        p.join(prior.select("_k", "_d", hits.alias("_h")), ["_k", "_d"])
-        .select("_pl", "_np", F.explode("_h").alias("_x"))
-        .groupBy(F.col("_x._el").alias(event_label), F.col("_pl").alias(probe_label))
-        .agg(F.sum(F.col("_np") * F.col("_x._prior")).cast("bigint").alias(alias))
+        p.join(prior_rows, ["_k", "_d"])
+        .groupBy(F.col("_el").alias(event_label), F.col("_pl").alias(probe_label))
+        .agg(F.sum(F.col("_np") * F.col("_prior")).cast("bigint").alias(alias))
     )
 
 
