@@ -56,6 +56,11 @@ def test_count_prior_pairs_hot_key(orders, duck):
     }
     assert got == want
     assert sum(got.values()) > 10_000_000  # the hot key alone has > 12M pairs
+    priorities = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    by_cols = count_prior_pairs(
+        orders, orders, "k", "d", "d", "o_orderpriority", "o_orderstatus", "pairs", labels=priorities
+    )
+    assert {(r.o_orderpriority, r.o_orderstatus): r.pairs for r in by_cols.collect()} == want
 
 
 def test_latest_prior_hot_key(orders, duck):
