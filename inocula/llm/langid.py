@@ -1,10 +1,10 @@
 """Language ID by compression: one raw-content zstandard dictionary per language.
 
-A text is cut into blocks; every block is compressed with each language's
-dictionary, and the language with the smallest total wins.  A small block is
-compressed at a stronger setting with shorter matches, since a fast one finds
-hardly any match in a few words.  The dictionary is the text of a bounded
-sample of labelled rows.
+A text is reduced to its lower-cased words (case, digits and punctuation say
+little about the language) and cut into blocks of words; every block of the
+whole text is compressed with each language's dictionary, and the language
+with the smallest total wins.  A dictionary is text of a bounded sample of
+labelled rows.
 
 ``best`` is always the smallest; ``lang`` is 'und' where the margin to the
 second smallest is under ``min_margin`` of its size: rejected.  A text with
@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 from .common import utf8, values
 
 BUCKETS = 64  # texts per language at most
-DICT_BYTES = 48 << 10
+DICT_BYTES = 32 << 10
 MAX_LANGS = 256
-BLOCK = 8192
-SMALL = 1024  # blocks up to here use the stronger setting
+BLOCK_WORDS = 1024
 MIN_MARGIN = 0.004
 SCALE = 4.0  # bytes of difference that count as one step of the score
 
@@ -73,17 +72,17 @@ def fit_languages(
     if len(count) > max_langs or len(least) > max_langs * buckets:
         raise ValueError(f"more than {max_langs} language labels")
     langs = sorted(count, key=lambda x: (-count[x], x))
-    share = max(512, dict_bytes // buckets)
+    share = dict_bytes // buckets  # of each text, more where a language has few
     chosen = rows.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in least], "lang string, h long")
     texts = (
         rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
         .groupBy("lang", "h")
-        .agg(F.max(F.substring("text", 1, 16 * share)).alias("text"))
+        .agg(F.max("text").alias("text"))
         .collect()
     )
     contents = []
     for x in langs:
-        own = [r["text"].encode() for r in sorted(texts, key=lambda r: r["h"]) if r["lang"] == x]
+        own = [b" ".join(normalise(r["text"].encode())) for r in sorted(texts, key=lambda r: r["h"]) if r["lang"] == x]
         take = max(share, dict_bytes // max(1, len(own)))
         contents.append(b"\n".join(t[:take] for t in own)[-dict_bytes:])
     return LanguageModel(langs, contents)
@@ -95,33 +94,38 @@ def _by_lang():
     return Window.partitionBy("lang")
 
 
+_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def normalise(text: bytes) -> list[bytes]:
+    """Lower-cased words: letters and other non-ASCII characters only."""
+    return text.decode("utf-8", "replace").lower().encode().translate(_LETTERS).split()
+
+
 class Compressors:
-    """Two compressors per language: for small blocks and for the others."""
+    """One compressor per language, with its dictionary."""
 
     def __init__(self, model: LanguageModel):
         import zstandard as z
 
-        def make(content: bytes, **settings):
-            data = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            return z.ZstdCompressor(
-                dict_data=data,
-                compression_params=z.ZstdCompressionParameters(
-                    write_content_size=0, write_checksum=0, write_dict_id=0, **settings
-                ),
-            ).compress
-
+        settings = z.ZstdCompressionParameters(
+            window_log=17, hash_log=16, chain_log=16, search_log=3, min_match=3, strategy=z.STRATEGY_GREEDY,
+            write_content_size=0, write_checksum=0, write_dict_id=0,
+        )
         self.langs = model.langs
-        self.small = [
-            make(c, window_log=17, hash_log=16, chain_log=16, search_log=5, min_match=3, target_length=64, strategy=z.STRATEGY_BTOPT)
+        self.compress = [
+            z.ZstdCompressor(
+                dict_data=z.ZstdCompressionDict(c, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=settings
+            ).compress
             for c in model.contents
         ]
-        self.other = [make(c, window_log=17, hash_log=16, chain_log=16, min_match=4, strategy=z.STRATEGY_FAST) for c in model.contents]
 
     def sizes(self, text: bytes) -> list[int]:
         total = [0] * len(self.langs)
-        for at in range(0, len(text), BLOCK):
-            block = text[at : at + BLOCK]
-            for i, f in enumerate(self.small if len(block) <= SMALL else self.other):
+        own = normalise(text)
+        for at in range(0, len(own), BLOCK_WORDS):
+            block = b" ".join(own[at : at + BLOCK_WORDS])
+            for i, f in enumerate(self.compress):
                 total[i] += len(f(block))
         return total
 

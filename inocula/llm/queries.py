@@ -91,3 +91,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (op1_language_id, op2_token_file, op7_byte_bpe, op8_decontaminate, op10_secrets)
 }
+
+ORACLE_SQL: dict[str, str] = {}
