@@ -77,3 +77,26 @@ def batches_of(rows: Iterable, size: int) -> Iterator[list]:
             out = []
     if out:
         yield out
+
+
+def sampled_rows(docs: DataFrame, ids: DataFrame, id_col: str, payload: Column, keep: list[str], most: int) -> list:
+    """Rows of ``docs`` whose id is in ``ids`` (a bounded table), as a bounded list.
+
+    ``payload`` is computed from the row's text and comes back as ``x``, with
+    the columns ``keep``; identical rows count once, and of more than ``most``
+    (ids that repeat) those with the least hash are returned.
+    """
+    return (
+        docs.join(F.broadcast(ids), id_col)
+        .withColumn("x", payload)
+        .select("x", *keep, F.xxhash64("x", *keep).alias("h"))
+        .dropDuplicates(["h"])
+        .orderBy("h")
+        .limit(most)
+        .collect()
+    )
+
+
+def least_ids(rows: DataFrame, id_col: str, n: int) -> DataFrame:
+    """``n`` ids of ``rows`` at most: those with the least hash (a top-n per task)."""
+    return rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)

@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, secrets, tokenfile
+from . import bpe, decontaminate, langid, quality, secrets, tokenfile, toxicity
 from .common import documents, shared_path
 
 WORD_VOCABULARY = 49_408
@@ -43,6 +43,34 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the folds but number 0 of 5."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_remainder(5) != 0)
+    model = toxicity.fit_toxicity(docs, labels)
+    return toxicity.score_toxicity(docs, model, out="score").select(
+        "doc_id",
+        (_remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        toxicity.is_toxic(model, "score", "lang").alias("rejected"),
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the folds but number 0 of 5."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_remainder(5) != 0)
+    prior = quality.estimate_prior(labels)
+    model = quality.fit_quality(docs, labels.filter("quality = 1"), prior)
+    return quality.score_quality(docs, model, out="score").select(
+        "doc_id",
+        (_remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes decoded from them, as digests."""
     ranks = vocabularies.path("byte_bpe_multi_50k.tiktoken")
@@ -89,7 +117,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_language_id, op2_token_file, op7_byte_bpe, op8_decontaminate, op10_secrets)
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_token_file,
+        op3_toxicity,
+        op6_quality,
+        op7_byte_bpe,
+        op8_decontaminate,
+        op10_secrets,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
