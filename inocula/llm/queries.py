@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, secrets, tokenfile, toxicity
+from . import bpe, decontaminate, exactdedup, langid, linededup, quality, secrets, tokenfile, toxicity
 from .common import documents, shared_path
 
 WORD_VOCABULARY = 49_408
@@ -57,6 +57,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurrent lines."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return linededup.drop_recurring_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5")
+    )
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document; even doc_ids stand for an earlier crawl."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return exactdedup.exact_duplicates(docs, F.col("doc_id") % 2 == 0).drop("member")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the folds but number 0 of 5."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -122,6 +136,8 @@ QUERIES = {
         op1_language_id,
         op2_token_file,
         op3_toxicity,
+        op4_line_dedup,
+        op5_exact_dedup,
         op6_quality,
         op7_byte_bpe,
         op8_decontaminate,
@@ -129,4 +145,90 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4_SQL = f"""
+WITH lined AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+k AS (SELECT r, doc_id, l, list_transform(l, lambda x: regexp_replace(trim(x, ' '), '[0-9]+', '#', 'g')) AS m FROM lined),
+ln AS (
+  SELECT r, doc_id, unnest(range(1, len(m) + 1)) AS pos, m FROM k),
+one AS (
+  SELECT r, doc_id, pos, m[pos] AS line, m[pos - 1] AS before, m[pos + 1] AS after, pos = 1 AS is_first,
+    string_split(m[pos], ' ') AS t FROM ln WHERE m[pos] <> ''),
+shaped AS (
+  SELECT r, doc_id, pos, line, CASE WHEN is_first THEN NULL ELSE before END AS before, after, len(t) AS n,
+    list_slice(t, 1, {linededup.LEAD}) AS lead,
+    list_transform(range({linededup.FIELDS}), lambda j: array_to_string(list_slice(t,
+      floor(greatest(len(t) - {linededup.LEAD}, 0) * j / {linededup.FIELDS})::INT + 1 + {linededup.LEAD},
+      floor(greatest(len(t) - {linededup.LEAD}, 0) * (j + 1) / {linededup.FIELDS})::INT + {linededup.LEAD}), ' ')) AS f
+  FROM one),
+places AS (SELECT DISTINCT line, before, after, n, lead, f FROM shaped),
+firsts AS (SELECT line, before, after, min(doc_id) AS first FROM shaped GROUP BY ALL),
+weighed AS (SELECT line, n, lead, f, count(*) AS w FROM places GROUP BY ALL),
+each AS (
+  SELECT line, n, lead, w, unnest(range(1, {linededup.FIELDS} + 1)) AS j, f FROM weighed WHERE n > {linededup.LEAD}),
+votes AS (SELECT n, lead, j, f[j] AS v, sum(w) AS w FROM each GROUP BY ALL),
+modal AS (
+  SELECT n, lead, j, v FROM votes
+  QUALIFY row_number() OVER (PARTITION BY n, lead, j
+    ORDER BY w DESC, ('0x' || substr(md5(v), 1, 15))::BIGINT DESC) = 1),
+leaves AS (SELECT n, lead FROM weighed WHERE n > {linededup.LEAD} GROUP BY ALL HAVING count(*) > 1),
+belongs AS (
+  SELECT e.line FROM each e JOIN modal m ON e.n = m.n AND e.lead = m.lead AND e.j = m.j AND e.f[e.j] = m.v
+  JOIN leaves s ON s.n = e.n AND s.lead = e.lead
+  GROUP BY e.line HAVING count(*) >= {linededup.MIN_EQUAL}),
+template AS (
+  SELECT line, n, CASE WHEN line IN (SELECT line FROM belongs) THEN {{'n': n, 'p': lead}}::VARCHAR
+    ELSE 'line ' || line END AS template FROM weighed),
+met AS (
+  SELECT template, before, after, min(first) AS first, min(n) AS n
+  FROM firsts JOIN template USING (line) GROUP BY ALL),
+recurs AS (
+  SELECT template, min(first) AS keeper FROM met GROUP BY template
+  HAVING count(*) >= CASE WHEN min(n) < {linededup.SHORT_TOKENS} THEN {linededup.SHORT_PLACES} ELSE {linededup.MIN_PLACES} END),
+gone AS (
+  SELECT r, list(pos) AS gone FROM shaped JOIN template USING (line) JOIN recurs USING (template)
+  WHERE doc_id IS DISTINCT FROM keeper GROUP BY r)
+SELECT doc_id, len(l) AS n_lines, coalesce(len(gone), 0) AS n_dropped,
+  md5(coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1),
+    lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: l[i]), chr(10)), '')) AS kept_md5
+FROM lined LEFT JOIN gone USING (r)
+UNION ALL SELECT doc_id, 0, 0, md5('') FROM documents WHERE text IS NULL
+"""
+
+OP5_SQL = f"""
+WITH t AS (SELECT doc_id, {_ASCII_LOWER} AS x FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(x) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY x)
+"""
+
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + {decontaminate.WINDOW - 1}) AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {decontaminate.WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS n FROM win),
+run AS (
+  SELECT r, n, i, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT r, n, i, item_id FROM run JOIN win USING (win)),
+covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+    "op5_exact_dedup": OP5_SQL,
+    "op8_decontaminate": OP8_SQL,
+}

@@ -41,7 +41,7 @@ from .common import shared_path, stored, utf8, values
 
 LENGTH = 2048
 ROWS_PER_BATCH = 64
-CACHE = 1 << 18
+CACHE = 3 << 18
 
 
 class WordIds(dict):
@@ -57,9 +57,12 @@ class WordIds(dict):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters: dict[str, str] = {}  # letter -> its bytes as the vocabulary writes them
         self.lowers, self.splits = self._learn()
 
     def _learn(self) -> tuple[bool, bool]:
@@ -89,11 +92,17 @@ class WordIds(dict):
         return ids
 
     def _word(self, word: str) -> bytes:
-        """The tokenizer's own steps, without the cost of a full encoding."""
-        t = self.tokenizer
-        if not (word.isascii() and word.isalpha() and word.islower()):
+        """Words of lower-case Latin letters go to the model straight away.
+
+        The normaliser and the pre-tokenizer leave those as they are.
+        """
+        if not (word.isalpha() and word.islower() and max(word) < "\u0180"):
             return self._ids(word)
-        return array.array("I", [k.id for k in t.model.tokenize(word)]).tobytes()
+        if not word.isascii():
+            for c in set(word) - self.letters.keys():
+                self.letters[c] = self.shown(c)[0][0]
+            word = "".join(map(self.letters.__getitem__, word))
+        return array.array("I", [k.id for k in self.model.tokenize(word)]).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -222,14 +231,17 @@ class TokenFile:
         self.reader = pa.ipc.open_file(store.open_input_file(f"{root}/{file}.ids.arrow") if not _local(store) else pa.memory_map(f"{root}/{file}.ids.arrow"))
         with store.open_input_file(f"{root}/{file}.docs.arrow") as f:
             self.docs = pa.ipc.open_file(f).read_all()
+        self.at, self.held = -1, None  # the batch read last
         self.length = self.reader.schema.field("ids").type.list_size
         self.rows_per_batch = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else 0
 
     def batch(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of a batch, flat; the ids are a view of the file."""
-        got = self.reader.get_batch(b)
-        ids, mask = got.column(0), got.column(1)
-        return ids.flatten().to_numpy(), mask.flatten().to_numpy(zero_copy_only=False)
+        if self.at != b:
+            got = self.reader.get_batch(b)
+            ids, mask = got.column(0), got.column(1)
+            self.at, self.held = b, (ids.flatten().to_numpy(), mask.flatten().to_numpy(zero_copy_only=False))
+        return self.held
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         b, r = divmod(row, self.rows_per_batch)
