@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exactdedup, langid, linededup, quality, secrets, tokenfile, toxicity
+from . import bpe, decontaminate, exactdedup, jaccard, langid, linededup, quality, secrets, tokenfile, toxicity
 from .common import documents, shared_path
 
 WORD_VOCABULARY = 49_408
@@ -112,6 +112,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return jaccard.jaccard_components(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     found = secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text"), out="r")
@@ -141,6 +147,7 @@ QUERIES = {
         op6_quality,
         op7_byte_bpe,
         op8_decontaminate,
+        op9_jaccard_join,
         op10_secrets,
     )
 }
@@ -227,8 +234,30 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
+OP9_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all({_ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, list_slice(w, i, i + {jaccard.WORDS - 1}) AS sh
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {jaccard.WORDS - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+often AS (SELECT sh FROM s GROUP BY sh HAVING count(*) > 1),
+t AS (SELECT r, sh FROM s SEMI JOIN often USING (sh)),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM t a JOIN t b ON a.sh = b.sh AND a.r <> b.r GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b
+  WHERE 100 * c >= {jaccard.PERCENT} * (x.n + y.n - c)),
+reach AS (
+  SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r) JOIN (
+  SELECT reach.a AS r, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = reach.b GROUP BY 1) m USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }
