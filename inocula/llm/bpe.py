@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8, values
+from .common import map_texts, utf8, values
 
 CHUNK = 32768
 OVERLAP = 2048
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 # Unicode White_Space, as \s of the pattern reads it (fixed values).
 SPACE = "".join(
@@ -195,24 +195,49 @@ def _long_ids(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overl
     return pieces.groupBy("h").agg(F.flatten(F.sort_array(F.collect_list(F.struct("piece", "ids"))).ids).alias("ids"))
 
 
+@lru_cache(maxsize=2)
+def _decoder(ranks_path: str):
+    raw = {i: b for b, i in load_ranks(ranks_path).items()}.__getitem__
+    return lambda ids: b"".join(map(raw, ids))
+
+
 def encode_documents(
     docs: DataFrame,
     ranks_path: str,
     pattern: str,
     text_col: str = "text",
     out: str = "ids",
+    decoded: str | None = None,
+    drop: tuple[str, ...] = (),
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
 ) -> DataFrame:
-    """``docs`` with the array<int> column ``out`` of each whole text's ids."""
-    docs = docs.drop(out)
+    """``docs`` without ``drop``, with the array<int> column ``out`` of each whole text's ids.
+
+    ``decoded`` names a column for the bytes that the ids decode to; short
+    texts' ids are then decoded by the task that encoded them.
+    """
+    docs = docs.drop(*(c for c in (out, decoded) if c))
     size = F.octet_length(utf8(text_col))
-    short = docs.filter(size <= chunk).withColumn(out, _encode_udf(ranks_path, pattern)(utf8(text_col)))
+    fields = f"`{out}` array<int>" + (f", `{decoded}` binary" if decoded else "")
+
+    def compute(texts: list[bytes]) -> list[pa.Array]:
+        ids = run_ids(ranks_path, pattern)
+        rows = [encode_text(_text(t), ids) for t in texts]
+        got = [_list_array(rows)]
+        if decoded:
+            decode = _decoder(ranks_path)
+            got.append(pa.array([decode(np.frombuffer(r, np.int32).tolist()) for r in rows], pa.binary()))
+        return got
+
+    short = map_texts(docs.filter(size <= chunk), text_col, fields, compute, drop)
     key = "__inocula_text_key"
     long = docs.filter(size > chunk).withColumn(key, F.sha2(utf8(text_col), 256))
     texts = long.groupBy(F.col(key).alias("h")).agg(F.first(utf8(text_col)).alias("t"))
     ids = _long_ids(texts, ranks_path, pattern, chunk, overlap).select(F.col("h").alias(key), F.col("ids").alias(out))
-    return short.unionByName(long.join(ids, key).select(*short.columns))
+    if decoded:
+        ids = decode_ids(ids, ranks_path, out, decoded)
+    return short.unionByName(long.drop(*drop).join(ids, key).select(*short.columns))
 
 
 def decode_ids(docs: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -220,14 +245,8 @@ def decode_ids(docs: DataFrame, ranks_path: str, ids_col: str = "ids", out: str
 
     @F.arrow_udf("binary")
     def decode(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        raw = {i: b for b, i in load_ranks(ranks_path).items()}.__getitem__
+        join = _decoder(ranks_path)
         for a in it:
-            flat = a.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(np.asarray(a.value_lengths().fill_null(0)))
-            at, rows = 0, []
-            for end in ends.tolist():
-                rows.append(b"".join(map(raw, flat[at:end].tolist())))
-                at = end
-            yield pa.array(rows, pa.binary())
+            yield pa.array([join(v or ()) for v in values(a)], pa.binary())
 
     return docs.withColumn(out, decode(F.col(ids_col)))

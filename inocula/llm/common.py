@@ -6,8 +6,10 @@ import os
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -79,6 +81,29 @@ def batches_of(rows: Iterable, size: int) -> Iterator[list]:
         yield out
 
 
+def map_texts(docs: DataFrame, text_col: str, fields: str, compute, drop: tuple[str, ...] = (), rows: int = 256) -> DataFrame:
+    """``docs`` without ``drop``, with new columns computed from the text's bytes.
+
+    ``compute`` gets the texts (null: empty) of ``rows`` documents and returns
+    one Arrow array per new column of ``fields`` (a DDL string).  Output
+    leaves in small batches, so a worker holds the results of few documents.
+    """
+    new = T.StructType.fromDDL(fields)
+    names = [c for c in docs.columns if c not in (*drop, *new.fieldNames())]
+    schema = T.StructType([docs.schema[c] for c in names] + list(new))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                texts = [t.as_py() for t in part.column(len(names))]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(names)], *compute(texts)], names=[*names, *new.fieldNames()]
+                )
+
+    return docs.select(*names, utf8(text_col).alias("__bytes")).mapInArrow(run, schema)
+
+
 def sampled_rows(docs: DataFrame, ids: DataFrame, id_col: str, payload: Column, keep: list[str], most: int) -> list:
     """Rows of ``docs`` whose id is in ``ids`` (a bounded table), as a bounded list.
 

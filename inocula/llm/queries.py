@@ -89,8 +89,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes decoded from them, as digests."""
     ranks = vocabularies.path("byte_bpe_multi_50k.tiktoken")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    encoded = bpe.encode_documents(docs, ranks, vocabularies.PATTERN).drop("text")
-    return bpe.decode_ids(encoded, ranks).select(
+    return bpe.encode_documents(docs, ranks, vocabularies.PATTERN, decoded="decoded", drop=("text",)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
