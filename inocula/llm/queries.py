@@ -180,7 +180,7 @@ votes AS (SELECT n, lead, j, f[j] AS v, sum(w) AS w FROM each GROUP BY ALL),
 modal AS (
   SELECT n, lead, j, v FROM votes
   QUALIFY row_number() OVER (PARTITION BY n, lead, j
-    ORDER BY w DESC, ('0x' || substr(md5(v), 1, 15))::BIGINT DESC) = 1),
+    ORDER BY w DESC, ('0x' || substr(md5(v), 1, 7))::BIGINT DESC) = 1),
 leaves AS (SELECT n, lead FROM weighed WHERE n > {linededup.LEAD} GROUP BY ALL HAVING count(*) > 1),
 belongs AS (
   SELECT e.line FROM each e JOIN modal m ON e.n = m.n AND e.lead = m.lead AND e.j = m.j AND e.f[e.j] = m.v
