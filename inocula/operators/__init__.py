@@ -11,7 +11,6 @@ from .audit import (
     violations,
 )
 from .core import (
-    add_std,
     count_rows,
     count_std,
     crosstab,
@@ -32,7 +31,6 @@ from .core import (
 from .temporal import count_prior_pairs, latest_prior
 
 __all__ = [
-    "add_std",
     "audit_summary",
     "check_violations",
     "count_prior_pairs",

@@ -198,7 +198,6 @@ def audit_summary(tables: dict[str, DataFrame], names: Sequence[str] | None = No
     # the declared rules are metadata (a few rows per table), not data
     rules_df = literal_rows(spark, declared, _TAG)
     return (
-        F.broadcast(rules_df)
-        .join(found, list(_TAG), "left")
+        rules_df.join(found, list(_TAG), "left")
         .select(*_TAG, F.coalesce(F.col("_found"), F.lit(0)).cast("bigint").alias("violations"))
     )

@@ -123,20 +123,35 @@ def running_total(df: DataFrame, order_col: str, value_col: str, alias: str = "c
     return df.withColumn(alias, F.sum(value_col).over(w))
 
 
-def crosstab(df: DataFrame, row: Names, col: str, values: Sequence, fill: int = 0) -> DataFrame:
+def crosstab(df: DataFrame, row: Names, col: str, values: Sequence, fill: int = 0, other: str = "other") -> DataFrame:
     """Count table ``row x col``; absent cells = ``fill`` (0 like a crosstab).
 
-    ``values`` fixes the columns, which saves the distinct-values job pivot
-    would otherwise run and keeps the output schema stable.
+    ``values`` fixes the columns, which saves the distinct-values job a pivot
+    would otherwise run and keeps the output schema stable.  Values outside
+    the list are counted in the column ``other``, so a row's cells always add
+    up to its rows; rows whose value is NULL have no column.  One aggregate,
+    no pivot.
     """
-    out = df.groupBy(*_names(row)).pivot(col, list(values)).count()
-    cols = [str(v) for v in values]
-    return out.na.fill(fill, subset=cols) if fill is not None else out
+    c = F.col(col)
+    cells = [F.count(F.when(c == F.lit(v), 1)).alias(str(v)) for v in values]
+    outside = F.count(F.when(~c.isin(list(values)), 1)).alias(other)
+    out = df.groupBy(*_names(row)).agg(*cells, outside)
+    if fill == 0:
+        return out
+    cut = [F.when(F.col(f"`{x}`") == 0, fill).otherwise(F.col(f"`{x}`")).alias(x) for x in (*map(str, values), other)]
+    return out.select(*_names(row), *cut)
 
 
 def pivot_fixed(df: DataFrame, row: Names, col: str, values: Sequence, value_col: str) -> DataFrame:
-    """Long -> wide with fixed ``values``; absent cells stay NULL."""
-    return df.groupBy(*_names(row)).pivot(col, list(values)).agg(F.first(value_col))
+    """Long -> wide with fixed ``values``; absent cells stay NULL.
+
+    A value outside the list ends the query with an error rather than vanish.
+    """
+    c = F.col(col)
+    kind = df.schema[col].dataType
+    refuse = F.raise_error(F.concat(F.lit(f"{col} outside the list: "), c.cast("string"))).cast(kind)
+    known = F.when(c.isNull() | c.isin(list(values)), c).otherwise(refuse)
+    return df.withColumn(col, known).groupBy(*_names(row)).pivot(col, list(values)).agg(F.first(value_col))
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: Names | list[tuple[str, str]]) -> DataFrame:
@@ -175,12 +190,6 @@ def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
-def add_std(df: DataFrame, value_col: str, alias: str) -> DataFrame:
-    """``value + stddev_samp(value over all rows)``; NULL when fewer than 2 rows."""
-    sd = df.agg(F.stddev_samp(value_col).alias("_sd"))
-    return with_scalar(df, sd).withColumn(alias, F.col(value_col) + F.col("_sd")).drop("_sd")
-
-
 def literal_rows(spark, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
     """A small constant table built from literals inside the JVM plan (no
     Python data transfer): for metadata such as rule lists, not for data."""

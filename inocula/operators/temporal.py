@@ -15,6 +15,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+def _require_dates(**columns: tuple[DataFrame, str]) -> None:
+    """A key's history is bounded by the calendar only if days are dates."""
+    for role, (df, c) in columns.items():
+        if not isinstance(df.schema[c].dataType, T.DateType):
+            raise TypeError(f"{role} {c} must be a date, not {df.schema[c].dataType.simpleString()}; cast it")
+
 
 _KIND = "_kind"  # 0 = event row, 1 = probe row; events sort first on a date tie
 
@@ -33,16 +41,17 @@ def count_prior_pairs(
     """Per (event_label, probe_label): the number of (event, probe) pairs with
     equal ``key`` and ``event_date <= probe_date``.
 
-    ``labels``: the complete, small set of non-NULL event labels, if known
-    (e.g. the vaccine ids of the vaccine dimension).  Event rows with another
-    label are then ignored, and one running count per label is kept as a
-    column, which saves the label/probe-day join and its shuffles.
+    ``labels``: the complete, small set of event labels, if the caller knows
+    it.  One running count per label is then kept as a column, which saves the
+    label/probe-day join and its shuffles; a label outside the set ends the
+    query with an error, and NULL labels are not counted.
 
     Same counts as ``SELECT e.label, p.label, COUNT(*) FROM events e JOIN
     probes p ON e.key = p.key AND e.date <= p.date GROUP BY 1, 2`` (pairs
     with a NULL key or date never match; label groups with no pair are
     absent).  Output columns: ``event_label, probe_label, alias`` (bigint).
     """
+    _require_dates(event_date=(events, event_date), probe_date=(probes, probe_date))
     ev = events.where(F.col(key).isNotNull() & F.col(event_date).isNotNull())
     pr = probes.where(F.col(key).isNotNull() & F.col(probe_date).isNotNull())
     if labels is not None:
@@ -87,6 +96,10 @@ def count_prior_pairs(
 def _count_prior_pairs_by_columns(ev, pr, key, event_date, probe_date, event_label, probe_label, alias, labels):
     vs = list(labels)
     cols = [f"_c{i}" for i in range(len(vs))]
+    label = F.col(event_label)
+    refuse = F.raise_error(F.concat(F.lit("label outside the set: "), label.cast("string")))
+    known = label.isNull() | label.isin(vs) | refuse.cast("boolean")
+    ev = ev.where(known)
     # events per (key, date), one count column per label
     e = ev.groupBy(F.col(key).alias("_k"), F.col(event_date).alias("_d")).agg(
         *[F.count(F.when(F.col(event_label) == F.lit(v), 1)).alias(c) for v, c in zip(vs, cols)]
@@ -135,6 +148,7 @@ def latest_prior(
     their union gives each probe date its hit; probes join back many-to-one
     on (key, date).
     """
+    _require_dates(event_date=(events, event_date), probe_date=(probes, probe_date))
     ev = events.where(F.col(key).isNotNull() & F.col(event_date).isNotNull())
     fields = list(dict.fromkeys([*pick, *payload]))  # pick order first, each column once
     best = ev.groupBy(F.col(key).alias("_k"), F.col(event_date).alias("_d")).agg(

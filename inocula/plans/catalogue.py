@@ -137,30 +137,16 @@ def q6_facility_stock(t: Tables) -> DataFrame:
     )
 
 
-def _vaccine_ids_if_small(t: Tables, limit: int = 64) -> list | None:
-    """The vaccine dimension's ids when there are few (one running count per
-    vaccine is then kept as a column); None otherwise."""
-    from .tasks import dimension_values
-
-    try:
-        return dimension_values(t["vaccine"], "id", max_values=limit)
-    except ValueError:
-        return None
-
-
 def _vaccine_symptom_pairs(t: Tables, symptom_col: str) -> DataFrame:
     """Per (vaccine id, symptom): number of (diagnosis, earlier-or-same-day
     attendance of the same patient) pairs, counted without forming pairs.
-    Doses are inner-joined to the vaccine table, so every dose's label is one
-    of the dimension's ids."""
+    One plan for any number of vaccines; nothing is read to build it."""
     dz = doses(t, how="inner").select("ssno", "date", F.col("vaccine_id").alias("id"))
     s = t["symptoms"].select(F.col("name").alias("_sn"))
     dg = t["diagnosis"].join(s, F.col("symptom") == F.col("_sn")).select(
         "ssno", "date", F.col("symptom").alias(symptom_col)
     )
-    return count_prior_pairs(
-        dz, dg, "ssno", "date", "date", "id", symptom_col, alias="frequency", labels=_vaccine_ids_if_small(t)
-    )
+    return count_prior_pairs(dz, dg, "ssno", "date", "date", "id", symptom_col, alias="frequency")
 
 
 def q7_symptom_frequency(t: Tables) -> DataFrame:

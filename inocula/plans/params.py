@@ -24,6 +24,7 @@ class Params:
     range_end: str = "2000-01-01"  # T10: exclusive
     genders: tuple[str, ...] = ("F", "M")  # T3
     top_k: int = 3  # T3
+    vaccines: tuple[str, ...] = ("V0", "V1", "V2", "V3", "V4")  # T7c-T7e: the wide tables' columns
 
 
 TESTDATA = Params()

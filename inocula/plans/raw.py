@@ -40,6 +40,7 @@ LOW = "5-LOW"
 CUTOFF = "1998-06-01"
 AS_OF = "2021-05-15"
 STATUSES = ["F", "O", "P"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 BALANCE_BANDS = ((0, "<=0"), (2500, "0-2500"), (5000, "2500-5000"), (7500, "5000-7500"))
 BALANCE_LAST = "7500+"
 URGENT_RATE_WORDS = ((0.3, "very common"), (0.15, "common"))
@@ -191,7 +192,7 @@ def prior_order_pairs(spark, sf_dir) -> DataFrame:
     o = _r(spark, sf_dir, "orders").select(
         "o_custkey", F.col("o_orderdate").cast("date").alias("d"), "o_orderpriority", "o_orderstatus"
     )
-    return count_prior_pairs(o, o, "o_custkey", "d", "d", "o_orderpriority", "o_orderstatus", alias="pairs")
+    return count_prior_pairs(o, o, "o_custkey", "d", "d", "o_orderpriority", "o_orderstatus", alias="pairs", labels=PRIORITIES)
 
 
 def latest_low_before_urgent(spark, sf_dir) -> DataFrame:

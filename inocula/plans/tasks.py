@@ -3,8 +3,6 @@ one lazy Spark plan each here)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +26,6 @@ from .builders import EVENT_KEY, Tables, doses, event_vaccines
 from .params import TESTDATA, Params
 
 
-def dimension_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
-    """Sorted distinct values of a dimension column, for pivot columns.
-
-    A bounded read of a small dimension: fails rather than pulling more than
-    ``max_values`` values to the driver.
-    """
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"{col}: more than {max_values} distinct values; pass pivot values explicitly")
-    return [r[0] for r in rows]
-
-
 # ------------------------------------------------------------------ T1 - T3
 def t1_patient_symptoms(t: Tables) -> DataFrame:
     """Patients with their diagnoses: ssNO, gender, dateOfBirth, symptom,
@@ -169,39 +155,41 @@ def t7b_doses_per_vaccine(t: Tables) -> DataFrame:
     )
 
 
-def _vaccine_ids(t: Tables, vaccines: Sequence[str] | None) -> list[str]:
-    return list(vaccines) if vaccines is not None else dimension_values(t["vaccine"], "id")
+def t7_symptom_vaccine_long(t: Tables) -> DataFrame:
+    """Symptom x vaccine in long form, for any number of vaccines: symptom,
+    vaccine, n, rate (n / doses of that vaccine, half-even to 2 digits;
+    NULL for a vaccine without doses), words."""
+    cnt = t7a_vaccine_per_diagnosis(t).groupBy("symptom", "vaccine").agg(F.count(F.lit(1)).alias("n"))
+    tot = t7b_doses_per_vaccine(t).select(F.col("vaccine").alias("_v"), F.col("count").alias("_doses"))
+    rate = round_half_even(F.col("n").cast("double") / F.col("_doses").cast("double"), 2)
+    rated = cnt.join(tot, F.col("vaccine").eqNullSafe(F.col("_v")), "left").withColumn("rate", rate)
+    return rated.select("symptom", "vaccine", "n", "rate", rate_words("rate").alias("words"))
 
 
-def t7c_symptom_vaccine_counts(t: Tables, vaccines: Sequence[str] | None = None) -> DataFrame:
+def t7c_symptom_vaccine_counts(t: Tables, p: Params = TESTDATA) -> DataFrame:
     """Symptom x vaccine table of T7a counts; absent cells 0.  Columns:
-    symptom, one per vaccine id (default: the vaccine dimension's ids)."""
-    return crosstab(t7a_vaccine_per_diagnosis(t), "symptom", "vaccine", _vaccine_ids(t, vaccines))
+    symptom, one per id of ``p.vaccines``, and ``other`` for all other ids."""
+    return crosstab(t7a_vaccine_per_diagnosis(t), "symptom", "vaccine", p.vaccines, other="other")
 
 
-def _t7_rates_long(t: Tables) -> DataFrame:
-    cnt = t7a_vaccine_per_diagnosis(t).groupBy("symptom", "vaccine").agg(F.count(F.lit(1)).alias("_n"))
-    tot = t7b_doses_per_vaccine(t).select(F.col("vaccine").alias("_v"), F.col("count").alias("_doses"))
-    rate = round_half_even(F.col("_n").cast("double") / F.col("_doses").cast("double"), 2)
-    return cnt.join(tot, F.col("vaccine") == F.col("_v")).select("symptom", "vaccine", rate.alias("_rate"))
+def _t7_rates(t: Tables) -> DataFrame:
+    # a diagnosis without a vaccine id has no column to go to, as in a crosstab
+    return t7_symptom_vaccine_long(t).where(F.col("vaccine").isNotNull() & F.col("rate").isNotNull())
 
 
-def t7d_symptom_vaccine_rates(t: Tables, vaccines: Sequence[str] | None = None) -> DataFrame:
+def t7d_symptom_vaccine_rates(t: Tables, p: Params = TESTDATA) -> DataFrame:
     """count / doses of that vaccine, rounded half-even to 2 digits; absent
-    cells 0.0."""
-    vs = _vaccine_ids(t, vaccines)
-    wide = pivot_fixed(_t7_rates_long(t), "symptom", "vaccine", vs, "_rate")
-    return wide.na.fill(0.0, subset=[str(v) for v in vs])
+    cells 0.0.  An id outside ``p.vaccines`` is refused (a rate cannot be
+    put into a common column); the long form takes any ids."""
+    wide = pivot_fixed(_t7_rates(t), "symptom", "vaccine", p.vaccines, "rate")
+    return wide.na.fill(0.0, subset=list(p.vaccines))
 
 
-def t7e_symptom_vaccine_words(
-    t: Tables, vaccines: Sequence[str] | None = None, words=None
-) -> DataFrame:
+def t7e_symptom_vaccine_words(t: Tables, p: Params = TESTDATA, words=None) -> DataFrame:
     """T7d's rates in words ('very common' / 'common' / 'rare' / '-')."""
-    vs = _vaccine_ids(t, vaccines)
-    rates = t7d_symptom_vaccine_rates(t, vs)
     kw = {} if words is None else {"words": words}
-    return rates.select("symptom", *[rate_words(F.col(f"`{v}`"), **kw).alias(str(v)) for v in vs])
+    rates = t7d_symptom_vaccine_rates(t, p)
+    return rates.select("symptom", *[rate_words(F.col(f"`{v}`"), **kw).alias(v) for v in p.vaccines])
 
 
 # ------------------------------------------------------------------ T8 - T9

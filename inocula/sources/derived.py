@@ -188,7 +188,10 @@ class DerivedTables:
 
     def attends(self) -> DataFrame:
         l, o, s = self.raw("lineitem"), self.raw("orders"), self.raw("supplier")
-        l = l.where((F.col("l_linenumber") == 1) & (F.col("l_quantity") <= 10))
+        # every line is an attendance: customers attend in pairs under the even
+        # key, so odd patients have none; some attendees are not patients
+        ck = F.col("o_custkey")
+        attendee = F.when(ck % 97 == 1, _key("X", "o_custkey")).otherwise(_key("P", ck - ck % 2))
         j = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(
             s.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")
         )
@@ -196,7 +199,7 @@ class DerivedTables:
             j.select(
                 self._month_start("l_shipdate").alias("date"),
                 F.col("s_name").alias("healthcarefacilityname"),
-                _key("P", "o_custkey").alias("ssno"),
+                attendee.alias("ssno"),
             ).distinct(),
             "attends",
         )
@@ -295,6 +298,38 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return DerivedTables(spark, sf_dir).tables()
 
 
+def planted_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The derived tables with violations of every kind of rule put in."""
+    clean = derived_tables(spark, sf_dir)
+    number = F.substring("ssno", 2, 20).cast("bigint")
+
+    def patient():
+        p = clean["patient"]
+        odd = p.withColumn("vaccinationstatus", F.when(number % 89 == 5, 7).otherwise(F.col("vaccinationstatus")))
+        return odd.unionByName(p.where(number % 50 == 3))
+
+    def staff():
+        lost = F.when(number % 60 == 4, "nowhere").otherwise(F.col("healthcarefacilityname"))
+        return clean["staff"].withColumn("healthcarefacilityname", lost)
+
+    def attends():
+        return clean["attends"].withColumn("date", F.when(number % 40 == 6, F.date_add("date", 1)).otherwise(F.col("date")))
+
+    def symptoms():
+        s = clean["symptoms"]
+        critical = s.where("criticality = 1")
+        twice = critical.withColumn("criticality", F.lit(3))
+        return s.unionByName(twice).unionByName(critical.select(F.lit(None).cast("string").alias("name"), F.lit(0).alias("criticality")))
+
+    def shift():
+        s = clean["shift"]
+        day = lambda w, to: s.where(F.col("workday") == w).withColumn("workday", F.lit(to).cast("int"))
+        return s.unionByName(day(2, 9)).unionByName(day(3, None))
+
+    planted = {"patient": patient, "staff": staff, "attends": attends, "symptoms": symptoms, "shift": shift}
+    return LazyTables({n: planted.get(n, lambda n=n: clean[n]) for n in TABLES})
+
+
 # ------------------------------------------------------------ raw sheets
 # Two workbook sheets in their raw exported form (text columns, workbook
 # headers, a filler column), derived from the testdata so the cleaning rules
@@ -314,6 +349,8 @@ def raw_diagnosis_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("-"),
         F.lpad((k % 31 + 1).cast("string"), 2, "0"),
     )
+    # spreadsheet exports write some dates with a time
+    text = F.concat(text, F.when(k % 5 == 0, " 00:00:00").when(k % 5 == 1, " 13:45:10").otherwise(""))
     return o.select(
         _key("P", "o_custkey").alias("patient"),
         F.concat(F.col("o_orderpriority"), F.lit("/"), F.col("o_orderstatus")).alias("symptom"),

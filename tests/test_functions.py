@@ -58,11 +58,11 @@ def test_weekday_number_unknown_is_null(spark):
 
 
 def test_coerce_date_repairs_impossible_and_null(spark):
-    df = one_col(spark, ["2021-02-29", None, "2021-05-10", "garbage"], T.StringType())
+    df = one_col(spark, ["2021-02-29", None, "2021-05-10", "garbage", "2021-05-10 00:00:00", "2021-02-30 10:00:00"], T.StringType())
     got = [r.v for r in df.select(coerce_date("x").alias("v")).collect()]
-    assert got == [d("2021-02-28"), d("2021-02-28"), d("2021-05-10"), d("2021-02-28")]
+    assert got == [d("2021-02-28"), d("2021-02-28"), d("2021-05-10"), d("2021-02-28"), d("2021-05-10"), d("2021-02-28")]
     raw = [r.v for r in df.select(coerce_date("x", fill=None).alias("v")).collect()]
-    assert raw == [None, None, d("2021-05-10"), None]
+    assert raw == [None, None, d("2021-05-10"), None, d("2021-05-10"), None]
 
 
 def test_round_half_even_like_numpy(spark):

@@ -10,7 +10,7 @@ import pytest
 
 from conftest import d, rows_of
 from inocula.operators import audit_summary, violations
-from inocula.sources.store import AuditFailed, load_tables, read_tables, with_row_index
+from inocula.sources.store import AuditFailed, current_folders, load_tables, read_tables, with_row_index
 from inocula.sources.workbook import clean_sheet, ingest_workbook, read_sheet, unreadable_dates
 from inocula.streaming import sheet_stream
 
@@ -109,8 +109,8 @@ def test_load_refuses_violations_then_round_trips(spark, scratch):
     t = ingest_workbook(spark, write_export(os.path.join(scratch, "x")))
     with pytest.raises(AuditFailed):
         load_tables(t, os.path.join(scratch, "db"))
-    assert not os.path.exists(os.path.join(scratch, "db", "vaccine"))
-    assert os.listdir(os.path.join(scratch, "db", "_staging"))  # kept for inspection
+    assert current_folders(spark, os.path.join(scratch, "db")) == {}
+    assert os.listdir(os.path.join(scratch, "db", "_loads"))  # kept for inspection
     clean = dict(t)
     clean["patient"] = t["patient"].selectExpr("ssno", "name", "birthday", "gender", "least(vaccinationstatus, 2) AS vaccinationstatus")
     clean["shift"] = t["shift"].where("workday IS NOT NULL")
@@ -161,10 +161,42 @@ def test_streaming_append_is_exactly_once(spark, scratch):
     load_tables({"shift": spark.createDataFrame([(3, "S3")], "workday int, ssno string")}, db, audit=False)
     got = rows_of(read_tables(spark, db, ["shift"])["shift"])
     assert got == [(1, "S1"), (3, "S3"), (7, "S2"), (None, "S1")]
+    # an overwrite replaces streamed rows too, and its audit sees what will be read
+    load_tables({"shift": spark.createDataFrame([(3, "S3")], "workday int, ssno string")}, db, mode="overwrite", audit=False)
+    assert rows_of(read_tables(spark, db, ["shift"])["shift"]) == [(3, "S3")]
     with pytest.raises(ValueError):
         sheet_stream(spark, root, "Patients", ["ssNo"], db)
 
 
+def test_another_column_order_is_refused(spark, scratch):
+    write_export(scratch, {"Symptoms": SHEETS["Symptoms"]})
+    with open(os.path.join(scratch, "Symptoms", "part-1.csv"), "w", newline="") as f:
+        csv.writer(f).writerows([["criticality", "name"], ["0", "chills"]])
+    with pytest.raises(Exception, match="(?i)header"):
+        read_sheet(spark, scratch, "Symptoms").collect()
+
+
+def test_bad_rows_end_the_read_and_quoted_breaks_do_not(spark, scratch):
+    header, rows = SHEETS["Symptoms"]
+    write_export(os.path.join(scratch, "a"), {"Symptoms": (header, [*rows, ["a\nb", "1"]])})
+    assert read_sheet(spark, os.path.join(scratch, "a"), "Symptoms").count() == 3
+    write_export(os.path.join(scratch, "b"), {"Symptoms": (header, [*rows, ["x", "1", "2"]])})
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_sheet(spark, os.path.join(scratch, "b"), "Symptoms").collect()
+
+
+def test_whole_numbers_only(spark):
+    df = spark.createDataFrame([("a", "1"), ("b", "1.0"), ("c", "1.7"), ("d", "x"), ("e", " -2 ")], "name string, criticality string")
+    assert [r[1] for r in rows_of(clean_sheet("Symptoms", df))] == [1, 1, None, None, -2]
+
+
+def test_a_date_is_repaired_exactly_when_it_is_listed(spark):
+    dates = ["2021-05-10", "2021-05-10 00:00:00", "2021-02-29", "2021-02-29 01:00:00", None, "", "10.5.2021", " 2021-05-11 "]
+    df = spark.createDataFrame([(str(i), "rash", x) for i, x in enumerate(dates)], "patient string, symptom string, date string")
+    repaired = {r.ssno for r in clean_sheet("Diagnosis", df).collect() if r.date == d("2021-02-28")}
+    assert repaired == {r.patient for r in unreadable_dates(df).collect()} == {"2", "3", "4", "5", "6"}
+
+
 def test_clean_sheet_missing_column_is_null(spark):
     df = spark.createDataFrame([("fever",)], "name string")
     assert rows_of(clean_sheet("Symptoms", df)) == [("fever", None)]
@@ -188,7 +220,8 @@ def test_date_partitioned_fact_table_prunes(spark, scratch):
     back = read_tables(spark, db)
     assert back["diagnosis"].columns == ["ssno", "symptom", "date"]
     assert len(back["diagnosis"].collect()) == 4
-    assert any(n.startswith("date=2021-05-13") for n in os.listdir(os.path.join(db, "diagnosis")))
+    folders = current_folders(spark, db)["diagnosis"]
+    assert any(n.startswith("date=2021-05-13") for f in folders for n in os.listdir(f))
     q4 = q4_critical_after(back, Params(diagnosed_after="2021-05-10"))
     assert rows_of(q4.select("date")) == [(d("2021-05-11"),)]
     plan = q4._jdf.queryExecution().executedPlan().toString()
@@ -210,7 +243,9 @@ def test_command_line_ingest_audit_report(spark, scratch):
     assert audit[("patient", "check")] == 1
     out = os.path.join(scratch, "out")
     args = ["report", "--store", store, "--out", out, "--names", "q5_vaccination_status,t9_cumulative_vaccinated,q1_staff_on_duty"]
-    assert main(args + ["--set", "event_date=2021-05-03", "--set", "facilities=H1,H2"]) == 0
+    with pytest.raises(SystemExit, match="event_workday"):
+        main(args + ["--set", "event_date=2021-05-03"])
+    assert main(args + ["--set", "event_date=2021-05-03", "--set", "event_workday=1"]) == 0
     assert rows_of(spark.read.parquet(os.path.join(out, "q5_vaccination_status")).select("ssno", "vaccinationstatus")) == [
         ("P1", 1),  # three doses of a two-dose vaccine
         ("P9", 0),  # one dose

@@ -18,18 +18,18 @@ EXPECTED = {
     "q1_staff_on_duty": (C.q1_staff_on_duty, 50),
     "q2_doctors_on_day": (C.q2_doctors_on_day, 10),
     "q4_critical_after": (C.q4_critical_after, 136),
-    "q5_vaccination_status": (C.q5_vaccination_status, 179),
+    "q5_vaccination_status": (C.q5_vaccination_status, 225),
     "q6_facility_stock": (C.q6_facility_stock, 10),
     "q7_symptom_frequency": (C.q7_symptom_frequency, 75),
     "q7b_symptom_frequency_per_catalogue": (C.q7b_symptom_frequency_per_catalogue, 75),
     "t2_first_two_doses": (T.t2_first_two_doses, 150),
     "t3_top_symptoms": (T.t3_top_symptoms, 6),
     "t7b_doses_per_vaccine": (T.t7b_doses_per_vaccine, 5),
-    "t8b_dose_reserve": (T.t8b_dose_reserve, 162),
-    "t9_cumulative_vaccinated": (T.t9_cumulative_vaccinated, 73),
+    "t8b_dose_reserve": (T.t8b_dose_reserve, 826),
+    "t9_cumulative_vaccinated": (T.t9_cumulative_vaccinated, 83),
     "t10_staff_met": (T.t10_staff_met, 30),
-    "t10_patients_met": (T.t10_patients_met, 3),
-    "v2_diagnoses_without_attendance": (V.v2_diagnoses_without_attendance, 515),
+    "t10_patients_met": (T.t10_patients_met, 130),
+    "v2_diagnoses_without_attendance": (V.v2_diagnoses_without_attendance, 744),
     "v3_staff_vaccinated_by_facility": (V.v3_staff_vaccinated_by_facility, 10),
     "v4_doses_per_manufacturer": (V.v4_doses_per_manufacturer, 25),
     "v5_patients_per_facility": (V.v5_patients_per_facility, 10),

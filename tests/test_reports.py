@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from conftest import base_rows, d, make_tables, rows_of
 from inocula.plans import catalogue as C
 from inocula.plans import charts as V
@@ -121,16 +123,43 @@ def test_t6_null_status_in_divisor_not_a_row(spark):
     assert wide == {0: (None, None, None, None, 1.0), 1: (2.0 / 3, None, None, None, None)}
 
 
+TWO = Params(vaccines=("V1", "V2"))
+
+
+@pytest.mark.parametrize("n", [65, 1200])
+def test_any_number_of_vaccines(spark, n):
+    """One plan and no read at build time, whatever the number of vaccines."""
+    from inocula.plans import catalogue as C
+
+    r = base_rows()
+    r["vaccine"] = [(f"V{i}", f"N{i}", 1, 0, 0) for i in range(n)]
+    r["manufacturer"] = [(f"M{i}", "1", "FI", f"V{i}") for i in range(n + 1)]  # the last vaccine is in no catalogue
+    r["batch"] = [(f"B{i}", 1, f"M{i}", d("2021-01-01"), "H1", d("2022-01-01")) for i in range(n + 1)]
+    r["healthcarefacility"] = [(f"H{i}", "a", "1") for i in range(n + 1)]
+    r["vaccination"] = [(d("2021-05-03"), f"H{i}", f"B{i}") for i in range(n + 1)]
+    r["patient"] = [(f"P{i}", "a", None, "F", 0) for i in range(n + 1)]
+    r["attends"] = [(d("2021-05-03"), f"H{i}", f"P{i}") for i in range(n + 1)]
+    r["diagnosis"] = [(f"P{i}", "rash", d("2021-05-04")) for i in range(n + 1)]
+    t = make_tables(spark, **r)
+    assert C.q7_symptom_frequency(t).count() == n
+    assert C.q7b_symptom_frequency_per_catalogue(t).count() == n
+    assert T.t7_symptom_vaccine_long(t).count() == n + 1
+    row = T.t7c_symptom_vaccine_counts(t, TWO).first()
+    assert (row["V1"], row["V2"], row["other"]) == (1, 1, n - 1)
+    with pytest.raises(Exception, match="outside the list"):
+        T.t7d_symptom_vaccine_rates(t, TWO).collect()
+
+
 def test_t7c_to_t7e_absent_cells(spark):
     r = base_rows()
     r["patient"] = [("P1", "a", None, "F", 0), ("P2", "b", None, "M", 0)]
     r["attends"] = [(d("2021-05-03"), "H1", "P1"), (d("2021-05-03"), "H2", "P2"), (d("2021-05-10"), "H2", "P1")]
     r["diagnosis"] = [("P1", "fever", d("2021-05-04")), ("P2", "rash", d("2021-05-04"))]
     t = make_tables(spark, **r)
-    assert rows_of(T.t7c_symptom_vaccine_counts(t)) == [("fever", 1, 0), ("rash", 0, 1)]
+    assert rows_of(T.t7c_symptom_vaccine_counts(t, TWO).drop("other")) == [("fever", 1, 0), ("rash", 0, 1)]
     # V1 has 1 dose, V2 has 2
-    assert rows_of(T.t7d_symptom_vaccine_rates(t)) == [("fever", 1.0, 0.0), ("rash", 0.0, 0.5)]
-    assert rows_of(T.t7e_symptom_vaccine_words(t)) == [("fever", "very common", "-"), ("rash", "-", "very common")]
+    assert rows_of(T.t7d_symptom_vaccine_rates(t, TWO)) == [("fever", 1.0, 0.0), ("rash", 0.0, 0.5)]
+    assert rows_of(T.t7e_symptom_vaccine_words(t, TWO)) == [("fever", "very common", "-"), ("rash", "-", "very common")]
 
 
 def test_t8b_single_event_std_is_null(spark):
