@@ -21,18 +21,21 @@ from pyspark.sql import SparkSession
 from .operators import audit_summary
 from .plans.params import TESTDATA, Params
 from .plans.registry import TABLE_REPORTS
-from .session import DEFAULT_CONF, ensure_checkpoint_dir
+from .session import cluster_conf, ensure_checkpoint_dir
 from .sources.store import load_tables, read_tables
 from .sources.workbook import ingest_workbook
 
 DATED_FACTS = {"diagnosis": ["date"], "attends": ["date"], "vaccination": ["date"]}
 
 
-def _session() -> SparkSession:
-    b = SparkSession.builder.appName("inocula")
-    for k, v in DEFAULT_CONF.items():
-        b = b.config(k, v)
-    spark = b.getOrCreate()
+def _session(input_bytes: int, executors: int, cores: int) -> SparkSession:
+    """The platform's session.  The cluster profile fills in what the
+    submitted settings leave open; it never replaces one of them."""
+    spark = SparkSession.builder.appName("inocula").getOrCreate()
+    submitted = dict(spark.sparkContext.getConf().getAll())
+    for k, v in cluster_conf(input_bytes, executors, cores).items():
+        if k.startswith("spark.sql.") and k not in submitted and spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -54,6 +57,33 @@ def _params(pairs: list[str]) -> Params:
     return dataclasses.replace(TESTDATA, **values)
 
 
+# The parameters that a report reads: it is refused while one is not given.
+READS = {
+    "q1_staff_on_duty": ("event_date", "event_workday"),
+    "q2_doctors_on_day": ("doctor_workday", "doctor_role", "facilities"),
+    "q4_critical_after": ("diagnosed_after",),
+    "t3_top_symptoms": ("genders", "top_k"),
+    "t3_top_symptoms_text": ("genders", "top_k"),
+    "t4_age_groups": ("as_of",),
+    "t6_status_share_long": ("as_of",),
+    "t6_status_share": ("as_of",),
+    "t7c_symptom_vaccine_counts": ("vaccines",),
+    "t7d_symptom_vaccine_rates": ("vaccines",),
+    "t7e_symptom_vaccine_words": ("vaccines",),
+    "t10_staff_met": ("ill_staff", "range_start", "range_end"),
+    "t10_patients_met": ("ill_staff", "range_start", "range_end"),
+    "t10_contacts": ("ill_staff", "range_start", "range_end"),
+}
+
+
+def _require(names: list[str], pairs: list[str]) -> None:
+    given = {p.partition("=")[0] for p in pairs}
+    missing = {n: [k for k in READS.get(n, ()) if k not in given] for n in names}
+    missing = {n: ks for n, ks in missing.items() if ks}
+    if missing:
+        raise SystemExit("; ".join(f"{n} needs --set {', '.join(ks)}" for n, ks in missing.items()))
+
+
 def _run_report(name: str, tables, params: Params):
     fn = TABLE_REPORTS[name]
     return fn(tables, params) if "p" in inspect.signature(fn).parameters else fn(tables)
@@ -77,9 +107,15 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--names", default=",".join(TABLE_REPORTS))
     c.add_argument("--set", action="append", default=[], metavar="KEY=VALUE")
     c.add_argument("--show", type=int, default=0, help="print the first N rows instead of writing")
+    for x in (a, b, c):
+        x.add_argument("--input-bytes", type=int, default=0, help="size of the input: sets the shuffle partitions")
+        x.add_argument("--executors", type=int, default=2)
+        x.add_argument("--cores", type=int, default=4, help="cores of an executor")
     args = ap.parse_args(argv)
+    if args.cmd == "report":
+        _require([n for n in args.names.split(",") if n], args.set)
 
-    spark = _session()
+    spark = _session(args.input_bytes, args.executors, args.cores)
     if args.cmd == "ingest":
         summary = load_tables(
             ingest_workbook(spark, args.export),

@@ -106,9 +106,19 @@ def weekday_number(name: ColumnOrName) -> Column:
     return F.try_element_at(m, _c(name))
 
 
-def coerce_date(text: ColumnOrName, fmt: str = "yyyy-MM-dd", fill: str | None = REPAIR_DATE) -> Column:
-    """Parse text as a date; unreadable (or NULL) -> ``fill`` (NULL if None)."""
-    parsed = F.try_to_date(_c(text).cast("string"), fmt)
+# The ways the workbook export writes a date.
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+
+
+def parse_date(text: ColumnOrName) -> Column:
+    """Text -> calendar date in any of ``DATE_FORMATS``; NULL where unreadable."""
+    s = F.trim(_c(text).cast("string"))
+    return F.coalesce(*[F.try_to_date(s, f) for f in DATE_FORMATS])
+
+
+def coerce_date(text: ColumnOrName, fill: str | None = REPAIR_DATE) -> Column:
+    """``parse_date``; unreadable (or NULL) -> ``fill`` (NULL if None)."""
+    parsed = parse_date(text)
     return parsed if fill is None else F.coalesce(parsed, F.lit(fill).cast("date"))
 
 

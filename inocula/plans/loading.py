@@ -3,11 +3,26 @@ status, V1 unreadable dates, and the audit of all derived tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
 
-from ..operators import audit_summary, foreign_key_orphans, length_violations, not_null_violations
-from ..sources.derived import derived_tables, raw_diagnosis_sheet, raw_shift_sheet
-from ..sources.workbook import clean_sheet, patient_status, unreadable_dates
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import (
+    audit_summary,
+    check_violations,
+    duplicate_keys,
+    foreign_key_orphans,
+    length_violations,
+    not_null_violations,
+)
+from ..schema import TABLES
+from ..session import ensure_checkpoint_dir
+from ..sources.derived import derived_tables, planted_tables, raw_diagnosis_sheet, raw_shift_sheet
+from ..sources.store import load_tables, preview, read_table
+from ..sources.workbook import SHEET_TABLE, clean_sheet, export_sheet, patient_status, read_sheet, unreadable_dates
+from .catalogue import register_vaccination_status_view
 
 
 def l1_clean_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +46,105 @@ def v1_unreadable_diagnosis_dates(spark: SparkSession, sf_dir: str) -> DataFrame
     return unreadable_dates(raw_diagnosis_sheet(spark, sf_dir))
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, tables) -> dict[str, DataFrame]:
+    """The tables as stored: an audit reads each several times, so they are
+    derived once and written first, as a load does."""
+    root = _shared(spark, "audit")
+    load_tables(tables, root, mode="overwrite", audit=False)
+    return {n: read_table(spark, root, n) for n in TABLES}
+
+
+def audit_planted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per (table, rule): violations of the tables with planted ones."""
+    return audit_summary(_written(spark, planted_tables(spark, sf_dir)))
+
+
+def audit_planted_duplicate_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary keys that occur more than once."""
+    return duplicate_keys(planted_tables(spark, sf_dir)["patient"], ["ssno"])
+
+
+def audit_planted_staff_without_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose one-column reference has no parent."""
+    t = planted_tables(spark, sf_dir)
+    return foreign_key_orphans(t["staff"], t["healthcarefacility"], ["healthcarefacilityname"], ["name"])
+
+
+def audit_planted_attends_without_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose two-column reference has no parent."""
+    t = planted_tables(spark, sf_dir)
+    key = ["date", "healthcarefacilityname"]
+    return foreign_key_orphans(t["attends"], t["vaccination"], key, key)
+
+
+def audit_planted_status_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break a CHECK."""
+    return check_violations(planted_tables(spark, sf_dir)["patient"], TABLES["patient"].checks[0])
+
+
+def audit_planted_symptom_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a UNIQUE column that occur more than once."""
+    return duplicate_keys(planted_tables(spark, sf_dir)["symptoms"], ["name"])
+
+
+def s6_append_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnoses loaded in two appends, read back."""
+    root, d = _shared(spark, "store"), derived_tables(spark, sf_dir)["diagnosis"]
+    first = F.pmod(F.xxhash64("ssno"), F.lit(2)) == 0
+    load_tables({"diagnosis": d.where(first)}, root, audit=False)
+    load_tables({"diagnosis": d.where(~first)}, root, audit=False)
+    return read_table(spark, root, "diagnosis")
+
+
+def s7_overwrite_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symptoms loaded, then replaced by the critical ones, read back."""
+    root, s = _shared(spark, "store"), derived_tables(spark, sf_dir)["symptoms"]
+    load_tables({"symptoms": s}, root)
+    load_tables({"symptoms": s.where("criticality = 1")}, root, mode="overwrite")
+    return read_table(spark, root, "symptoms")
+
+
+def s9_vaccination_status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named view, defined and read whole."""
+    register_vaccination_status_view(derived_tables(spark, sf_dir))
+    return spark.sql("SELECT * FROM vaccination_status_view")
+
+
+def s10_status_counts_from_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query over the named view."""
+    register_vaccination_status_view(derived_tables(spark, sf_dir))
+    return spark.sql("SELECT vaccinationstatus, COUNT(*) AS patients FROM vaccination_status_view GROUP BY vaccinationstatus")
+
+
+def o6_first_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preview: the first ten diagnoses by date, patient and symptom."""
+    return preview(derived_tables(spark, sf_dir)["diagnosis"], 10, ["date", "ssno", "symptom"])
+
+
+def _from_csv(sheet: str) -> Callable[[SparkSession, str], DataFrame]:
+    table = SHEET_TABLE[sheet]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = derived_tables(spark, sf_dir)
+        df = t[table]
+        if table == "shift":  # the sheet has weekday names; 2024-01-01 is a Monday
+            df = df.withColumn("workday", F.date_format(F.make_date(F.lit(2024), F.lit(1), F.col("workday")), "EEEE"))
+        root = _shared(spark, "export")
+        export_sheet(df, root, sheet)
+        return clean_sheet(sheet, read_sheet(spark, root, sheet))
+
+    run.__name__ = f"l1_csv_{table}"
+    run.__doc__ = f"Sheet {sheet}: exported as CSV, read back by name and cleaned."
+    return run
+
+
 def audit_derived_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (table, rule): number of violating rows in the derived tables."""
-    return audit_summary(derived_tables(spark, sf_dir))
+    return audit_summary(_written(spark, derived_tables(spark, sf_dir)))
 
 
 def audit_rows_batch_id_width(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +173,16 @@ RUNS = {
     "audit_rows_batch_id_width": audit_rows_batch_id_width,
     "audit_rows_attends_event_fk": audit_rows_attends_event_fk,
     "audit_rows_staff_unknown_status": audit_rows_staff_unknown_status,
+    "audit_planted_tables": audit_planted_tables,
+    "audit_planted_duplicate_patients": audit_planted_duplicate_patients,
+    "audit_planted_staff_without_facility": audit_planted_staff_without_facility,
+    "audit_planted_attends_without_event": audit_planted_attends_without_event,
+    "audit_planted_status_range": audit_planted_status_range,
+    "audit_planted_symptom_names": audit_planted_symptom_names,
+    "s6_append_then_read": s6_append_then_read,
+    "s7_overwrite_then_read": s7_overwrite_then_read,
+    "s9_vaccination_status_view": s9_vaccination_status_view,
+    "s10_status_counts_from_view": s10_status_counts_from_view,
+    "o6_first_diagnoses": o6_first_diagnoses,
+    **{f"l1_csv_{t}": _from_csv(s) for s, t in SHEET_TABLE.items()},
 }

@@ -38,6 +38,7 @@ TABLE_REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
     "t6_status_share": T.t6_status_share,
     "t7a_vaccine_per_diagnosis": T.t7a_vaccine_per_diagnosis,
     "t7b_doses_per_vaccine": T.t7b_doses_per_vaccine,
+    "t7_symptom_vaccine_long": T.t7_symptom_vaccine_long,
     "t7c_symptom_vaccine_counts": T.t7c_symptom_vaccine_counts,
     "t7d_symptom_vaccine_rates": T.t7d_symptom_vaccine_rates,
     "t7e_symptom_vaccine_words": T.t7e_symptom_vaccine_words,
@@ -79,6 +80,8 @@ def oracle_sql() -> dict[str, str]:
         for part in (oracle.CATALOGUE, oracle.TASKS, oracle.CHARTS, oracle.LOADING_ON_DERIVED)
         for k, v in part.items()
     }
+    out.update({k: oracle.with_derived(v) for k, v in oracle.STORE.items()})
+    out.update({k: oracle.with_planted(v) for k, v in oracle.PLANTED.items()})
     out.update(oracle.RAW)
     out.update(oracle.LOADING)
     out["audit_derived_tables"] = oracle.with_derived(oracle._audit_sql())

@@ -34,11 +34,13 @@ DEFAULT_CONF = {
 }
 
 
-def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4) -> dict[str, str]:
+def cluster_conf(
+    input_bytes: int, executors: int, cores_per_executor: int = 4, max_partitions: int = 200_000
+) -> dict[str, str]:
     """Settings for a cluster run over ``input_bytes`` of Parquet.
 
     Shuffles start with one partition per 512 MB of input (at least three per
-    core, at most 200k: map tasks x reducers is the number of shuffle blocks
+    core, at most ``max_partitions``, a tuning bound: map tasks x reducers is the number of shuffle blocks
     the driver tracks, so ~400k scan tasks must not meet ~800k reducers) and
     AQE coalesces them to 256 MB or splits partitions over 1 GB that are 4x
     the median.  Scans read up to 256 MB per task.  The checkpoint folder is
@@ -46,7 +48,7 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4)
     """
     mb = 1024 * 1024
     cores = executors * cores_per_executor
-    partitions = max(3 * cores, min(input_bytes // (512 * mb), 200_000))
+    partitions = max(3 * cores, min(input_bytes // (512 * mb), max_partitions))
     return {
         **DEFAULT_CONF,
         "spark.sql.shuffle.partitions": str(partitions),

@@ -1,21 +1,27 @@
-"""Table storage: write (append in key order / overwrite), read back, views.
-
-Tables live as Parquet folders ``<root>/<table>``.  Writes go through
-Spark's committer, so a lost executor only re-runs its tasks and a failed
-job leaves no partial table visible.
+"""Table storage: load (append in key order / overwrite), read back, views.
+
+A load writes each table as Parquet through Spark's committer into a folder
+of its own, ``<root>/_loads/<run>/<table>``; what a table consists of is a
+list of such folders.  The lists are one small file, ``<root>/_current/<n>``;
+writing the next one is the only step that changes what readers see, for all
+tables at once.  So a load that fails or is refused leaves the store as it
+was, no data file is moved or deleted, and the audit reads the very folders
+that readers will.  One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.audit import audit_summary
-from ..operators.core import literal_rows
+from ..operators.core import literal_rows, union_all
 from ..schema import LOAD_ORDER, TABLES
 from ..session import ensure_checkpoint_dir
 
@@ -24,61 +30,65 @@ class AuditFailed(ValueError):
     """Raised by ``load_tables`` when a declared rule is violated."""
 
 
-def table_path(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/{name}"
+_publishing = threading.Lock()
 
 
-def incoming_path(root: str, name: str) -> str:
-    """Where a stream appends to a table.  A streaming file sink keeps a
-    commit log in its folder and readers of that folder see only logged
-    files, so streamed rows live beside the published folder, not in it."""
-    return f"{root.rstrip('/')}/_incoming/{name}"
+def _fs(spark: SparkSession, path: str):
+    """Hadoop FileSystem handle and Path class for ``path`` (any scheme the
+    cluster is configured for: hdfs, s3a, abfs, file, ...)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def write_table(
-    df: DataFrame, root: str, name: str, mode: str = "append", partition_by: Sequence[str] | None = None
-) -> None:
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    fs, Path = _fs(spark, root)
+    folder = Path(f"{root.rstrip('/')}/_current")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def current_folders(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Table -> the folders it consists of, as published last."""
+    versions = _versions(spark, root)
+    if not versions:
+        return {}
+    fs, Path = _fs(spark, root)
+    stream = fs.open(Path(f"{root.rstrip('/')}/_current/{versions[-1]}"))
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, root: str, change: Callable[[dict[str, list[str]]], dict[str, list[str]]]) -> None:
+    """Make ``change(current folders)`` the current ones: one file, renamed into place."""
+    with _publishing:
+        folders = change(current_folders(spark, root))
+        fs, Path = _fs(spark, root)
+        base = f"{root.rstrip('/')}/_current"
+        n = (_versions(spark, root) or [0])[-1] + 1
+        draft = Path(f"{base}/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(json.dumps(folders).encode())
+        out.close()
+        if not fs.rename(draft, Path(f"{base}/{n}")):
+            raise OSError(f"could not publish version {n} of {root}")
+
+
+def write_folder(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> None:
     """Write one table folder.  With ``partition_by`` (e.g. ``["date"]`` for
     the dated fact tables) rows are clustered by those columns first, so each
     partition directory gets few files, and filters on them prune whole
     directories when the table is read."""
     w = df.repartition(*partition_by).write.partitionBy(*partition_by) if partition_by else df.write
-    w.mode(mode).parquet(table_path(root, name))
-
-
-def _fs(spark: SparkSession, path: str):
-    """Hadoop FileSystem handle and Path class for ``path`` (any scheme the
-    cluster is configured for: hdfs, s3a, abfs, file, ...)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    w.mode("overwrite").parquet(path)
 
 
-def _move_files(fs, Path, src, dst) -> None:
-    """Move data files from ``src`` into ``dst``, keeping partition folders."""
-    fs.mkdirs(dst)
-    for st in fs.listStatus(src):
-        name = st.getPath().getName()
-        if st.isDirectory() and "=" in name:
-            _move_files(fs, Path, st.getPath(), Path(dst, name))
-        elif name.startswith("part-") and not fs.rename(st.getPath(), Path(dst, name)):
-            raise OSError(f"could not move {st.getPath()} into {dst}")
-
-
-def _publish(spark: SparkSession, staged: str, final: str, mode: str) -> None:
-    """Move a staged table folder into place: replace it (overwrite) or add
-    its data files to it (append).  Renames only -- no data is rewritten."""
-    fs, Path = _fs(spark, staged)
-    src, dst = Path(staged), Path(final)
-    if mode == "overwrite":
-        if fs.exists(dst):
-            fs.delete(dst, True)
-        fs.mkdirs(dst.getParent())
-        if not fs.rename(src, dst):
-            raise OSError(f"could not move {staged} to {final}")
-        return
-    _move_files(fs, Path, src, dst)
-    fs.delete(src, True)
+def _read_folders(spark: SparkSession, name: str, folders: Sequence[str]) -> DataFrame:
+    # partition columns, which Parquet keeps in folder names, are put back in place
+    schema = TABLES[name].schema
+    return union_all([spark.read.schema(schema).parquet(p).select(*schema.fieldNames()) for p in folders])
 
 
 def load_tables(
@@ -90,79 +100,69 @@ def load_tables(
     parallel_writes: int = 12,
     partition_by: dict[str, Sequence[str]] | None = None,
 ) -> DataFrame | None:
-    """Load the tables into ``root``: stage, audit, publish.
-
-    Each table is computed once and written to ``<root>/_staging/<run>``.
-    With ``audit`` the declared keys and checks are verified on the staged
-    Parquet -- together with the rows already stored when appending, so a
-    key duplicated across loads is caught -- and nothing is published when
-    a rule fails (``AuditFailed`` names the rules; the staged files stay
-    for inspection).  Rule kinds in ``ignore`` (e.g. "length") are reported
-    but do not block.  ``partition_by`` maps table -> partition columns
-    (e.g. ``{"diagnosis": ["date"], "attends": ["date"]}``; use the same
-    columns on every load of a table).  Publishing moves the staged files
-    into place, parents before children.  Returns the audit summary (or None).
+    """Load the tables into ``root``: write, audit, publish.
+
+    Each table is computed once.  With ``audit`` the declared keys and checks
+    of the loaded tables are verified on the store as it would be after the
+    load -- stored rows included when appending, so a key duplicated across
+    loads is caught -- and nothing is published when a rule fails
+    (``AuditFailed`` names the rules; the written files stay for inspection).
+    Rule kinds in ``ignore`` (e.g. "length") are reported but do not block.
+    ``partition_by`` maps table -> partition columns (e.g. ``{"diagnosis":
+    ["date"]}``).  Returns the audit summary (or None).
     """
     names = [n for n in LOAD_ORDER if n in tables]
     if not names:
         return None
     spark = tables[names[0]].sparkSession
-    staging = f"{root.rstrip('/')}/_staging/{uuid.uuid4().hex}"
+    run = f"{root.rstrip('/')}/_loads/{uuid.uuid4().hex}"
     # independent jobs: submit them together so small tables overlap
     with ThreadPoolExecutor(max_workers=min(len(names), parallel_writes)) as pool:
-        list(
-            pool.map(
-                lambda n: write_table(tables[n], staging, n, "overwrite", (partition_by or {}).get(n)), names
-            )
-        )
+        list(pool.map(lambda n: write_folder(tables[n], f"{run}/{n}", (partition_by or {}).get(n)), names))
+
+    def after(current: dict[str, list[str]]) -> dict[str, list[str]]:
+        kept = {n: current.get(n, []) if mode == "append" else [] for n in names}
+        return {**current, **{n: [*kept[n], f"{run}/{n}"] for n in names}}
+
     summary = None
     if audit:
-        # the store as it will be after publishing: stored tables (so foreign
-        # keys of a partial load are checked against existing parents) with
-        # the staged rows added (append) or in place of them (overwrite)
-        view = {n: read_table(spark, root, n) for n in TABLES if stored(spark, root, n)}
-        for name, df in read_tables(spark, staging, names).items():
-            view[name] = view[name].unionByName(df) if (mode == "append" and name in view) else df
-        audit = audit_summary(view, names)
-        # one row per declared rule (a few per table): safe to bring back,
-        # and the staged files it reads are moved away by the publish below
-        rows = audit.collect()
-        summary = literal_rows(spark, [tuple(r) for r in rows], audit.columns)
+        view = {n: _read_folders(spark, n, f) for n, f in after(current_folders(spark, root)).items()}
+        found = audit_summary(view, names)
+        # one row per declared rule (a few per table): safe to bring back
+        rows = found.collect()
+        summary = literal_rows(spark, [tuple(r) for r in rows], found.columns)
         failing = [r for r in rows if r["violations"] > 0 and r["rule"] not in set(ignore)]
         if failing:
             raise AuditFailed(
                 "; ".join(f"{r['table']}.{r['rule']}({r['detail']})={r['violations']}" for r in failing)
-                + f" [staged at {staging}]"
+                + f" [written to {run}]"
             )
-    for name in names:
-        _publish(spark, table_path(staging, name), table_path(root, name), mode)
-    fs, Path = _fs(spark, staging)
-    fs.delete(Path(staging), True)
+    publish(spark, root, after)
     return summary
 
 
-def stored(spark: SparkSession, root: str, name: str) -> bool:
-    """Whether the store holds table ``name`` (published or streamed rows)."""
-    fs, Path = _fs(spark, root)
-    return any(fs.exists(Path(p)) for p in (table_path(root, name), incoming_path(root, name)))
-
-
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table with its declared schema and column order (partition
-    columns, which Parquet keeps in folder names, are put back in place):
-    the published folder plus any rows a stream has appended."""
-    schema = TABLES[name].schema
-    fs, Path = _fs(spark, root)
-    paths = [p for p in (table_path(root, name), incoming_path(root, name)) if fs.exists(Path(p))]
-    if not paths:
+    """A stored table with its declared schema and column order."""
+    folders = current_folders(spark, root).get(name)
+    if not folders:
         raise FileNotFoundError(f"no stored table {name} under {root}")
-    parts = [spark.read.schema(schema).parquet(p).select(*schema.fieldNames()) for p in paths]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _read_folders(spark, name, folders)
 
 
 def read_tables(spark: SparkSession, root: str, names: Sequence[str] = LOAD_ORDER) -> dict[str, DataFrame]:
     """``SELECT * FROM t`` for every stored table, with the declared schema."""
-    return {n: read_table(spark, root, n) for n in names}
+    current = current_folders(spark, root)
+    missing = [n for n in names if not current.get(n)]
+    if missing:
+        raise FileNotFoundError(f"no stored tables {missing} under {root}")
+    return {n: _read_folders(spark, n, current[n]) for n in names}
+
+
+def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows in the given order, numbered from 1 in ``position``
+    (a top-n per task, then of those)."""
+    top = df.orderBy(*order_by).limit(n)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(*order_by)))
 
 
 def register_views(tables: dict[str, DataFrame], extra: dict[str, DataFrame] | None = None) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import coerce_date, weekday_number
+from ..functions.scalars import coerce_date, parse_date, weekday_number
 from ..schema import TABLES
 
 # Sheet -> table, per-sheet column renames and dropped columns
@@ -67,22 +67,31 @@ RENAMES: dict[str, dict[str, str]] = {
 
 DROPS: dict[str, tuple[str, ...]] = {"VaccineBatch": ("type",), "Shifts": ("station",)}
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
-
-
 def sheet_path(root: str, sheet: str) -> str:
     return f"{root.rstrip('/')}/{sheet}"
 
 
-def read_sheet(spark: SparkSession, root: str, sheet: str) -> DataFrame:
-    """One exported sheet, all columns as text, header names kept verbatim."""
-    return (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(sheet_path(root, sheet))
-    )
+def read_sheet(spark: SparkSession, root: str, sheet: str, multi_line: bool = True) -> DataFrame:
+    """One exported sheet, all columns as text, header names kept verbatim.
+
+    Every file must have the same header in the same order as the first:
+    with ``enforceSchema`` off a file that differs ends the read, instead of
+    its columns being taken by position.  A row with more or fewer fields
+    ends it as well.  ``multi_line`` reads quoted line breaks (a file is then
+    one task; turn it off for large files without them).
+    """
+    options = {
+        "header": True,
+        "inferSchema": False,
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+        "multiLine": multi_line,
+        "escape": '"',
+    }
+    path = sheet_path(root, sheet)
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in names])
+    return spark.read.options(**options, enforceSchema=False, mode="FAILFAST").schema(schema).csv(path)
 
 
 def read_sheets(spark: SparkSession, root: str, sheets=None) -> dict[str, DataFrame]:
@@ -95,24 +104,30 @@ def drop_unnamed(df: DataFrame) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if not c.startswith("Unnamed")])
 
 
-def _parse_date(c: Column) -> Column:
-    s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_date(s, f) for f in DATE_FORMATS])
-
-
 def _to_int(c: Column) -> Column:
     # the export may write integers as '1' or '1.0'; anything else -> NULL
-    return F.trim(c.cast("string")).try_cast("double").try_cast("int")
+    s = F.trim(c.cast("string"))
+    return F.when(s.rlike(r"^[+-]?[0-9]+(\.0*)?$"), F.regexp_extract(s, r"^([+-]?[0-9]+)", 1).try_cast("int"))
 
 
 def _cast(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.DateType):
-        return _parse_date(c)
+        return parse_date(c)
     if isinstance(dt, T.IntegerType):
         return _to_int(c)
     return c.cast(dt)
 
 
+def export_sheet(df: DataFrame, root: str, sheet: str) -> None:
+    """Write a table as a workbook sheet: the sheet's headers, text, a filler column."""
+    back = {v: k for k, v in RENAMES.get(sheet, {}).items()}
+    cols = [F.col(c).cast("string").alias(back.get(c, c)) for c in df.columns]
+    drops = [F.lit("x").alias(c) for c in DROPS.get(sheet, ())]
+    filler = F.lit(None).cast("string").alias(f"Unnamed: {len(cols)}")
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(*cols, *drops, filler).write.options(**options).csv(sheet_path(root, sheet))
+
+
 def clean_sheet(sheet: str, df: DataFrame) -> DataFrame:
     """Row-local cleaning of one sheet into its table's declared schema.
 
@@ -137,7 +152,7 @@ def clean_sheet(sheet: str, df: DataFrame) -> DataFrame:
         if table == "shift" and f.name == "workday":
             val = weekday_number(F.trim(src.cast("string")))
         elif table == "diagnosis" and f.name == "date":
-            val = coerce_date(F.trim(src.cast("string")))
+            val = coerce_date(src)
         else:
             val = _cast(src, f.dataType)
         if f.name in spec.char_columns:
@@ -150,7 +165,7 @@ def unreadable_dates(df: DataFrame, column: str = "date") -> DataFrame:
     """Raw rows whose date does not parse as a calendar date (missing dates
     included), e.g. 2021-02-29.  Filler columns are dropped."""
     raw = drop_unnamed(df)
-    return raw.where(_parse_date(F.col(f"`{column}`")).isNull())
+    return raw.where(parse_date(F.col(f"`{column}`")).isNull())
 
 
 def patient_status(patients: DataFrame, attends: DataFrame) -> DataFrame:

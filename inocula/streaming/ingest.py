@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import incoming_path
+from ..sources.store import publish, write_folder
 from ..sources.workbook import SHEET_TABLE, clean_sheet, sheet_path
 
 APPENDABLE = tuple(s for s, t in SHEET_TABLE.items() if t != "patient")
@@ -42,8 +42,10 @@ def sheet_stream(
     checkpoint: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start appending cleaned rows of ``sheet`` exports to its table
-    (under ``<table_root>/_incoming/<table>``; ``read_table`` includes them).
+    """Start appending cleaned rows of ``sheet`` exports to its table.
+
+    Each micro-batch is a folder of the store named by its number, written
+    whole (a retried batch replaces it) and then published once.
 
     ``header`` is the sheet's column list as exported (a file stream needs
     its schema up front; every column is read as text).  With
@@ -63,12 +65,17 @@ def sheet_stream(
     )
     table = SHEET_TABLE[sheet]
     ckpt = checkpoint or _stream_checkpoint(spark, table)
-    w = (
-        clean_sheet(sheet, src)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", ckpt)
-        .option("path", incoming_path(table_root, table))
-    )
+
+    def append(batch, number: int) -> None:
+        folder = f"{table_root.rstrip('/')}/_loads/stream-{table}-{number}"
+        write_folder(batch, folder)
+
+        def add(current):
+            have = current.get(table, [])
+            return current if folder in have else {**current, table: [*have, folder]}
+
+        publish(batch.sparkSession, table_root, add)
+
+    w = clean_sheet(sheet, src).writeStream.foreachBatch(append).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
