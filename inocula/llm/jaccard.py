@@ -234,39 +234,36 @@ def links_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     return stored(both.filter(check("a", "text_a", "b", "text_b")).select("a", "b"), "links")
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node is either a root or hangs on exactly one root."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("below")).union(edges.select("b", F.lit(0)))
+    mixed = roles.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+    return mixed.filter("below > 1 or below = 1 and least = 0").limit(1).count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(digest, root) of the linked nodes: large and small stars in turn.
+    """(a, b): every linked node but the roots, with its root.
 
-    Each round is a minimum per node and a join; a hub costs one row a task in
-    the minimum, and its join is a plain equi-join.
+    Large and small stars in turn.  Each round is a minimum per node and a
+    join; a hub costs one row a task in the minimum, and its join is a plain
+    equi-join.  Stars may come in again together with new links.
     """
-    edges = stored(links.select("a", "b").filter("a != b").distinct(), "edges")
-    state = None
-    while True:
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    while not _is_forest_of_stars(edges):
         # large star: neighbours above a node go to the least around it
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its neighbours below go to the least of them (a > b in ``large``)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .filter("a != b")
-            .distinct()
-        )
+        met = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(low, "a").select(F.explode(met).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         edges = stored(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    own = edges.select("b").distinct()
-    return edges.toDF("digest", "root").union(own.select("b", F.col("b").alias("root")))
+    return edges
 
 
-def _with_group(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    return nodes.join(roots, "digest", "left").withColumn("grp", F.coalesce("root", "digest")).drop("root")
+def _with_group(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    return nodes.join(stars.toDF("digest", "root"), "digest", "left").withColumn("grp", F.coalesce("root", "digest")).drop("root")
 
 
 def _star_pairs(nodes: DataFrame) -> DataFrame:
@@ -295,7 +292,7 @@ def _key(c: str) -> Column:
 def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes in different groups that the matrix lets through.
 
-    ``rows`` has (digest, id, tkey, prefix), ``nodes`` (digest, rep, tkey, n, grp).
+    ``rows`` has (digest, id, prefix), ``nodes`` (digest, rep, tkey, n, grp).
     """
     own = (
         rows.join(nodes.drop("tkey").withColumnRenamed("digest", "node"), (F.col("digest") == F.col("node")) & F.col("id").eqNullSafe(F.col("rep")))
@@ -312,15 +309,16 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
         return tokens("prefix")
 
-    # tokens of one group only cannot let anything through
+    # tokens of one group only cannot let anything through; 32 bits of a token tell
+    # most of those apart, and one that they do not goes on to be joined
     own = stored(own, "prefixes")
     between = (
         own.select("g", F.explode(tokens_of(None)).alias("token"))
-        .groupBy("token")
+        .groupBy(F.shiftright(F.shiftleft("token", 32), 32).cast("int").alias("token"))
         .agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
         .filter("lo != hi")
     )
-    shared = bitmap(between.select(cell(F.col("token")).alias("cell")), "cell")
+    shared = bitmap(between.select(cell(F.col("token").cast("long")).alias("cell")), "cell")
     members = stored(own.select("q", "g", "n", F.explode(tokens_of(shared)).alias("token")).distinct(), "matrix")
     matrix = members.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent)
@@ -366,16 +364,13 @@ def jaccard_components(
         "nodes",
     )
     check = lambda pairs: links_of(stored(pairs, "pairs"), nodes, docs, text_col, id_col, n_words, percent)
-    links = check(_star_pairs(nodes.withColumn("grp", F.col("digest"))))
-    roots = components(links)
-    links = links.union(check(_star_pairs(_with_group(nodes, roots))))
-    roots = components(links)
-    grouped = stored(_with_group(nodes.drop("hashes"), roots), "groups")
-    links = links.union(check(matrix_pairs(rows.select("digest", "id", "tkey", "prefix"), grouped, percent)))
-    roots = components(links)
-    told = rows.select("id", "tkey", "n", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = told.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    return told.join(least, "root", "left").select(
+    stars = components(check(_star_pairs(nodes.withColumn("grp", F.col("digest")))))
+    stars = components(stars.union(check(_star_pairs(_with_group(nodes, stars)))))
+    grouped = stored(_with_group(nodes.drop("hashes"), stars), "groups")
+    stars = components(stars.union(check(matrix_pairs(rows.select("digest", "id", "prefix"), grouped, percent))))
+    told = _with_group(rows.select("id", "tkey", "n", "digest"), stars)
+    least = told.filter("n > 0").groupBy("grp").agg(F.min("id").alias("component_id"))
+    return told.join(least, "grp", "left").select(
         "id",
         "tkey",
         F.col("n").alias("n_shingles"),
