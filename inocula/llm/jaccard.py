@@ -9,17 +9,19 @@ inside one component.
 1. Documents with equal sets collapse to one node.
 2. Grouping.  Nodes that share a min-hash value are likely similar.  Each
    such group compares its members with its least and its largest node only
-   (two links a member, never all pairs).  The components found are the
-   groups: similar documents together, all others alone.  A second round
-   compares the groups that still share a min-hash value.
+   (two links a member, never all pairs), where their sizes fit and
+   ``STAR_HASHES`` values agree; step 3 finds whatever this leaves out.  The
+   components found are the groups: similar documents together, all others
+   alone.  A second round compares groups that still share a value.
 3. Token-group matrix.  A set of n tokens reaches the threshold only with a
    set that has ceil(0.8 n) of its tokens, so in any fixed order of all
    tokens the first n - ceil(0.8 n) + 3 tokens of both share three.  The
    matrix holds, per group, the union of its members' first tokens; tokens
    of one group only are dropped.  A query's overlap with a group's union
-   bounds its overlap with every member: with fewer than three tokens in it
-   the group stays closed.  Qualifying groups are opened, and the members
-   that share three tokens and fit in size are compared with the query.
+   bounds its overlap with every member: where even the size that asks least
+   of the group's range asks for more (``_least_shared``), the group stays
+   closed.  Qualifying groups are opened, and the members that share enough
+   first tokens and fit in size are compared with the query.
 4. Components of all links; a component's id is its least document id.
 
 The order puts tokens that many documents have last, so a passage in
@@ -52,6 +54,7 @@ WORDS = 5
 PERCENT = 80
 SHARED = 3  # tokens that two prefixes must share
 HASHES = 4  # min-hash values of a node
+STAR_HASHES = 2  # of them that must agree before two nodes are compared for grouping
 ORDER_SAMPLE = 16
 CELL_BITS = 26
 CACHE = 1 << 18
@@ -266,21 +269,25 @@ def _with_group(nodes: DataFrame, stars: DataFrame) -> DataFrame:
     return nodes.join(stars.toDF("digest", "root"), "digest", "left").withColumn("grp", F.coalesce("root", "digest")).drop("root")
 
 
-def _star_pairs(nodes: DataFrame) -> DataFrame:
+def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the members of a min-hash group with its first and last group.
 
-    ``nodes`` has (digest, grp, hashes); a member stands for its group, and a
-    min-hash group that lies in one group has no pairs.
+    ``nodes`` has (digest, grp, n, hashes); a member stands for its group, and
+    a min-hash group that lies in one group has no pairs.
     """
-    shared = nodes.select("digest", "grp", F.posexplode("hashes").alias("k", "h"))
-    ends = (
-        shared.groupBy("k", "h")
-        .agg(F.min(F.struct("grp", "digest")).alias("lo"), F.max(F.struct("grp", "digest")).alias("hi"))
-        .filter("lo.grp != hi.grp")
-    )
+    shared = nodes.select("digest", "grp", "n", "hashes", F.posexplode("hashes").alias("k", "h"))
+    node = F.struct("grp", "digest", "n", "hashes")
+    ends = shared.groupBy("k", "h").agg(F.min(node).alias("lo"), F.max(node).alias("hi")).filter("lo.grp != hi.grp")
     met = shared.join(ends, ["k", "h"])
-    pairs = met.filter("grp != lo.grp").select("digest", F.col("lo.digest").alias("x"))
-    pairs = pairs.union(met.filter("grp != hi.grp").select("digest", F.col("hi.digest").alias("x")))
+
+    def with_end(end: str) -> DataFrame:
+        m = F.col(f"{end}.n")
+        fits = 100 * F.least("n", m) >= percent * F.greatest("n", m)
+        equal = F.size(F.filter(F.zip_with("hashes", f"{end}.hashes", lambda x, y: x == y), lambda x: x))
+        alike = equal >= STAR_HASHES
+        return met.filter((F.col("grp") != F.col(f"{end}.grp")) & fits & alike).select("digest", F.col(f"{end}.digest").alias("x"))
+
+    pairs = with_end("lo").union(with_end("hi"))
     return pairs.select(F.least("digest", "x").alias("a"), F.greatest("digest", "x").alias("b")).distinct()
 
 
@@ -289,6 +296,21 @@ def _key(c: str) -> Column:
     return F.conv(F.substring(F.hex(c), 1, 15), 16, 10).cast("long")
 
 
+def _up(numerator: Column, denominator: int) -> Column:
+    return F.ceil(numerator / F.lit(denominator).cast("double")).cast("long")
+
+
+def _least_shared(n: Column, m: Column, percent: int) -> Column:
+    """First tokens that sets of ``n`` and ``m`` tokens share if they link.
+
+    Linked sets share ceil(percent (n + m) / (100 + percent)) tokens.  Common
+    tokens up to the earlier end of the two prefixes are in both prefixes;
+    after it there are as many as that set has behind its prefix at most.
+    """
+    both = _up(percent * (n + m), 100 + percent)
+    return both - F.greatest(_up(percent * n, 100), _up(percent * m, 100)) + SHARED
+
+
 def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes in different groups that the matrix lets through.
 
@@ -322,21 +344,26 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     members = stored(own.select("q", "g", "n", F.explode(tokens_of(shared)).alias("token")).distinct(), "matrix")
     matrix = members.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent)
+    n = F.col("n")
+    # the partner sizes that ask least are the ends of the group's range that fit
+    smallest = F.greatest("lo", _up(percent * n, 100))
+    largest = F.least("hi", F.floor(100 * n / percent).cast("long"))
+    asked = F.least(_least_shared(n, smallest, percent), _least_shared(n, largest, percent))
     qualifying = (
         members.join(matrix.withColumnRenamed("g", "other"), "token")
         .filter((F.col("g") < F.col("other")) & fits("hi", "n") & fits("n", "lo"))
-        .groupBy("q", "other")
-        .count()
-        .filter(F.col("count") >= SHARED)
+        .groupBy("q", "n", "other")
+        .agg(F.count("*").alias("count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .filter(F.col("count") >= asked - 1)  # rounding may put the least one inside the range
         .select("q", "other")
     )
     queries = members.join(qualifying, "q").select("q", "n", "other", "token")
     opened = (
         queries.join(members.select(F.col("q").alias("x"), F.col("n").alias("m"), F.col("g").alias("other"), "token"), ["token", "other"])
         .filter(fits("n", "m") & fits("m", "n"))
-        .groupBy("q", "x")
+        .groupBy("q", "x", "n", "m")
         .count()
-        .filter(F.col("count") >= SHARED)
+        .filter(F.col("count") >= _least_shared(F.col("n"), F.col("m"), percent))
     )
     by_key = nodes.select(_key("digest").alias("q"), "digest")
     return (
@@ -364,8 +391,8 @@ def jaccard_components(
         "nodes",
     )
     check = lambda pairs: links_of(stored(pairs, "pairs"), nodes, docs, text_col, id_col, n_words, percent)
-    stars = components(check(_star_pairs(nodes.withColumn("grp", F.col("digest")))))
-    stars = components(stars.union(check(_star_pairs(_with_group(nodes, stars)))))
+    stars = components(check(_star_pairs(nodes.withColumn("grp", F.col("digest")), percent)))
+    stars = components(stars.union(check(_star_pairs(_with_group(nodes, stars), percent))))
     grouped = stored(_with_group(nodes.drop("hashes"), stars), "groups")
     stars = components(stars.union(check(matrix_pairs(rows.select("digest", "id", "prefix"), grouped, percent))))
     told = _with_group(rows.select("id", "tkey", "n", "digest"), stars)
