@@ -54,7 +54,7 @@ WORDS = 5
 PERCENT = 80
 SHARED = 3  # tokens that two prefixes must share
 HASHES = 4  # min-hash values of a node
-STAR_HASHES = 2  # of them that must agree before two nodes are compared for grouping
+STAR_HASHES = 1  # of them that must agree before two nodes are compared for grouping
 ORDER_SAMPLE = 16
 CELL_BITS = 26
 CACHE = 1 << 18
