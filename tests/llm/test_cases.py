@@ -241,6 +241,24 @@ def test_a_varying_field_is_generalised(session):
     assert [r["n_dropped"] for r in got] == [0, 1, 1, 1, 1]
 
 
+def test_lines_recur_by_documents_whatever_is_around_them(session):
+    rng = random.Random(12)
+    block = [prose(rng, 12) for _ in range(5)]
+    licence = prose(rng, 20)
+    texts = []
+    for k in range(5):
+        own = [prose(rng, 12) for _ in range(4)]
+        texts.append("\n".join([own[0], *block, own[1], "", licence, "", *own[2:]]))
+    twice = "\n".join(["", prose(rng, 20), ""])  # in one document and its copies only
+    texts += [f"{twice}\n{prose(rng, 12)}\n{twice}"] * 4
+    df = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.drop_recurring_lines(df).collect()}
+    for i, t in enumerate(texts):
+        want = [x for x in t.split("\n") if i in (0, 5, 6, 7, 8) or x not in (*block, licence)]
+        assert got[i]["text"] == "\n".join(want), i
+        assert got[i]["n_dropped"] == (6 if 0 < i < 5 else 0)
+
+
 def test_line_dedup_runs_no_python(session):
     df = session.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = linededup.drop_recurring_lines(df)._jdf.queryExecution().toString()
