@@ -259,6 +259,22 @@ def test_lines_recur_by_documents_whatever_is_around_them(session):
         assert got[i]["n_dropped"] == (6 if 0 < i < 5 else 0)
 
 
+def test_short_lines_that_share_their_first_words_stay(session):
+    rng = random.Random(13)
+    ends = {
+        5: ["are for", "oues ereaha", "ing eresnt", "of restwh"],
+        6: ["a b c", "a d e", "a f g", "a h i"],
+        7: ["a b c d", "a b e f", "a b g h", "a b i j"],
+        8: ["      x y z v w", "      k l m n o", "      p q r s t", "      a b c d e"],
+    }
+    texts = ["\n".join([prose(rng, 12), *(f"was it then {e[k]}" for e in ends.values()), prose(rng, 12)]) for k in range(4)]
+    texts += [f"{prose(rng, 12)}\nwas it now or never {w}" for w in ("here", "there", "again")]  # three of three fields
+    texts += [f"{prose(rng, 12)}\nso it was a b c {w}" for w in ("k", "l", "m")]  # three of four fields
+    df = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = linededup.drop_recurring_lines(df).orderBy("doc_id").collect()
+    assert [r["n_dropped"] for r in got] == [0] * 4 + [0] * 3 + [0, 1, 1]
+
+
 def test_line_dedup_runs_no_python(session):
     df = session.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = linededup.drop_recurring_lines(df)._jdf.queryExecution().toString()
