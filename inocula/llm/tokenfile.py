@@ -28,6 +28,7 @@ gives an empty data set.
 from __future__ import annotations
 
 import array
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,12 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import SPACE
 from .common import shared_path, stored, utf8, values
 
 LENGTH = 2048
 ROWS_PER_BATCH = 64
 CACHE = 3 << 18
 
+# str.split() takes these for white space, the tokenizer does not
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
+_WORDS = re.compile(f"[^{SPACE}]+")
+
 
 class WordIds(dict):
     """White-space separated word -> its ids, as little-endian uint32 bytes.
@@ -111,8 +117,13 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def split_words(text: str) -> list[str]:
+    """The words between the tokenizer's own white space (``SPACE``)."""
+    return _WORDS.findall(text) if any(c in text for c in _NO_SPACE) else text.split()
+
+
 def encode_text(text: str, ids: WordIds) -> bytes:
-    return b"".join(map(ids.__getitem__, text.split()))
+    return b"".join(map(ids.__getitem__, split_words(text)))
 
 
 def _filesystem(uri: str):

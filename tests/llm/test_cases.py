@@ -145,6 +145,15 @@ def test_word_cache_equals_the_tokenizer():
         assert ids == w.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_end_at_the_tokenizers_white_space():
+    w = tokenfile.word_ids(vocabularies.path("word_bpe_49k.json"))
+    odd = [chr(c) for c in range(0x110000) if chr(c).isspace() or c < 0x20 or 0x7F <= c < 0xA0]
+    texts = [f"a{c}a" for c in odd] + [f"The{c}. end{c}{c} A{c} b.{c}" for c in odd] + ["".join(f"a{c}" for c in odd)]
+    for t in texts:
+        ids = np.frombuffer(tokenfile.encode_text(t, w), np.uint32).tolist()
+        assert ids == w.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_empty_tables(session):
     empty = session.createDataFrame([], SCHEMA)
     folder = shared_path(session, "t")
