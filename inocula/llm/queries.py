@@ -6,11 +6,13 @@ import public_tokenizers as vocabularies
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exactdedup, jaccard, langid, linededup, quality, secrets, tokenfile, toxicity
-from .common import documents, shared_path
+from . import bpe, decontaminate, exactdedup, jaccard, langid, linededup, packing, quality, repair, secrets, tokenfile, toxicity, whitening
+from .common import documents, importable, shared_path, stored
 
 WORD_VOCABULARY = 49_408
 WORD_END_ID = 2
+BYTE_VOCABULARY = 50_257
+BYTE_END_ID = 1
 
 
 def _remainder(n: int) -> Column:
@@ -135,6 +137,78 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding; a deviation beyond a long is null."""
+    importable(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors)
+    white = stored(whitening.whiten(vectors, model, out="w").drop("embedding"), "whitened")
+    shares = F.array(*[F.lit(x) for x in model.explained()]) if model.values else F.lit(None).cast("array<double>")
+    return white.select("vec_id", "deviation", F.posexplode("w").alias("k", "whitened")).select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        F.get(shares, F.col("k")).alias("explained"),
+        F.lit(whitening.identity_error(white, "w")).cast("double").alias("identity_error"),
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 ids, as pieces."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    pieces = packing.pack(docs, vocabularies.path("byte_bpe_50k.json"), BYTE_END_ID, BYTE_VOCABULARY)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conversations`` with the planted faults: by crc32(conv_id:turn) mod 20 a row is
+    dropped (0), emptied (1), stripped of [.!?] (2), repeated (3) or given to the user (4)."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate(told("text"), ".!?", "")).otherwise(told("text"))
+    return (
+        turns.withColumn("fate", fate)
+        .filter("fate != 0")
+        .select(
+            "conv_id",
+            "turn",
+            F.when(F.col("fate") == 4, "user").otherwise(told("role")).alias("role"),
+            text.alias("text"),
+            F.explode(F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+        )
+        .drop("copy")
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after the planted damage."""
+    importable(spark)
+    original = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = damaged(original)
+    edited, report = repair.repair_conversations(turns)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", F.concat("role", F.lit(":"), "text").alias("line")))), lambda x: x.line)
+    repaired = edited.filter("edit != 'D'").groupBy("conv_id").agg(F.array_join(lines, "\n").alias("repaired"))
+    spread = F.col("hi").cast("long") - F.col("lo").cast("long") + 1 - F.col("distinct")
+    gaps = (
+        turns.groupBy("conv_id", "turn")
+        .agg(F.lit(1))
+        .groupBy("conv_id")
+        .agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"), F.count("turn").alias("distinct"))
+        .select("conv_id", F.coalesce(spread, F.lit(0)).cast("long").alias("gaps"))
+    )
+    out = original.select("conv_id").distinct()
+    for part in (gaps, report, repaired):
+        out = out.join(part.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    return out.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce("repaired", F.lit("")).cast("binary"), 256).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -148,6 +222,9 @@ QUERIES = {
         op8_decontaminate,
         op9_jaccard_join,
         op10_secrets,
+        op11_embedding_whitening,
+        op12_packing,
+        op13_conversation_repair,
     )
 }
 
@@ -254,9 +331,71 @@ FROM d LEFT JOIN n USING (r) JOIN (
   SELECT reach.a AS r, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = reach.b GROUP BY 1) m USING (r)
 """
 
+# CRC-32 by its polynomial; the cheapest edits as a walk over the turns that keeps, for each
+# last role, the least (cost, audit, lines).
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+said AS (
+  SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k,
+    coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+fate AS (
+  SELECT said.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i::INT, 1))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f FROM said, crc),
+turns AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fate, range(2) copies(copy) WHERE f <> 0 AND (copy = 0 OR f = 3)),
+met AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS met FROM turns),
+faulty AS (
+  SELECT *, row_number() OVER c AS pos, left(role, 1) AS initial, lag(left(role, 1)) OVER c AS previous,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN met > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault
+  FROM met WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, met)),
+follows AS (SELECT * FROM (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')) AS v(before, initial, after)),
+made AS (SELECT * FROM (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('a', 'u', 'user'), ('u', 'a', 'assistant')) AS v(before, after, role)),
+inserted AS (
+  SELECT before, before AS after, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM made
+  UNION ALL SELECT before, after, 5, 'I', [role || ':'] FROM made
+  UNION ALL SELECT m.before, n.after, 10, 'II', [m.role || ':', n.role || ':'] FROM made m JOIN made n ON n.before = m.after),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, '' AS last, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM faulty
+  UNION ALL
+  SELECT conv_id, pos, last, min(best) FROM (
+    SELECT w.conv_id, f.pos, e.after AS last,
+      {'cost': w.best.cost + i.cost + e.cost, 'audit': w.best.audit || i.audit || e.audit, 'lines': w.best.lines || i.lines || e.lines} AS best
+    FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1
+    JOIN inserted i ON i.before = w.last,
+    LATERAL (
+      SELECT i.after AS after, 2 AS cost, 'D' AS audit, []::VARCHAR[] AS lines
+      UNION ALL SELECT k.after, CASE f.fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [f.role || ':' || f.text]
+      FROM follows k WHERE k.before = i.after AND k.initial = f.initial AND f.fault IN ('none', 'truncated')
+      UNION ALL SELECT m.after, CASE f.fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R', [m.role || ':' || f.text]
+      FROM made m WHERE m.before = i.after AND f.fault IN ('none', 'truncated')) e)
+  GROUP BY conv_id, pos, last),
+ended AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + i.cost, 'audit': w.best.audit || i.audit, 'lines': w.best.lines || i.lines}) AS best
+  FROM walk w JOIN (SELECT conv_id, max(pos) AS n FROM faulty GROUP BY 1) s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.pos
+  JOIN inserted i ON i.before = w.last AND (i.after = 'a' OR i.after = '') GROUP BY w.conv_id),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pos > 1 AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
