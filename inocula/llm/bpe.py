@@ -7,11 +7,12 @@ pieces of one very long text are worked on by many tasks:
 
 1. every chunk is pre-tokenised on its own, and reports the pre-token
    boundaries inside the zones it shares with its neighbours;
-2. two neighbours resynchronise at the first boundary that both report.  The
-   pattern looks at nothing before a match, so from there on both would give
-   the same pre-tokens: the chunks are stitched at that point.  Where no
-   boundary is shared (one pre-token longer than the overlap) they stay one
-   piece;
+2. two neighbours resynchronise at the first boundary that both report and
+   that no white space comes before.  The pattern looks at nothing before a
+   match, and past its end only after white space, so both sides give the same
+   pre-tokens there: the chunks are stitched at that point.  Where no boundary
+   is shared (one pre-token, or white space, longer than the overlap) they stay
+   one piece;
 3. the pieces are encoded in parallel and their ids put in order.
 
 Decoding joins the raw bytes of the ids.
@@ -30,14 +31,14 @@ import array
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, utf8, values
+from .common import held, map_texts, stored, utf8, values
 
 CHUNK = 32768
 OVERLAP = 2048
@@ -50,18 +51,25 @@ SPACE = "".join(
 _RUN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
-@lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def check_pattern(pattern: str) -> None:
+    """Runs, and the places where chunks are stitched, are those of one pattern."""
+    if pattern != PATTERN:
+        raise ValueError("the pattern of public_tokenizers is the one that texts can be cut for")
+
+
 class RunIds(dict):
     """Run of text -> its ids as little-endian int32 bytes; forgets all when full."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
 
+        check_pattern(pattern)
+
         self.encoding = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={}
         )
@@ -75,10 +83,9 @@ class RunIds(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
 def run_ids(ranks_path: str, pattern: str) -> RunIds:
     """One per Python worker: kept over the tasks it runs."""
-    return RunIds(ranks_path, pattern)
+    return held(("run ids", ranks_path, pattern), lambda: RunIds(ranks_path, pattern))
 
 
 def encode_text(text: str, ids: RunIds) -> bytes:
@@ -127,19 +134,21 @@ def zone_boundaries(body: bytes, start: int, last: bool, pattern, chunk: int, ov
     """Pre-token ends inside the zones shared with the chunk before and after.
 
     The end of a chunk that is not the text's end cuts a pre-token and hides
-    what follows it, so the last two boundaries there do not count.
+    what follows it, so the last two boundaries there do not count.  A boundary
+    after white space does not count either: the pattern looks at what follows
+    white space, which a piece that ends there would not show.
     """
     text, at, ends = _text(body), start, []
     done = 0
     for m in pattern.finditer(text):
         at += len(text[done : m.end()].encode())
         done = m.end()
-        ends.append(at)
+        ends.append((at, text[done - 1] in SPACE))
     if not last:
         ends = ends[:-2]
-    head = [e for e in ends if e <= start + overlap]
+    head = [e for e, space in ends if not space and e <= start + overlap]
     # a chunk that starts inside a pre-token agrees with its text after at most two runs
-    tail = [] if last else [e for e in (ends[3:] if start else ends) if e >= start + chunk - 4]
+    tail = [] if last else [e for e, space in (ends[3:] if start else ends) if not space and e >= start + chunk - 4]
     return head, tail
 
 
@@ -169,36 +178,40 @@ def _long_ids(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overl
 
     encode = _encode_udf(ranks_path, pattern)
     by_text = Window.partitionBy("h").orderBy("no")
-    pieces = (
+    cut_up = (
         texts.select("h", F.explode(chunks("t")).alias("c"))
         .select("h", "c.*")
         .repartition("h", "no")  # the chunks of one text spread over the tasks
         .withColumn("z", zones.asNondeterministic()("body", "start", "last"))
+    )
+    cut_up = stored(cut_up, "chunks")
+    # boundaries alone go through the rows of one text; bodies are met again by chunk
+    bounds = (
+        cut_up.select("h", "no", "start", "z", F.octet_length("body").alias("size"))
         # where this chunk takes over from the one before; null: they stay one piece
         .withColumn("cut", F.array_min(F.array_intersect("z.head", F.lag("z.tail").over(by_text))))
         .withColumn("next_cut", F.lead("cut").over(by_text))
         .withColumn("next_start", F.lead("start").over(by_text))
         .withColumn("from", F.when(F.col("no") == 0, F.lit(0)).otherwise(F.coalesce("cut", "start")))
-        .withColumn("to", F.coalesce("next_cut", "next_start", F.col("start") + F.octet_length("body")))
+        .withColumn("to", F.coalesce("next_cut", "next_start", F.col("start") + F.col("size")))
         .withColumn("piece", F.sum(F.when((F.col("no") == 0) | F.col("cut").isNotNull(), 1).otherwise(0)).over(by_text))
-        .select(
-            "h",
-            "piece",
-            "no",
-            F.expr("substring(body, int(`from` - start) + 1, int(`to` - `from`))").alias("body"),
-        )
+        .select("h", "no", "piece", "from", "to")
+    )
+    pieces = (
+        cut_up.select("h", "no", "start", "body")
+        .join(bounds, ["h", "no"])
+        .select("h", "piece", "no", F.expr("substring(body, int(`from` - start) + 1, int(`to` - `from`))").alias("body"))
         .groupBy("h", "piece")
         .agg(F.sort_array(F.collect_list(F.struct("no", "body"))).alias("parts"))
-        .repartition("h", "piece")
         .select("h", "piece", encode(F.expr("aggregate(parts, cast('' as binary), (s, p) -> concat(s, p.body))")).alias("ids"))
     )
     return pieces.groupBy("h").agg(F.flatten(F.sort_array(F.collect_list(F.struct("piece", "ids"))).ids).alias("ids"))
 
 
-@lru_cache(maxsize=2)
 def _decoder(ranks_path: str):
-    raw = {i: b for b, i in load_ranks(ranks_path).items()}.__getitem__
-    return lambda ids: b"".join(map(raw, ids))
+    """Ids -> the bytes that they stand for."""
+    encoding = run_ids(ranks_path, PATTERN).encoding
+    return lambda ids: encoding.decode_bytes(ids)
 
 
 def encode_documents(
@@ -217,6 +230,7 @@ def encode_documents(
     ``decoded`` names a column for the bytes that the ids decode to; short
     texts' ids are then decoded by the task that encoded them.
     """
+    check_pattern(pattern)
     docs = docs.drop(*(c for c in (out, decoded) if c))
     size = F.octet_length(utf8(text_col))
     fields = f"`{out}` array<int>" + (f", `{decoded}` binary" if decoded else "")

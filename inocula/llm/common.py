@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -61,6 +62,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """The object that a Python worker keeps from task to task: the one asked for last.
+
+    Workers outlive the step that filled them, and the next step has a cache of
+    its own; asking for another key drops the one held and gives its memory back.
+    """
+    if key not in _held:
+        if _held:
+            _held.clear()
+            give_back()
+        _held[key] = make()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system (Arrow's pool, then malloc's)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library: nothing to trim
+        pass
+
+
 def words(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
@@ -92,16 +119,22 @@ def map_texts(docs: DataFrame, text_col: str, fields: str, compute, drop: tuple[
     names = [c for c in docs.columns if c not in (*drop, *new.fieldNames())]
     schema = T.StructType([docs.schema[c] for c in names] + list(new))
 
+    # a text that stays in the rows is sent once, as it is
+    kept = names.index(text_col) if text_col in names and isinstance(docs.schema[text_col].dataType, T.StringType) else None
+    sent = names if kept is not None else [*names, "__inocula_bytes"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                texts = [t.as_py() for t in part.column(len(names))]
+                column = part.column(len(sent) - 1 if kept is None else kept)
+                texts = [x.to_pybytes() if (x := t.as_buffer()) is not None else b"" for t in column]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(names)], *compute(texts)], names=[*names, *new.fieldNames()]
                 )
 
-    return docs.select(*names, utf8(text_col).alias("__bytes")).mapInArrow(run, schema)
+    source = docs if kept is not None else docs.withColumn("__inocula_bytes", utf8(text_col))
+    return source.select(*sent).mapInArrow(run, schema)
 
 
 def sampled_rows(docs: DataFrame, ids: DataFrame, id_col: str, payload: Column, keep: list[str], most: int) -> list:

@@ -34,7 +34,6 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import SPACE
-from .common import stored, utf8, values
+from .common import held, stored, utf8, values
 
 WINDOW = 2048
 GRID = 16
@@ -131,10 +130,9 @@ def _merge_loop(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-@lru_cache(maxsize=1)
 def chunk_ids(path: str) -> ChunkIds:
     """One per Python worker: kept over the tasks it runs."""
-    return ChunkIds(path)
+    return held(("chunk ids", path), lambda: ChunkIds(path))
 
 
 def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, text_col: str, id_col: str, window: int, grid: int) -> DataFrame:

@@ -31,7 +31,6 @@ import array
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import SPACE
-from .common import shared_path, stored, utf8, values
+from .common import held, shared_path, stored, utf8, values
 
 LENGTH = 2048
 ROWS_PER_BATCH = 64
@@ -55,8 +54,8 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins over it, so a text's ids
     are its words' ids in order.  Two shortcuts halve the distinct words that
-    the tokenizer sees: a first letter A-Z is lowered (the normaliser lowers
-    all), and a last '.' or ',' after a letter is a word of its own.
+    the tokenizer sees: a first letter A-Z before an ASCII character is lowered
+    (the normaliser lowers all, after composing), and a last '.' or ',' after an ASCII letter is a word of its own.
     """
 
     def __init__(self, path: str):
@@ -85,9 +84,9 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if "<|" in word:
             return self._ids(word)
-        if self.splits and word[-1] in ".," and word[-2:-1].isalpha():
+        if self.splits and word[-1] in ".," and word[-2:-1].isascii() and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
-        elif self.lowers and "A" <= word[0] <= "Z" and len(word) > 1:
+        elif self.lowers and "A" <= word[0] <= "Z" and len(word) > 1 and word[1].isascii():
             ids = self[word[0].lower() + word[1:]]
         else:
             ids = self._word(word)
@@ -111,10 +110,9 @@ class WordIds(dict):
         return array.array("I", [k.id for k in self.model.tokenize(word)]).tobytes()
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One per Python worker: kept over the tasks it runs."""
-    return WordIds(path)
+    return held(("word ids", path), lambda: WordIds(path))
 
 
 def split_words(text: str) -> list[str]:
