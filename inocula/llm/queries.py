@@ -232,46 +232,48 @@ QUERIES = {
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _op4_groups() -> str:
+    """The templates of a leaf, each from the lines that the ones before left."""
+    out = []
+    for k in range(linededup.GROUPS):
+        left = f"rest{k - 1}" if k else "weighed"
+        out.append(f"""
+leaves{k} AS (SELECT n, lead FROM {left} WHERE n > {linededup.LEAD} GROUP BY ALL HAVING count(*) > 1),
+each{k} AS (
+  SELECT line, n, lead, w, j, f[j] AS v FROM {left} SEMI JOIN leaves{k} USING (n, lead), range(1, {linededup.FIELDS} + 1) AS x(j) WHERE f[j] <> ''),
+votes{k} AS (SELECT n, lead, j, v, sum(w) AS w FROM each{k} GROUP BY ALL),
+modal{k} AS (
+  SELECT n, lead, j, v FROM votes{k}
+  QUALIFY row_number() OVER (PARTITION BY n, lead, j ORDER BY w DESC, ('0x' || substr(md5(v), 1, 7))::BIGINT DESC) = 1),
+belongs{k} AS (
+  SELECT line, n, lead FROM each{k} JOIN modal{k} USING (n, lead, j, v) GROUP BY ALL
+  HAVING count(*) * {linededup.FIELDS} >= {linededup.MIN_EQUAL} * least(n - {linededup.LEAD}, {linededup.FIELDS})),
+rest{k} AS (SELECT w.* FROM {left} w SEMI JOIN leaves{k} USING (n, lead) ANTI JOIN belongs{k} USING (line)),""")
+    return "".join(out)
+
+
+# Lines with their masked form, length, leading tokens and fields; the weight of a distinct line
+# is the number of different texts that hold it; templates recur in enough different texts.
 OP4_SQL = f"""
 WITH lined AS (
-  SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-k AS (SELECT r, doc_id, l, list_transform(l, lambda x: regexp_replace(trim(x, ' '), '[0-9]+', '#', 'g')) AS m FROM lined),
-ln AS (
-  SELECT r, doc_id, unnest(range(1, len(m) + 1)) AS pos, m FROM k),
-one AS (
-  SELECT r, doc_id, pos, m[pos] AS line, m[pos - 1] AS before, m[pos + 1] AS after, pos = 1 AS is_first,
-    string_split(m[pos], ' ') AS t FROM ln WHERE m[pos] <> ''),
+  SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+one AS (SELECT r, doc_id, text, unnest(range(1, len(l) + 1)) AS pos, trim(unnest(l), ' ' || chr(13)) AS b FROM lined),
 shaped AS (
-  SELECT r, doc_id, pos, line, CASE WHEN is_first THEN NULL ELSE before END AS before, after, len(t) AS n,
-    list_slice(t, 1, {linededup.LEAD}) AS lead,
+  SELECT r, doc_id, text, pos, CASE WHEN regexp_matches(m, '(^| )[^# ]+( |$)') THEN m ELSE b END AS line
+  FROM (SELECT *, regexp_replace(b, '[0-9]+', '#', 'g') AS m FROM one) WHERE b <> ''),
+weighed AS (
+  SELECT line, len(t) AS n, list_slice(t, 1, {linededup.LEAD}) AS lead, w,
     list_transform(range({linededup.FIELDS}), lambda j: array_to_string(list_slice(t,
       floor(greatest(len(t) - {linededup.LEAD}, 0) * j / {linededup.FIELDS})::INT + 1 + {linededup.LEAD},
       floor(greatest(len(t) - {linededup.LEAD}, 0) * (j + 1) / {linededup.FIELDS})::INT + {linededup.LEAD}), ' ')) AS f
-  FROM one),
-places AS (SELECT DISTINCT line, before, after, n, lead, f FROM shaped),
-firsts AS (SELECT line, before, after, min(doc_id) AS first FROM shaped GROUP BY ALL),
-weighed AS (SELECT line, n, lead, f, count(*) AS w FROM places GROUP BY ALL),
-each AS (
-  SELECT line, n, lead, w, unnest(range(1, {linededup.FIELDS} + 1)) AS j, f FROM weighed WHERE n > {linededup.LEAD}),
-votes AS (SELECT n, lead, j, f[j] AS v, sum(w) AS w FROM each GROUP BY ALL),
-modal AS (
-  SELECT n, lead, j, v FROM votes
-  QUALIFY row_number() OVER (PARTITION BY n, lead, j
-    ORDER BY w DESC, ('0x' || substr(md5(v), 1, 7))::BIGINT DESC) = 1),
-leaves AS (SELECT n, lead FROM weighed WHERE n > {linededup.LEAD} GROUP BY ALL HAVING count(*) > 1),
-belongs AS (
-  SELECT e.line FROM each e JOIN modal m ON e.n = m.n AND e.lead = m.lead AND e.j = m.j AND e.f[e.j] = m.v
-  JOIN leaves s ON s.n = e.n AND s.lead = e.lead
-  GROUP BY e.line HAVING count(*) >= {linededup.MIN_EQUAL}),
+  FROM (SELECT line, regexp_split_to_array(line, ' +') AS t, count(DISTINCT text) AS w FROM shaped GROUP BY line)),
+{_op4_groups()}
 template AS (
-  SELECT line, n, CASE WHEN line IN (SELECT line FROM belongs) THEN {{'n': n, 'p': lead}}::VARCHAR
-    ELSE 'line ' || line END AS template FROM weighed),
-met AS (
-  SELECT template, before, after, min(first) AS first, min(n) AS n
-  FROM firsts JOIN template USING (line) GROUP BY ALL),
+  SELECT line, w.n, coalesce({", ".join(f"CASE WHEN b{k}.line IS NOT NULL THEN {{'k': {k}, 'n': w.n, 'p': w.lead}}::VARCHAR END" for k in range(linededup.GROUPS))},
+    'line ' || line) AS template FROM weighed w {" ".join(f"LEFT JOIN belongs{k} b{k} USING (line)" for k in range(linededup.GROUPS))}),
 recurs AS (
-  SELECT template, min(first) AS keeper FROM met GROUP BY template
-  HAVING count(*) >= CASE WHEN min(n) < {linededup.SHORT_TOKENS} THEN {linededup.SHORT_PLACES} ELSE {linededup.MIN_PLACES} END),
+  SELECT template, min(doc_id) AS keeper FROM shaped JOIN template USING (line) GROUP BY template
+  HAVING count(DISTINCT text) >= CASE WHEN min(n) < {linededup.SHORT_TOKENS} THEN {linededup.SHORT_PLACES} ELSE {linededup.MIN_PLACES} END),
 gone AS (
   SELECT r, list(pos) AS gone FROM shaped JOIN template USING (line) JOIN recurs USING (template)
   WHERE doc_id IS DISTINCT FROM keeper GROUP BY r)
