@@ -8,7 +8,7 @@ inside one component.
 
 1. Documents with equal sets collapse to one node.
 2. Grouping.  Nodes that share a min-hash value are likely similar.  Each
-   such group compares its members with its least and its largest node only
+   such group compares its members with two of its nodes only
    (two links a member, never all pairs), where their sizes fit and
    ``STAR_HASHES`` values agree; step 3 finds whatever this leaves out.  The
    components found are the groups: similar documents together, all others
@@ -20,7 +20,8 @@ inside one component.
    of one group only are dropped.  A query's overlap with a group's union
    bounds its overlap with every member: where even the size that asks least
    of the group's range asks for more (``_least_shared``), the group stays
-   closed.  Qualifying groups are opened, and the members that share enough
+   closed.  A query or a group whose members have too few first tokens in
+   common with anyone is left out before tokens are paired.  Qualifying groups are opened, and the members that share enough
    first tokens and fit in size are compared with the query.
 4. Components of all links; a component's id is its least document id.
 
@@ -41,14 +42,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8, values
+from .common import held, stored, utf8, values
 
 WORDS = 5
 PERCENT = 80
@@ -76,10 +76,9 @@ class WordHashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
     """One per Python worker."""
-    return WordHashes()
+    return held("word hashes", WordHashes)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -169,15 +168,15 @@ def common_tokens(docs: DataFrame, text_col: str, n_words: int):
 
 
 def describe(docs: DataFrame, text_col: str, id_col: str, common, n_words: int, percent: int) -> DataFrame:
-    """(id, tkey, n, digest, hashes, prefix) of every row."""
+    """(id, tkey, n, rare, digest, hashes, prefix) of every row; ``rare`` tokens are those that few documents have."""
     kind = pa.struct(
-        [("n", pa.int64()), ("digest", pa.binary()), ("hashes", pa.list_(pa.int64())), ("prefix", pa.binary())]
+        [("n", pa.int64()), ("rare", pa.int64()), ("digest", pa.binary()), ("hashes", pa.list_(pa.int64())), ("prefix", pa.binary())]
     )
 
-    @F.arrow_udf("struct<n:long,digest:binary,hashes:array<long>,prefix:binary>")
+    @F.arrow_udf("struct<n:long,rare:long,digest:binary,hashes:array<long>,prefix:binary>")
     def look(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in it:
-            ns, digests, hashes, prefixes = [], [], [], []
+            ns, rares, digests, hashes, prefixes = [], [], [], [], []
             for t in values(a):
                 s = shingles(t, n_words)
                 n = len(s)
@@ -185,10 +184,11 @@ def describe(docs: DataFrame, text_col: str, id_col: str, common, n_words: int,
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else b"")
                 hashes.append(np.array([(s * m).min() for m in _ODD[:HASHES]], np.uint64) if n else s)
                 often = in_bitmap(common.value, s)
+                rares.append(n - int(often.sum()))
                 take = n - least_overlap(n, percent) + SHARED if n > SHARED else 0
                 prefixes.append(np.concatenate([s[~often], s[often]])[:take].tobytes())
             yield pa.StructArray.from_arrays(
-                [pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), _longs(hashes), pa.array(prefixes, pa.binary())],
+                [pa.array(ns, pa.int64()), pa.array(rares, pa.int64()), pa.array(digests, pa.binary()), _longs(hashes), pa.array(prefixes, pa.binary())],
                 fields=list(kind),
             )
 
@@ -210,14 +210,14 @@ def links_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
 
     @F.arrow_udf("boolean")
     def check(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        held: dict[bytes, np.ndarray] = {}
+        seen: dict[bytes, np.ndarray] = {}
 
         def of(digest: bytes, text) -> np.ndarray:
-            if digest not in held:
-                if len(held) >= 64:
-                    held.clear()
-                held[digest] = shingles(text.as_py(), n_words)
-            return held[digest]
+            if digest not in seen:
+                if len(seen) >= 64:
+                    seen.clear()
+                seen[digest] = shingles(text.as_py(), n_words)
+            return seen[digest]
 
         for a, ta, b, tb in it:
             yield pa.array(
@@ -270,14 +270,22 @@ def _with_group(nodes: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the members of a min-hash group with its first and last group.
+    """Pairs (a, b) of the members of a min-hash group with two of them, its ends.
 
-    ``nodes`` has (digest, grp, n, hashes); a member stands for its group, and
-    a min-hash group that lies in one group has no pairs.
+    One end has the fewest rare tokens: among copies changed here and there it
+    is the one that the others come from, or close to it, and links with most.
+    The other is the last by group.  ``nodes`` has (digest, grp, n, rare,
+    hashes); a member stands for its group, and a min-hash group that lies in
+    one group has no pairs.
     """
-    shared = nodes.select("digest", "grp", "n", "hashes", F.posexplode("hashes").alias("k", "h"))
-    node = F.struct("grp", "digest", "n", "hashes")
-    ends = shared.groupBy("k", "h").agg(F.min(node).alias("lo"), F.max(node).alias("hi")).filter("lo.grp != hi.grp")
+    shared = nodes.select("digest", "grp", "n", "rare", "hashes", F.posexplode("hashes").alias("k", "h"))
+    node = ("digest", "n", "hashes")
+    ends = (
+        shared.groupBy("k", "h")
+        .agg(F.min(F.struct("rare", "grp", *node)).alias("lo"), F.max(F.struct("grp", *node)).alias("hi"), F.min("grp").alias("first"))
+        .filter("first != hi.grp")
+        .drop("first")
+    )
     met = shared.join(ends, ["k", "h"])
 
     def with_end(end: str) -> DataFrame:
@@ -341,8 +349,10 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         .filter("lo != hi")
     )
     shared = bitmap(between.select(cell(F.col("token").cast("long")).alias("cell")), "cell")
-    members = stored(own.select("q", "g", "n", F.explode(tokens_of(shared)).alias("token")).distinct(), "matrix")
-    matrix = members.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # ``open`` of a member: its first tokens that some other group has, so it shares no more with any
+    with_tokens = own.select("q", "g", "n", tokens_of(shared).alias("tokens")).withColumn("open", F.size("tokens"))
+    members = stored(with_tokens.select("q", "g", "n", "open", F.explode("tokens").alias("token")).distinct(), "matrix")
+    matrix = members.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("open").alias("most"))
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent)
     n = F.col("n")
     # the partner sizes that ask least are the ends of the group's range that fit
@@ -351,16 +361,18 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     asked = F.least(_least_shared(n, smallest, percent), _least_shared(n, largest, percent))
     qualifying = (
         members.join(matrix.withColumnRenamed("g", "other"), "token")
-        .filter((F.col("g") < F.col("other")) & fits("hi", "n") & fits("n", "lo"))
+        .filter((F.col("g") < F.col("other")) & fits("hi", "n") & fits("n", "lo") & (F.least("open", "most") >= asked - 1))
         .groupBy("q", "n", "other")
         .agg(F.count("*").alias("count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .filter(F.col("count") >= asked - 1)  # rounding may put the least one inside the range
         .select("q", "other")
     )
-    queries = members.join(qualifying, "q").select("q", "n", "other", "token")
+    queries = members.join(qualifying, "q").select("q", "n", "open", "other", "token")
+    inside = members.select(F.col("q").alias("x"), F.col("n").alias("m"), F.col("open").alias("most"), F.col("g").alias("other"), "token")
+    enough = F.least("open", "most") >= _least_shared(F.col("n"), F.col("m"), percent)
     opened = (
-        queries.join(members.select(F.col("q").alias("x"), F.col("n").alias("m"), F.col("g").alias("other"), "token"), ["token", "other"])
-        .filter(fits("n", "m") & fits("m", "n"))
+        queries.join(inside, ["token", "other"])
+        .filter(fits("n", "m") & fits("m", "n") & enough)
         .groupBy("q", "x", "n", "m")
         .count()
         .filter(F.col("count") >= _least_shared(F.col("n"), F.col("m"), percent))
@@ -382,18 +394,18 @@ def jaccard_components(
     rows = stored(describe(docs, text_col, id_col, common, n_words, percent), "shingle-rows")
     full = rows.filter("n > 0")
     reps = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    picked = full.select("digest", "id", "tkey", "n", "hashes").join(
+    picked = full.select("digest", "id", "tkey", "n", "rare", "hashes").join(
         reps.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("rep"))
     )
     nodes = stored(
         picked.groupBy("digest")
-        .agg(F.min("rep").alias("rep"), F.min("tkey").alias("tkey"), F.min("n").alias("n"), F.first("hashes").alias("hashes")),
+        .agg(F.min("rep").alias("rep"), F.min("tkey").alias("tkey"), F.min("n").alias("n"), F.min("rare").alias("rare"), F.first("hashes").alias("hashes")),
         "nodes",
     )
     check = lambda pairs: links_of(stored(pairs, "pairs"), nodes, docs, text_col, id_col, n_words, percent)
     stars = components(check(_star_pairs(nodes.withColumn("grp", F.col("digest")), percent)))
     stars = components(stars.union(check(_star_pairs(_with_group(nodes, stars), percent))))
-    grouped = stored(_with_group(nodes.drop("hashes"), stars), "groups")
+    grouped = stored(_with_group(nodes.drop("hashes", "rare"), stars), "groups")
     stars = components(stars.union(check(matrix_pairs(rows.select("digest", "id", "prefix"), grouped, percent))))
     told = _with_group(rows.select("id", "tkey", "n", "digest"), stars)
     least = told.filter("n > 0").groupBy("grp").agg(F.min("id").alias("component_id"))
