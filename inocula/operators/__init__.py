@@ -10,6 +10,7 @@ from .audit import (
     null_keys,
     violations,
 )
+from .bloom import key_filter, possibly_in
 from .core import (
     count_rows,
     count_std,
@@ -28,6 +29,8 @@ from .core import (
     union_all,
     with_scalar,
 )
+from .distinct import distinct_bitmaps, distinct_counts, number_values, roll_up
+from .prefix import prefix_sum
 from .temporal import count_prior_pairs, latest_prior
 
 __all__ = [
@@ -37,19 +40,26 @@ __all__ = [
     "count_rows",
     "count_std",
     "crosstab",
+    "distinct_bitmaps",
+    "distinct_counts",
     "drop_null_keys",
     "duplicate_keys",
     "first_n_wide",
     "foreign_key_orphans",
     "group_size",
+    "key_filter",
     "latest_per_key",
     "latest_prior",
     "length_violations",
     "not_null_violations",
     "null_keys",
+    "number_values",
     "one_per_key",
     "orphans",
     "pivot_fixed",
+    "possibly_in",
+    "prefix_sum",
+    "roll_up",
     "running_total",
     "semi_on",
     "share_of_group",

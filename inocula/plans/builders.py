@@ -43,4 +43,10 @@ def doses(t: Tables, how: str = "inner", with_vaccine_table: bool = True) -> Dat
     JOIN ``vaccination`` then the chain).  Columns: ssno, date,
     healthcarefacilityname + the ``event_vaccines`` columns."""
     a = t["attends"].select("ssno", *EVENT_KEY)
-    return a.join(event_vaccines(t, how, with_vaccine_table), EVENT_KEY, how)
+    events = event_vaccines(t, how, with_vaccine_table)
+    most = getattr(t, "most_event_bytes", 0)
+    # facts that lie bucketed by person stay where they are, if the planner's
+    # estimate of the event side (no job: statistics of the catalogue) allows
+    if most and events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most:
+        events = events.hint("broadcast")
+    return a.join(events, EVENT_KEY, how)

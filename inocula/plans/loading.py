@@ -21,8 +21,10 @@ from ..schema import TABLES
 from ..session import ensure_checkpoint_dir
 from ..sources.derived import derived_tables, planted_tables, raw_diagnosis_sheet, raw_shift_sheet
 from ..sources.store import load_tables, preview, read_table
-from ..sources.workbook import SHEET_TABLE, clean_sheet, export_sheet, patient_status, read_sheet, unreadable_dates
-from .catalogue import register_vaccination_status_view
+from ..sources.tables import append_rows, append_violations, create_tables, open_tables, replace_rows
+from ..sources.workbook import SHEET_TABLE, clean_sheet, export_sheet, patient_status, read_sheet, read_sheet_rows, unreadable_dates
+from .catalogue import q5_vaccination_status, q7_symptom_frequency, register_vaccination_status_view
+from .tasks import t7a_vaccine_per_diagnosis
 
 
 def l1_clean_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,21 +93,71 @@ def audit_planted_symptom_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(planted_tables(spark, sf_dir)["symptoms"], ["name"])
 
 
+def _declared(spark: SparkSession, **layout) -> str:
+    """A new database with the declared tables."""
+    database = f"campaign_{uuid.uuid4().hex}"
+    create_tables(spark, database, _shared(spark, "tables"), **layout)
+    return database
+
+
 def s6_append_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diagnoses loaded in two appends, read back."""
-    root, d = _shared(spark, "store"), derived_tables(spark, sf_dir)["diagnosis"]
+    """Diagnoses in two appends to their catalogue table, read back."""
+    database, d = _declared(spark, names=["diagnosis"]), derived_tables(spark, sf_dir)["diagnosis"]
     first = F.pmod(F.xxhash64("ssno"), F.lit(2)) == 0
-    load_tables({"diagnosis": d.where(first)}, root, audit=False)
-    load_tables({"diagnosis": d.where(~first)}, root, audit=False)
-    return read_table(spark, root, "diagnosis")
+    append_rows(spark, database, "diagnosis", d.where(first), check=False)
+    append_rows(spark, database, "diagnosis", d.where(~first), check=False)
+    return open_tables(spark, database, ["diagnosis"])["diagnosis"]
+
+
+def s6_append_refused_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the keys refuse of an append: attendances of a month already loaded, and of
+    patients and events that are not there."""
+    database, t = _declared(spark), derived_tables(spark, sf_dir)
+    month = F.month("date")
+    replace_rows(spark, database, "patient", t["patient"].where("gender = 'F'"))
+    replace_rows(spark, database, "vaccination", t["vaccination"].where(month <= 8))
+    replace_rows(spark, database, "attends", t["attends"].where(month <= 6))
+    return append_violations(spark, database, "attends", t["attends"].where((month >= 6) & (month <= 9)))
 
 
 def s7_overwrite_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symptoms loaded, then replaced by the critical ones, read back."""
-    root, s = _shared(spark, "store"), derived_tables(spark, sf_dir)["symptoms"]
-    load_tables({"symptoms": s}, root)
-    load_tables({"symptoms": s.where("criticality = 1")}, root, mode="overwrite")
-    return read_table(spark, root, "symptoms")
+    database, s = _declared(spark, names=["symptoms"]), derived_tables(spark, sf_dir)["symptoms"]
+    append_rows(spark, database, "symptoms", s, check=False)
+    replace_rows(spark, database, "symptoms", s.where("criticality = 1"))
+    return open_tables(spark, database, ["symptoms"])["symptoms"]
+
+
+def s7_replace_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnoses partitioned by symptom; the partitions of critical symptoms are
+    replaced by their rows of the last year, all others stay."""
+    database = _declared(spark, names=["diagnosis"], bucket_by={}, partition_by={"diagnosis": ["symptom"]})
+    t = derived_tables(spark, sf_dir)
+    replace_rows(spark, database, "diagnosis", t["diagnosis"])
+    critical = t["symptoms"].where("criticality = 1").select(F.col("name").alias("symptom"))
+    last = t["diagnosis"].agg(F.add_months(F.max("date"), -12)).scalar()
+    replace_rows(spark, database, "diagnosis", t["diagnosis"].where(F.col("date") >= last).join(critical, "symptom", "left_semi"))
+    return open_tables(spark, database, ["diagnosis"])["diagnosis"]
+
+
+def _bucketed(report: Callable, names: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        database, t = _declared(spark, names=names), derived_tables(spark, sf_dir)
+        for name in names:
+            replace_rows(spark, database, name, t[name])
+        return report(open_tables(spark, database, names))
+
+    run.__name__ = f"s8_bucketed_{report.__name__}"
+    run.__doc__ = f"{report.__name__} over catalogue tables bucketed by person."
+    return run
+
+
+DOSE_TABLES = ["vaccine", "manufacturer", "batch", "vaccination", "attends"]
+BUCKETED = [
+    _bucketed(q5_vaccination_status, [*DOSE_TABLES, "patient"]),
+    _bucketed(q7_symptom_frequency, [*DOSE_TABLES, "symptoms", "diagnosis"]),
+    _bucketed(t7a_vaccine_per_diagnosis, [*DOSE_TABLES, "diagnosis"]),
+]
 
 
 def s9_vaccination_status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +194,27 @@ def _from_csv(sheet: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _damaged_json_sheet(spark: SparkSession, sf_dir: str) -> str:
+    """The diagnosis sheet as JSON lines; of January's rows the last two characters are lost."""
+    root, d = _shared(spark, "export"), derived_tables(spark, sf_dir)["diagnosis"]
+    line = F.to_json(F.struct(F.col("ssno").alias("patient"), "symptom", F.col("date").cast("string").alias("date")))
+    cut = F.when(F.month("date") == 1, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line)
+    d.select(cut.alias("value")).write.text(f"{root}/Diagnosis")
+    return root
+
+
+def l1_json_rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a JSON sheet that do not parse, with the reason."""
+    _, rejected = read_sheet_rows(spark, _damaged_json_sheet(spark, sf_dir), "Diagnosis", "json")
+    return rejected.select("reason", "row")
+
+
+def l1_json_good_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sheet's other rows, cleaned into the table."""
+    good, _ = read_sheet_rows(spark, _damaged_json_sheet(spark, sf_dir), "Diagnosis", "json")
+    return clean_sheet("Diagnosis", good)
+
+
 def audit_derived_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (table, rule): number of violating rows in the derived tables."""
     return audit_summary(_written(spark, derived_tables(spark, sf_dir)))
@@ -167,6 +240,8 @@ def audit_rows_staff_unknown_status(spark: SparkSession, sf_dir: str) -> DataFra
 RUNS = {
     "l1_clean_diagnosis": l1_clean_diagnosis,
     "l1_clean_shift": l1_clean_shift,
+    "l1_json_rejected_rows": l1_json_rejected_rows,
+    "l1_json_good_rows": l1_json_good_rows,
     "l2_patient_status": l2_patient_status,
     "v1_unreadable_diagnosis_dates": v1_unreadable_diagnosis_dates,
     "audit_derived_tables": audit_derived_tables,
@@ -180,7 +255,10 @@ RUNS = {
     "audit_planted_status_range": audit_planted_status_range,
     "audit_planted_symptom_names": audit_planted_symptom_names,
     "s6_append_then_read": s6_append_then_read,
+    "s6_append_refused_keys": s6_append_refused_keys,
     "s7_overwrite_then_read": s7_overwrite_then_read,
+    "s7_replace_partitions": s7_replace_partitions,
+    **{run.__name__: run for run in BUCKETED},
     "s9_vaccination_status_view": s9_vaccination_status_view,
     "s10_status_counts_from_view": s10_status_counts_from_view,
     "o6_first_diagnoses": o6_first_diagnoses,

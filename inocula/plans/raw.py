@@ -25,6 +25,7 @@ from ..operators import (
     one_per_key,
     orphans,
     pivot_fixed,
+    prefix_sum,
     running_total,
     semi_on,
     share_of_group,
@@ -222,7 +223,16 @@ def audit_discount_range(spark, sf_dir) -> DataFrame:
     return check_violations(li, Check("l_discount", 0, 0.1))
 
 
+def lineitem_running_quantity(spark, sf_dir) -> DataFrame:
+    """Running total of the quantity over all lines in order: no window over the whole table."""
+    li = _r(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(12,2)").alias("l_quantity")
+    )
+    return prefix_sum(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity")
+
+
 RUNS = {
+    "raw_lineitem_running_quantity": lineitem_running_quantity,
     "raw_latest_shipment_per_part": latest_shipment_per_part,
     "raw_first_event_per_user_type": first_event_per_user_type,
     "raw_first_two_orders_per_customer": first_two_orders_per_customer,

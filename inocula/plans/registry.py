@@ -44,6 +44,7 @@ TABLE_REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
     "t7e_symptom_vaccine_words": T.t7e_symptom_vaccine_words,
     "t8a_event_attendance": T.t8a_event_attendance,
     "t8b_dose_reserve": T.t8b_dose_reserve,
+    "t8_attendance_by_event_and_month": T.t8_attendance_by_event_and_month,
     "t9_cumulative_vaccinated": T.t9_cumulative_vaccinated,
     "t10_staff_met": T.t10_staff_met,
     "t10_patients_met": T.t10_patients_met,

@@ -12,9 +12,13 @@ from ..operators import (
     count_rows,
     count_std,
     crosstab,
+    distinct_bitmaps,
+    distinct_counts,
     first_n_wide,
     latest_prior,
+    number_values,
     pivot_fixed,
+    roll_up,
     running_total,
     semi_on,
     share_of_group,
@@ -227,6 +231,20 @@ def t8b_dose_reserve(t: Tables) -> DataFrame:
     )
 
 
+def t8_attendance_by_event_and_month(t: Tables) -> DataFrame:
+    """Distinct attendees per event and, rolled up from the same bitmaps, per month:
+    level ('event' or 'month'), date (of a month its first day),
+    healthcarefacilityname (null for a month), patients."""
+    a = t["attends"]
+    per_event = distinct_bitmaps(a, EVENT_KEY, "ssno", number_values(a, "ssno"))
+    months = roll_up(per_event, [F.trunc("date", "month").alias("date")])
+    event = distinct_counts(per_event, EVENT_KEY, "patients").select(F.lit("event").alias("level"), *EVENT_KEY, "patients")
+    month = distinct_counts(months, ["date"], "patients").select(
+        F.lit("month").alias("level"), "date", F.lit(None).cast("string").alias("healthcarefacilityname"), "patients"
+    )
+    return event.unionByName(month)
+
+
 def t9_cumulative_vaccinated(t: Tables) -> DataFrame:
     """Vaccinated per event date and running total, in date order: date,
     day ('yyyy-MM-dd' text, the chart's axis), total_vaccinated, cumulative.

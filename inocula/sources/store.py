@@ -33,7 +33,7 @@ class AuditFailed(ValueError):
 _publishing = threading.Lock()
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """Hadoop FileSystem handle and Path class for ``path`` (any scheme the
     cluster is configured for: hdfs, s3a, abfs, file, ...)."""
     jvm = spark.sparkContext._jvm
@@ -42,7 +42,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
-    fs, Path = _fs(spark, root)
+    fs, Path = file_system(spark, root)
     folder = Path(f"{root.rstrip('/')}/_current")
     names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
     return sorted(int(n) for n in names if n.isdigit())
@@ -53,7 +53,7 @@ def current_folders(spark: SparkSession, root: str) -> dict[str, list[str]]:
     versions = _versions(spark, root)
     if not versions:
         return {}
-    fs, Path = _fs(spark, root)
+    fs, Path = file_system(spark, root)
     stream = fs.open(Path(f"{root.rstrip('/')}/_current/{versions[-1]}"))
     try:
         return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -65,7 +65,7 @@ def publish(spark: SparkSession, root: str, change: Callable[[dict[str, list[str
     """Make ``change(current folders)`` the current ones: one file, renamed into place."""
     with _publishing:
         folders = change(current_folders(spark, root))
-        fs, Path = _fs(spark, root)
+        fs, Path = file_system(spark, root)
         base = f"{root.rstrip('/')}/_current"
         n = (_versions(spark, root) or [0])[-1] + 1
         draft = Path(f"{base}/.draft-{uuid.uuid4().hex}")

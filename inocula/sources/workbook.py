@@ -77,8 +77,9 @@ def read_sheet(spark: SparkSession, root: str, sheet: str, multi_line: bool = Tr
     Every file must have the same header in the same order as the first:
     with ``enforceSchema`` off a file that differs ends the read, instead of
     its columns being taken by position.  A row with more or fewer fields
-    ends it as well.  ``multi_line`` reads quoted line breaks (a file is then
-    one task; turn it off for large files without them).
+    ends it as well (``read_sheet_rows`` hands such rows back instead).
+    ``multi_line`` reads quoted line breaks; a file is then one task, so turn it
+    off for large files without them.
     """
     options = {
         "header": True,
@@ -94,6 +95,49 @@ def read_sheet(spark: SparkSession, root: str, sheet: str, multi_line: bool = Tr
     return spark.read.options(**options, enforceSchema=False, mode="FAILFAST").schema(schema).csv(path)
 
 
+def read_sheet_rows(
+    spark: SparkSession, root: str, sheet: str, form: str = "csv", multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(rows that parse, rows that do not) of one sheet, CSV or JSON lines.
+
+    The first has the sheet's columns as text, the second ``file``, ``reason``
+    and ``row``, the text as it stands in the file: a load can go on with the
+    good rows and hand back the others.  Every CSV file still must have the same
+    header.  JSON sheets take their columns from all objects; a value that is no
+    text is kept as JSON writes it.
+    """
+    path, bad = sheet_path(root, sheet), "_inocula_rejected"
+    text = T.StringType()
+    if form == "csv":
+        options = {
+            "header": True, "inferSchema": False, "multiLine": multi_line, "escape": '"',
+            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+        }
+        names = spark.read.options(**options).csv(path).columns
+        some = F.coalesce(*[F.col(f"`{c}`") for c in names])
+        few = F.when(F.col(f"`{names[-1]}`").isNull(), "too few fields")
+        reason = F.when(some.isNull(), "no fields").otherwise(F.coalesce(few, F.lit("too many fields")))
+    elif form == "json":
+        options = {"primitivesAsString": True, "multiLine": multi_line}
+        names = [c for c in spark.read.options(**options, columnNameOfCorruptRecord=bad).json(path).columns if c != bad]
+        reason = F.when(F.coalesce(*[F.col(f"`{c}`") for c in names], F.lit("")) == "", "no JSON object").otherwise("a part is no JSON")
+    else:
+        raise ValueError(f"sheets are csv or json, not {form}")
+    schema = T.StructType([T.StructField(c, text, True) for c in [*names, bad]])
+    reader = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=bad).schema(schema)
+    rows = reader.option("enforceSchema", False).csv(path) if form == "csv" else reader.json(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_inocula_file"))
+    # a plain null test would be pushed into the parser, which has not filled the column yet;
+    # and every column is read, or the parser would not look whether a row has too many
+    size = F.coalesce(F.length(bad), F.lit(0))
+    read = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in names])) >= 0
+    good = rows.where((size == 0) & read).select(*[F.col(f"`{c}`") for c in names])
+    rejected = rows.where((size > 0) & read).select(
+        F.col("_inocula_file").alias("file"), reason.alias("reason"), F.col(bad).alias("row")
+    )
+    return good, rejected
+
+
 def read_sheets(spark: SparkSession, root: str, sheets=None) -> dict[str, DataFrame]:
     """Every sheet of the workbook export as a dict sheet -> DataFrame."""
     return {s: read_sheet(spark, root, s) for s in (sheets or SHEET_TABLE)}
