@@ -31,12 +31,13 @@ from .core import (
 )
 from .distinct import distinct_bitmaps, distinct_counts, number_values, roll_up
 from .prefix import prefix_sum
-from .temporal import count_prior_pairs, latest_prior
+from .temporal import count_prior_pairs, count_prior_pairs_by_time, latest_prior, latest_prior_by_time
 
 __all__ = [
     "audit_summary",
     "check_violations",
     "count_prior_pairs",
+    "count_prior_pairs_by_time",
     "count_rows",
     "count_std",
     "crosstab",
@@ -50,6 +51,7 @@ __all__ = [
     "key_filter",
     "latest_per_key",
     "latest_prior",
+    "latest_prior_by_time",
     "length_violations",
     "not_null_violations",
     "null_keys",

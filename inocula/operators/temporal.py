@@ -2,18 +2,24 @@
 
 ``a JOIN b ON a.k = b.k AND a.d <= b.d`` emits every pair within a key; when
 one key holds a large share of both sides that is quadratic work in one task.
-Both operators here first collapse each side to one row per (key, date[,
+``count_prior_pairs`` and ``latest_prior`` first collapse each side to one row per (key, date[,
 label]) with partial aggregation -- a bounded calendar per key -- and then
 resolve "on or before" with a running window over the union of the two
 collapsed sides, so work stays linear in the input and every window partition
 is bounded by (labels x distinct dates) of one key.
+
+``count_prior_pairs_by_time`` and ``latest_prior_by_time`` take timestamps, of which
+one key may have any number.  A key's time is cut into blocks of equal width: what
+lies in one block is resolved there, and what earlier blocks add is carried
+over as one row per (key, block).  A key's rows so spread over as many tasks as it
+has blocks, and the window over a key's blocks holds one row per block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,32 +70,42 @@ def count_prior_pairs(
     p = pr.groupBy(F.col(key).alias("_k"), F.col(probe_label).alias("_pl"), F.col(probe_date).alias("_d")).agg(
         F.count(F.lit(1)).alias("_np")
     )
+    return _pairs_of(_collapsed_pairs(e, p, ["_k"]), event_label, probe_label, alias)
+
+
+def _pairs_of(counted: DataFrame, event_label: str, probe_label: str, alias: str) -> DataFrame:
+    return counted.select(F.col("_el").alias(event_label), F.col("_pl").alias(probe_label), F.col("_n").alias(alias))
+
+
+def _collapsed_pairs(e: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
+    """(_el, _pl, _n): pairs of equal ``keys`` with the event's ``_d`` not after the probe's, from
+    the collapsed sides (keys, _el, _d, _ne) and (keys, _pl, _d, _np)."""
     # 2. probe dates, one per (key, event label present for that key, date).
     # Derived from the collapsed sides with a real aggregate (a bare
     # distinct would be rewritten into a second aggregation of the source);
     # this way the sources are scanned once and their exchange is reused.
-    labels = e.groupBy("_k", "_el").agg(F.sum("_ne").alias("_x")).where(F.col("_x") > 0).drop("_x")
-    days = p.groupBy("_k", "_d").agg(F.sum("_np").alias("_x")).where(F.col("_x") > 0).drop("_x")
-    probe_days = days.join(labels, "_k")
+    labels = e.groupBy(*keys, "_el").agg(F.sum("_ne").alias("_x")).where(F.col("_x") > 0).drop("_x")
+    days = p.groupBy(*keys, "_d").agg(F.sum("_np").alias("_x")).where(F.col("_x") > 0).drop("_x")
+    probe_days = days.join(labels, keys)
     # 3. running count of events per (key, event label) as of each probe date
-    u = e.select("_k", "_el", "_d", F.lit(0).alias(_KIND), "_ne").unionByName(
-        probe_days.select("_k", "_el", "_d", F.lit(1).alias(_KIND), F.lit(0).cast("bigint").alias("_ne"))
+    u = e.select(*keys, "_el", "_d", F.lit(0).alias(_KIND), "_ne").unionByName(
+        probe_days.select(*keys, "_el", "_d", F.lit(1).alias(_KIND), F.lit(0).cast("bigint").alias("_ne"))
     )
     w = (
-        Window.partitionBy("_k", "_el")
+        Window.partitionBy(*keys, "_el")
         .orderBy("_d", _KIND)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     prior = (
         u.withColumn("_prior", F.sum("_ne").over(w))
         .where((F.col(_KIND) == 1) & (F.col("_prior") > 0))
-        .select("_k", "_d", "_el", "_prior")
+        .select(*keys, "_d", "_el", "_prior")
     )
     # 4. weight each probe group by the events before it, sum per label pair
     return (
-        p.join(prior, ["_k", "_d"])
-        .groupBy(F.col("_el").alias(event_label), F.col("_pl").alias(probe_label))
-        .agg(F.sum(F.col("_np") * F.col("_prior")).cast("bigint").alias(alias))
+        p.join(prior, [*keys, "_d"])
+        .groupBy("_el", "_pl")
+        .agg(F.sum(F.col("_np") * F.col("_prior")).cast("bigint").alias("_n"))
     )
 
 
@@ -173,3 +189,111 @@ def latest_prior(
         out_cols.append(F.col("_hit")["_ed"].alias(hit_date))
     joined = probes.join(hits, (probes[key] == hits["_k"]) & (probes[probe_date] == hits["_d"]))
     return joined.select(*out_cols)
+
+
+def _block(df: DataFrame, column: str, seconds: int) -> Column:
+    """The number of the block that a time lies in: never less for a later time."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.TimestampType):
+        at = F.unix_seconds(c)
+    elif isinstance(kind, T.TimestampNTZType):  # read off the clock, whatever the session's time zone
+        day = F.unix_date(F.to_date(c)).cast("bigint")
+        at = day * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    elif isinstance(kind, T.DateType):
+        at = F.unix_date(c).cast("bigint") * 86400
+    else:
+        raise TypeError(f"{column} must be a timestamp or date, not {kind.simpleString()}")
+    return F.floor(at / F.lit(seconds)).cast("bigint")
+
+
+def _same_kind(events: DataFrame, event_time: str, probes: DataFrame, probe_time: str, seconds: int) -> None:
+    kinds = {events.schema[event_time].dataType, probes.schema[probe_time].dataType}
+    if len(kinds) > 1:
+        raise TypeError(f"event and probe time differ: {sorted(k.simpleString() for k in kinds)}")
+    if seconds < 1:
+        raise ValueError("a block lasts one second at least")
+
+
+def count_prior_pairs_by_time(
+    events: DataFrame,
+    probes: DataFrame,
+    key: str,
+    event_time: str,
+    probe_time: str,
+    event_label: str,
+    probe_label: str,
+    alias: str = "frequency",
+    block_seconds: int = 86400,
+) -> DataFrame:
+    """``count_prior_pairs`` for timestamps: the same counts, with a key's history in blocks.
+
+    Pairs within a block are counted by running counts over the block; pairs of
+    different blocks by the same counting over whole blocks.  ``block_seconds``
+    changes the spreading, never the counts: a task holds (labels x distinct
+    times) of one key and block, and a key's (labels x blocks).  NULL keys and
+    times match nothing.
+    """
+    _same_kind(events, event_time, probes, probe_time, block_seconds)
+    ev = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull())
+    pr = probes.where(F.col(key).isNotNull() & F.col(probe_time).isNotNull())
+    e = ev.groupBy(
+        F.col(key).alias("_k"), _block(ev, event_time, block_seconds).alias("_b"), F.col(event_label).alias("_el"), F.col(event_time).alias("_d")
+    ).agg(F.count(F.lit(1)).alias("_ne"))
+    p = pr.groupBy(
+        F.col(key).alias("_k"), _block(pr, probe_time, block_seconds).alias("_b"), F.col(probe_label).alias("_pl"), F.col(probe_time).alias("_d")
+    ).agg(F.count(F.lit(1)).alias("_np"))
+    within = _collapsed_pairs(e, p, ["_k", "_b"])
+    # an event counts for whole blocks from the one after its own
+    later = e.groupBy("_k", "_el", (F.col("_b") + 1).alias("_d")).agg(F.sum("_ne").alias("_ne"))
+    whole = p.groupBy("_k", "_pl", F.col("_b").alias("_d")).agg(F.sum("_np").alias("_np"))
+    both = within.unionByName(_collapsed_pairs(later, whole, ["_k"]))
+    return _pairs_of(both.groupBy("_el", "_pl").agg(F.sum("_n").alias("_n")), event_label, probe_label, alias)
+
+
+def latest_prior_by_time(
+    events: DataFrame,
+    probes: DataFrame,
+    key: str,
+    event_time: str,
+    probe_time: str,
+    pick: Sequence[str],
+    payload: Sequence[str],
+    hit_time: str | None = None,
+    block_seconds: int = 86400,
+) -> DataFrame:
+    """``latest_prior`` for timestamps: the same answers, with a key's history in blocks.
+
+    A probe's event is the last one of its block up to its time, or else the
+    last one that any earlier block ended with.
+    """
+    _same_kind(events, event_time, probes, probe_time, block_seconds)
+    ev = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull())
+    pr = probes.where(F.col(key).isNotNull() & F.col(probe_time).isNotNull())
+    fields = list(dict.fromkeys([*pick, *payload]))
+    best = ev.groupBy(F.col(key).alias("_k"), _block(ev, event_time, block_seconds).alias("_b"), F.col(event_time).alias("_d")).agg(
+        F.min(F.struct(*[F.col(c) for c in fields], F.col(event_time).alias("_ed"))).alias("_best")
+    )
+    times = pr.select(F.col(key).alias("_k"), _block(pr, probe_time, block_seconds).alias("_b"), F.col(probe_time).alias("_d")).distinct()
+    none = F.lit(None).cast(best.schema["_best"].dataType)
+    u = best.withColumn(_KIND, F.lit(0)).unionByName(times.withColumns({_KIND: F.lit(1), "_best": none}))
+    so_far = Window.partitionBy("_k", "_b").orderBy("_d", _KIND).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = u.withColumn("_own", F.last("_best", ignorenulls=True).over(so_far)).where(F.col(_KIND) == 1).select("_k", "_b", "_d", "_own")
+    # one row per block: the event it ends with, and whether probes ask there
+    blocks = u.groupBy("_k", "_b").agg(
+        F.max_by("_best", F.when(F.col(_KIND) == 0, F.col("_d"))).alias("_end"), F.max(_KIND).alias("_asked")
+    )
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        blocks.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier))
+        .where((F.col("_asked") == 1) & F.col("_carried").isNotNull())
+        .select("_k", "_b", "_carried")
+    )
+    hits = (
+        within.join(carried, ["_k", "_b"], "left")
+        .select("_k", "_d", F.coalesce("_own", "_carried").alias("_hit"))
+        .where(F.col("_hit").isNotNull())
+    )
+    out = [probes[c] for c in probes.columns] + [F.col("_hit")[c].alias(c) for c in payload]
+    if hit_time:
+        out.append(F.col("_hit")["_ed"].alias(hit_time))
+    return probes.join(hits, (probes[key] == hits["_k"]) & (probes[probe_time] == hits["_d"])).select(*out)

@@ -23,6 +23,7 @@ from ..sources.derived import derived_tables, planted_tables, raw_diagnosis_shee
 from ..sources.store import load_tables, preview, read_table
 from ..sources.tables import append_rows, append_violations, create_tables, open_tables, replace_rows
 from ..sources.workbook import SHEET_TABLE, clean_sheet, export_sheet, patient_status, read_sheet, read_sheet_rows, unreadable_dates
+from ..sources.kept import append_attendances, create_dose_counts, kept_vaccination_status
 from .catalogue import q5_vaccination_status, q7_symptom_frequency, register_vaccination_status_view
 from .tasks import t7a_vaccine_per_diagnosis
 
@@ -166,6 +167,18 @@ def s9_vaccination_status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * FROM vaccination_status_view")
 
 
+def s9_kept_status_after_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 from kept counts, after attendances were appended in two loads."""
+    database, t = _declared(spark, names=[*DOSE_TABLES, "patient"]), derived_tables(spark, sf_dir)
+    create_dose_counts(spark, database, _shared(spark, "kept"))
+    for name in [*DOSE_TABLES[:-1], "patient"]:
+        replace_rows(spark, database, name, t[name])
+    early = F.month("date") <= 6
+    for load, rows in (("first", t["attends"].where(early)), ("second", t["attends"].where(~early))):
+        append_attendances(spark, database, rows, load, check=False)
+    return kept_vaccination_status(spark, database)
+
+
 def s10_status_counts_from_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query over the named view."""
     register_vaccination_status_view(derived_tables(spark, sf_dir))
@@ -260,6 +273,7 @@ RUNS = {
     "s7_replace_partitions": s7_replace_partitions,
     **{run.__name__: run for run in BUCKETED},
     "s9_vaccination_status_view": s9_vaccination_status_view,
+    "s9_kept_status_after_appends": s9_kept_status_after_appends,
     "s10_status_counts_from_view": s10_status_counts_from_view,
     "o6_first_diagnoses": o6_first_diagnoses,
     **{f"l1_csv_{t}": _from_csv(s) for s, t in SHEET_TABLE.items()},

@@ -25,6 +25,8 @@ class Params:
     genders: tuple[str, ...] = ("F", "M")  # T3
     top_k: int = 3  # T3
     vaccines: tuple[str, ...] = ("V0", "V1", "V2", "V3", "V4")  # T7c-T7e: the wide tables' columns
+    new_vaccine: str = "V9"  # T7e, finer words: a vaccine without doses
+    fine_words: tuple[tuple[float, str], ...] = ((0.0085, "very common"), (0.0081, "common"))  # T7e, finer words
 
 
 TESTDATA = Params()

@@ -14,6 +14,7 @@ from ..functions import age_band, age_years, iso_weekday, rate_words, round_half
 from ..operators import (
     check_violations,
     count_prior_pairs,
+    count_prior_pairs_by_time,
     count_rows,
     count_std,
     crosstab,
@@ -22,6 +23,7 @@ from ..operators import (
     foreign_key_orphans,
     latest_per_key,
     latest_prior,
+    latest_prior_by_time,
     one_per_key,
     orphans,
     pivot_fixed,
@@ -206,6 +208,29 @@ def latest_low_before_urgent(spark, sf_dir) -> DataFrame:
     return latest_prior(low, urgent, "o_custkey", "d", "d", pick=["prior_orderkey"], payload=["prior_orderkey"], hit_date="prior_date")
 
 
+def _busy_events(spark, sf_dir) -> DataFrame:
+    """Events of which one key, 0, has a third."""
+    busy = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
+    return _r(spark, sf_dir, "events").select("event_id", "ts", "event_type", busy.alias("user"))
+
+
+def prior_event_pairs(spark, sf_dir) -> DataFrame:
+    """Per two event types: pairs of a user's events of the first before or at one of
+    the second, by time stamp; one user has a third of the events."""
+    e = _busy_events(spark, sf_dir)
+    first = e.select("user", "ts", F.col("event_type").alias("before"))
+    return count_prior_pairs_by_time(first, e, "user", "ts", "ts", "before", "event_type", alias="pairs")
+
+
+def latest_click_before_purchase(spark, sf_dir) -> DataFrame:
+    """For each purchase the user's latest click up to that time (same time: smallest
+    id); purchases without one are dropped."""
+    e = _busy_events(spark, sf_dir)
+    clicks = e.where("event_type = 'click'").select("user", "ts", F.col("event_id").alias("click_id"))
+    bought = e.where("event_type = 'purchase'").select("event_id", "user", "ts")
+    return latest_prior_by_time(clicks, bought, "user", "ts", "ts", ["click_id"], ["click_id"], hit_time="click_ts")
+
+
 def audit_customer_nation(spark, sf_dir) -> DataFrame:
     """Customers whose nation key has no nation row (FK audit)."""
     c = _r(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -251,6 +276,8 @@ RUNS = {
     "raw_order_age_years": order_age_years,
     "raw_prior_order_pairs": prior_order_pairs,
     "raw_latest_low_before_urgent": latest_low_before_urgent,
+    "raw_prior_event_pairs": prior_event_pairs,
+    "raw_latest_click_before_purchase": latest_click_before_purchase,
     "raw_audit_customer_nation": audit_customer_nation,
     "raw_audit_lineitem_key": audit_lineitem_key,
     "raw_audit_discount_range": audit_discount_range,

@@ -13,6 +13,7 @@ from . import catalogue as C
 from . import charts as V
 from . import loading as L
 from . import raw as R
+from . import sql_text as S
 from . import tasks as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,7 @@ TABLE_REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
     "t7c_symptom_vaccine_counts": T.t7c_symptom_vaccine_counts,
     "t7d_symptom_vaccine_rates": T.t7d_symptom_vaccine_rates,
     "t7e_symptom_vaccine_words": T.t7e_symptom_vaccine_words,
+    "t7e_symptom_vaccine_words_fine": T.t7e_symptom_vaccine_words_fine,
     "t8a_event_attendance": T.t8a_event_attendance,
     "t8b_dose_reserve": T.t8b_dose_reserve,
     "t8_attendance_by_event_and_month": T.t8_attendance_by_event_and_month,
@@ -54,6 +56,7 @@ TABLE_REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
     "v4_doses_per_manufacturer": V.v4_doses_per_manufacturer,
     "v5_patients_per_facility": V.v5_patients_per_facility,
     "v6_symptoms_by_month": V.v6_symptoms_by_month,
+    **S.REPORTS,
 }
 
 # Runs that read the raw testdata tables (or sheets derived from them) directly
@@ -78,7 +81,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {
         k: oracle.with_derived(v)
-        for part in (oracle.CATALOGUE, oracle.TASKS, oracle.CHARTS, oracle.LOADING_ON_DERIVED)
+        for part in (oracle.CATALOGUE, oracle.TASKS, oracle.CHARTS, oracle.SQL_TEXT, oracle.LOADING_ON_DERIVED)
         for k, v in part.items()
     }
     out.update({k: oracle.with_derived(v) for k, v in oracle.STORE.items()})

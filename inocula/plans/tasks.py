@@ -3,6 +3,8 @@ one lazy Spark plan each here)."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,13 +161,13 @@ def t7b_doses_per_vaccine(t: Tables) -> DataFrame:
     )
 
 
-def t7_symptom_vaccine_long(t: Tables) -> DataFrame:
+def t7_symptom_vaccine_long(t: Tables, digits: int = 2) -> DataFrame:
     """Symptom x vaccine in long form, for any number of vaccines: symptom,
-    vaccine, n, rate (n / doses of that vaccine, half-even to 2 digits;
+    vaccine, n, rate (n / doses of that vaccine, half-even to ``digits``;
     NULL for a vaccine without doses), words."""
     cnt = t7a_vaccine_per_diagnosis(t).groupBy("symptom", "vaccine").agg(F.count(F.lit(1)).alias("n"))
     tot = t7b_doses_per_vaccine(t).select(F.col("vaccine").alias("_v"), F.col("count").alias("_doses"))
-    rate = round_half_even(F.col("n").cast("double") / F.col("_doses").cast("double"), 2)
+    rate = round_half_even(F.col("n").cast("double") / F.col("_doses").cast("double"), digits)
     rated = cnt.join(tot, F.col("vaccine").eqNullSafe(F.col("_v")), "left").withColumn("rate", rate)
     return rated.select("symptom", "vaccine", "n", "rate", rate_words("rate").alias("words"))
 
@@ -176,26 +178,32 @@ def t7c_symptom_vaccine_counts(t: Tables, p: Params = TESTDATA) -> DataFrame:
     return crosstab(t7a_vaccine_per_diagnosis(t), "symptom", "vaccine", p.vaccines, other="other")
 
 
-def _t7_rates(t: Tables) -> DataFrame:
+def _t7_rates(t: Tables, digits: int = 2) -> DataFrame:
     # a diagnosis without a vaccine id has no column to go to, as in a crosstab
-    return t7_symptom_vaccine_long(t).where(F.col("vaccine").isNotNull() & F.col("rate").isNotNull())
+    return t7_symptom_vaccine_long(t, digits).where(F.col("vaccine").isNotNull() & F.col("rate").isNotNull())
 
 
-def t7d_symptom_vaccine_rates(t: Tables, p: Params = TESTDATA) -> DataFrame:
-    """count / doses of that vaccine, rounded half-even to 2 digits; absent
+def t7d_symptom_vaccine_rates(t: Tables, p: Params = TESTDATA, digits: int = 2) -> DataFrame:
+    """count / doses of that vaccine, rounded half-even to ``digits``; absent
     cells 0.0.  An id outside ``p.vaccines`` is refused (a rate cannot be
     put into a common column); the long form takes any ids."""
-    wide = pivot_fixed(_t7_rates(t), "symptom", "vaccine", p.vaccines, "rate")
+    wide = pivot_fixed(_t7_rates(t, digits), "symptom", "vaccine", p.vaccines, "rate")
     return wide.na.fill(0.0, subset=list(p.vaccines))
 
 
-def t7e_symptom_vaccine_words(t: Tables, p: Params = TESTDATA, words=None) -> DataFrame:
+def t7e_symptom_vaccine_words(t: Tables, p: Params = TESTDATA, words=None, digits: int = 2) -> DataFrame:
     """T7d's rates in words ('very common' / 'common' / 'rare' / '-')."""
     kw = {} if words is None else {"words": words}
-    rates = t7d_symptom_vaccine_rates(t, p)
+    rates = t7d_symptom_vaccine_rates(t, p, digits)
     return rates.select("symptom", *[rate_words(F.col(f"`{v}`"), **kw).alias(v) for v in p.vaccines])
 
 
+def t7e_symptom_vaccine_words_fine(t: Tables, p: Params = TESTDATA) -> DataFrame:
+    """T7e for symptoms of about one in a hundred doses: five digits and ``p.fine_words`` as
+    bounds, with a column for a vaccine that nobody had yet ('-')."""
+    return t7e_symptom_vaccine_words(t, replace(p, vaccines=(*p.vaccines, p.new_vaccine)), p.fine_words, digits=5)
+
+
 # ------------------------------------------------------------------ T8 - T9
 def _event_attendance_counts(t: Tables) -> DataFrame:
     return t["attends"].groupBy(*EVENT_KEY).agg(F.count_distinct("ssno").alias("_d"))
