@@ -20,17 +20,19 @@ is compressed once per language.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import utf8, values
 
 BUCKETS = 64  # texts per language at most
 DICT_BYTES = 32 << 10
+PIECES = 4  # of a text in a dictionary
 MAX_LANGS = 256
 BLOCK_WORDS = 1024
 MIN_MARGIN = 0.004
@@ -72,22 +74,36 @@ def fit_languages(
     if len(count) > max_langs or len(least) > max_langs * buckets:
         raise ValueError(f"more than {max_langs} language labels")
     langs = sorted(count, key=lambda x: (-count[x], x))
-    share = dict_bytes // buckets  # of each text, more where a language has few
-    chosen = rows.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in least], "lang string, h long")
+    own = Counter(r["lang"] for r in least)
+    chosen = rows.sparkSession.createDataFrame(
+        [(r["lang"], r["h"], dict_bytes // own[r["lang"]]) for r in least], "lang string, h long, share long"
+    )
     texts = (
-        rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
+        rows.join(F.broadcast(chosen), ["lang", "h"])
         .groupBy("lang", "h")
-        .agg(F.max("text").alias("text"))
+        .agg(F.max(_spread("text", "share")).alias("text"))
         .collect()
     )
     contents = []
     for x in langs:
-        own = [b" ".join(normalise(r["text"].encode())) for r in sorted(texts, key=lambda r: r["h"]) if r["lang"] == x]
-        take = max(share, dict_bytes // max(1, len(own)))
-        contents.append(b"\n".join(t[:take] for t in own)[-dict_bytes:])
+        parts = [b" ".join(normalise(r["text"].encode())) for r in sorted(texts, key=lambda r: r["h"]) if r["lang"] == x]
+        contents.append(b"\n".join(parts)[-dict_bytes:])
     return LanguageModel(langs, contents)
 
 
+def _spread(text: str, share: str) -> Column:
+    """About ``share`` bytes of a text: all of a shorter one, else pieces of every part of it."""
+    length = F.char_length(text)
+    # in characters, which may have several bytes
+    most = F.greatest(F.lit(1), F.floor(F.col(share) * length / F.octet_length(text)))
+    size, stretch = F.ceil(most / PIECES), F.floor(length / PIECES)
+    room = F.greatest(F.lit(0), stretch - size) + 1
+    pieces = [
+        F.substr(text, (i * stretch + F.pmod(F.xxhash64(text, F.lit(i)), room) + 1).cast("int"), size.cast("int")) for i in range(PIECES)
+    ]
+    return F.when(length <= most, F.col(text)).otherwise(F.concat_ws(" ", *pieces))
+
+
 def _by_lang():
     from pyspark.sql import Window
 

@@ -13,7 +13,7 @@ import public_tokenizers as vocabularies
 import pytest
 from pyspark.sql import functions as F
 
-from inocula.llm import bpe, jaccard, linededup, queries, tokenfile
+from inocula.llm import bpe, jaccard, langid, linededup, queries, tokenfile
 from inocula.llm.common import importable
 
 RANKS = vocabularies.path("byte_bpe_multi_50k.tiktoken")
@@ -153,3 +153,32 @@ def test_other_registered_queries_return_every_document(session, name):
     docs = session.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert sorted(ids) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
     assert rows.filter(F.lit(True)).columns[0] == "doc_id"
+
+
+def test_dictionaries_hold_pieces_of_whole_texts(session):
+    """Texts that open and end with another language's passage are still learned by what they hold."""
+    rng = random.Random(5)
+    own = {"aa": ["ketu", "malor", "sivet", "ranu", "polix"], "bb": ["drung", "wheft", "glorb", "skind", "thrum"]}
+    license_line = " ".join(["permission", "granted", "without", "charge"] * 60)
+    rows = []
+    for i in range(24):
+        lang = "aa" if i % 2 else "bb"
+        body = " ".join(rng.choice(own[lang]) + rng.choice(["", "a", "en"]) for _ in range(4000))
+        rows.append((i, f"{license_line} {body}", lang))
+    model = langid.fit_languages(session.createDataFrame(rows, "doc_id long, text string, lang string"), dict_bytes=4096)
+    for x, content in zip(model.langs, model.contents):
+        assert len(content) <= 4096
+        words = content.split()
+        assert sum(w[:4] in {k[:4].encode() for k in own[x]} for w in words) > 0.6 * len(words)
+        assert len(words) > 200
+    tests = [(i, " ".join(rng.choice(own[x]) for _ in range(12)), x) for i, x in enumerate(["aa", "bb"] * 10)]
+    got = langid.identify(session.createDataFrame(tests, "doc_id long, text string, lang string"), model).collect()
+    assert all(r["language"]["best"] == r["lang"] for r in got)
+
+
+def test_dictionaries_of_short_and_wide_texts(session):
+    rows = [(0, "é" * 50 + " ö" * 4000, "x"), (1, "abc", "x"), (2, "я" * 9000, "y"), (3, "abc", "x")]
+    model = langid.fit_languages(session.createDataFrame(rows, "doc_id long, text string, lang string"), dict_bytes=600)
+    assert model.langs == ["x", "y"]
+    assert all(0 < len(c) <= 600 for c in model.contents)
+    assert b"abc" in model.contents[0]
