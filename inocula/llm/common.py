@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -62,6 +63,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *broadcasts) -> None:
+    """Give back what finished steps leave: their broadcasts, and their shuffle files.
+
+    Spark removes the shuffle files of a query once the driver has collected the
+    query as garbage, which may be long after; what is stored needs them no more.
+    """
+    for b in broadcasts:
+        b.destroy()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _held: dict = {}
 
 

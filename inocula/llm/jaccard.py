@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, stored, utf8, values
+from .common import held, release, stored, utf8, values
 
 WORDS = 5
 PERCENT = 80
@@ -225,16 +225,23 @@ def links_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
                 pa.bool_(),
             )
 
+    # one key for id and text, null ids too, that joins and groups: texts are dealt once
     source = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
+    source = source.filter(may_be_needed("tkey")).withColumn("row", F.xxhash64("tkey", "id"))
+    asked = need.select("digest", "rep", F.col("tkey").alias("t"), F.xxhash64("tkey", "rep").alias("row"))
     texts = stored(
-        source.filter(may_be_needed("tkey"))
-        .join(need, (source.tkey == need.tkey) & source.id.eqNullSafe(need.rep))
-        .groupBy("digest")
-        .agg(F.first("text").alias("text")),
+        source.join(asked, "row")
+        .filter((F.col("tkey") == F.col("t")) & F.col("id").eqNullSafe(F.col("rep")))
+        .groupBy("row", "digest")
+        .agg(F.first("text").alias("text"))
+        .select("digest", "text"),
         "texts",
     )
+    release(docs.sparkSession, wanted)
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return stored(both.filter(check("a", "text_a", "b", "text_b")).select("a", "b"), "links")
+    links = stored(both.filter(check("a", "text_a", "b", "text_b")).select("a", "b"), "links")
+    release(docs.sparkSession)
+    return links
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -352,6 +359,7 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     # ``open`` of a member: its first tokens that some other group has, so it shares no more with any
     with_tokens = own.select("q", "g", "n", tokens_of(shared).alias("tokens")).withColumn("open", F.size("tokens"))
     members = stored(with_tokens.select("q", "g", "n", "open", F.explode("tokens").alias("token")).distinct(), "matrix")
+    release(nodes.sparkSession, shared)
     matrix = members.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("open").alias("most"))
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent)
     n = F.col("n")
@@ -392,6 +400,7 @@ def jaccard_components(
     """(id, tkey, n_shingles, component_id) per row; tkey is xxhash64 of the text."""
     common = common_tokens(docs, text_col, n_words)
     rows = stored(describe(docs, text_col, id_col, common, n_words, percent), "shingle-rows")
+    release(docs.sparkSession, common)
     full = rows.filter("n > 0")
     reps = full.groupBy("digest").agg(F.min("id").alias("rep"))
     picked = full.select("digest", "id", "tkey", "n", "rare", "hashes").join(
@@ -402,7 +411,12 @@ def jaccard_components(
         .agg(F.min("rep").alias("rep"), F.min("tkey").alias("tkey"), F.min("n").alias("n"), F.min("rare").alias("rare"), F.first("hashes").alias("hashes")),
         "nodes",
     )
-    check = lambda pairs: links_of(stored(pairs, "pairs"), nodes, docs, text_col, id_col, n_words, percent)
+
+    def check(found: DataFrame) -> DataFrame:
+        pairs = stored(found, "pairs")
+        release(docs.sparkSession)
+        return links_of(pairs, nodes, docs, text_col, id_col, n_words, percent)
+
     stars = components(check(_star_pairs(nodes.withColumn("grp", F.col("digest")), percent)))
     stars = components(stars.union(check(_star_pairs(_with_group(nodes, stars), percent))))
     grouped = stored(_with_group(nodes.drop("hashes", "rare"), stars), "groups")
