@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, release, stored, utf8, values
+from .common import discard, held, release, stored, utf8, values
 
 WORDS = 5
 PERCENT = 80
@@ -164,7 +164,9 @@ def common_tokens(docs: DataFrame, text_col: str, n_words: int):
     )
     counts = stored(counts.filter("count > 1"), "token-counts")
     mean = counts.agg(F.sum("count")).first()[0] or 0
-    return bitmap(counts.filter(F.col("count") >= 3 + 4 * mean / (1 << CELL_BITS)), "cell")
+    common = bitmap(counts.filter(F.col("count") >= 3 + 4 * mean / (1 << CELL_BITS)), "cell")
+    discard(counts)
+    return common
 
 
 def describe(docs: DataFrame, text_col: str, id_col: str, common, n_words: int, percent: int) -> DataFrame:
@@ -240,6 +242,7 @@ def links_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     release(docs.sparkSession, wanted)
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     links = stored(both.filter(check("a", "text_a", "b", "text_b")).select("a", "b"), "links")
+    discard(need, texts)
     release(docs.sparkSession)
     return links
 
@@ -268,7 +271,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         met = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(low, "a").select(F.explode(met).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
-        edges = stored(small, "edges")
+        before, edges = edges, stored(small, "edges")
+        discard(before)
     return edges
 
 
@@ -327,7 +331,7 @@ def _least_shared(n: Column, m: Column, percent: int) -> Column:
 
 
 def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different groups that the matrix lets through.
+    """Pairs (a, b) of nodes in different groups that the matrix lets through, stored.
 
     ``rows`` has (digest, id, prefix), ``nodes`` (digest, rep, tkey, n, grp).
     """
@@ -359,6 +363,7 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     # ``open`` of a member: its first tokens that some other group has, so it shares no more with any
     with_tokens = own.select("q", "g", "n", tokens_of(shared).alias("tokens")).withColumn("open", F.size("tokens"))
     members = stored(with_tokens.select("q", "g", "n", "open", F.explode("tokens").alias("token")).distinct(), "matrix")
+    discard(own)
     release(nodes.sparkSession, shared)
     matrix = members.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("open").alias("most"))
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent)
@@ -386,12 +391,9 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         .filter(F.col("count") >= _least_shared(F.col("n"), F.col("m"), percent))
     )
     by_key = nodes.select(_key("digest").alias("q"), "digest")
-    return (
-        opened.join(by_key.toDF("q", "a"), "q")
-        .join(by_key.toDF("x", "b"), "x")
-        .select("a", "b")
-        .distinct()
-    )
+    pairs = stored(opened.join(by_key.toDF("q", "a"), "q").join(by_key.toDF("x", "b"), "x").select("a", "b").distinct(), "pairs")
+    discard(members)
+    return pairs
 
 
 def jaccard_components(
@@ -412,15 +414,19 @@ def jaccard_components(
         "nodes",
     )
 
-    def check(found: DataFrame) -> DataFrame:
-        pairs = stored(found, "pairs")
+    def joined(stars: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """The stars of all links so far and those among ``pairs``."""
         release(docs.sparkSession)
-        return links_of(pairs, nodes, docs, text_col, id_col, n_words, percent)
+        links = links_of(pairs, nodes, docs, text_col, id_col, n_words, percent)
+        together = components(links if stars is None else stars.union(links))
+        discard(pairs, links, *([] if stars is None else [stars]))
+        return together
 
-    stars = components(check(_star_pairs(nodes.withColumn("grp", F.col("digest")), percent)))
-    stars = components(stars.union(check(_star_pairs(_with_group(nodes, stars), percent))))
+    stars = joined(None, stored(_star_pairs(nodes.withColumn("grp", F.col("digest")), percent), "pairs"))
+    stars = joined(stars, stored(_star_pairs(_with_group(nodes, stars), percent), "pairs"))
     grouped = stored(_with_group(nodes.drop("hashes", "rare"), stars), "groups")
-    stars = components(stars.union(check(matrix_pairs(rows.select("digest", "id", "prefix"), grouped, percent))))
+    stars = joined(stars, matrix_pairs(rows.select("digest", "id", "prefix"), grouped, percent))
+    discard(nodes, grouped)
     told = _with_group(rows.select("id", "tkey", "n", "digest"), stars)
     least = told.filter("n > 0").groupBy("grp").agg(F.min("id").alias("component_id"))
     return told.join(least, "grp", "left").select(
