@@ -12,7 +12,7 @@ Incoming rows are first reduced to one row per digest (partial sums before
 the shuffle, so a group of copies of any size costs one row a task), then
 meet the index bucket by bucket: members update their slot, and the rest
 group separately.  Buckets are of distinct digests, so they are even; their
-number follows the history.
+number follows the distinct digests of both sides together.
 
 Defined results: null text counts as empty; a null id never wins over another
 and keep_id is null where all ids of a group are; rows with equal text and
@@ -182,8 +182,8 @@ def exact_duplicates(
         "digests",
     )
     per_digest = lambda part: part.groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("copies"))
-    n_old = rows.filter("old").count()
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_old // keys_per_bucket)
+    distinct = rows.agg(F.approx_count_distinct("digest")).first()[0]
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), distinct // keys_per_bucket)
     index = build_index(per_digest(rows.filter("old")), buckets)
     groups = merge(index, per_digest(rows.filter("not old")), buckets)
     return rows.join(groups, "digest").select(
