@@ -167,6 +167,13 @@ class SequenceWriter:
 
 
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
+FILE_BYTES = 128 << 20  # of text
+
+
+def _files(docs: DataFrame, text_col: str) -> int:
+    """Files to write: ``FILE_BYTES`` of text each, and no fewer than the cluster's cores."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
 
 
 def write_tokens(
@@ -187,7 +194,7 @@ def write_tokens(
     """
     spark = docs.sparkSession
     dtype = np.uint16 if vocabulary <= 1 << 16 else np.uint32
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _files(docs, text_col)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
