@@ -9,8 +9,10 @@ once; a hit marks the document words it covers, and runs of marked words are
 mapped back to character offsets of the original text.
 
 The automaton is broadcast.  Its size follows the items, not the documents,
-and is checked: above ``block_bytes`` of pattern text the windows are split
-into blocks and the documents are scanned once per block.
+and is checked: above ``block_bytes`` of pattern text the windows are dealt
+into blocks by hash, and one block at a time is read, broadcast, scanned for
+and given back; each scan's hits are stored by the text's SHA-256 and united
+at the end.
 
 Defined results: null or word-less text has no words and no hits; null item
 text is no item; an item_id may repeat (its windows are united); a null
@@ -22,18 +24,21 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, values, words
+from .common import release, stored, utf8, values, words
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
 
+HITS = "struct<items:array<string>,runs:array<struct<first:long,end:long>>>"  # runs of words
 RESULT = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:long,end:long>>>"
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -62,18 +67,10 @@ def item_windows(items: DataFrame, window: int = WINDOW, item_col: str = "item_i
     )
 
 
-def _blocks(windows: DataFrame, block_bytes: int) -> list[list[tuple[bytes, list[str]]]]:
-    """The windows in blocks of a bounded size, read one partition at a time."""
-    blocks: list[list[tuple[bytes, list[str]]]] = []
-    room = 0
-    for r in windows.toLocalIterator():
-        size = len(r["win"]) + sum(map(len, r["item_ids"]))
-        if not blocks or size > room:
-            blocks.append([])
-            room = block_bytes
-        blocks[-1].append((bytes(r["win"]), list(r["item_ids"])))
-        room -= size
-    return blocks
+def _shipped(windows: DataFrame):
+    """Broadcast of a block of windows, read one partition at a time."""
+    rows = [(bytes(r["win"]), list(r["item_ids"])) for r in windows.toLocalIterator()]
+    return windows.sparkSession.sparkContext.broadcast(pickle.dumps(rows))
 
 
 def _automaton(block):
@@ -113,6 +110,83 @@ def _spans(text: bytes, marked: np.ndarray) -> list[dict]:
     ]
 
 
+def _line(w: list[bytes]) -> bytes:
+    return b" " + b" ".join(w) + b" " if w else b""
+
+
+def _hits(auto, line: bytes) -> tuple[list[str], np.ndarray]:
+    """Items with an occurring window, and the marks of the words."""
+    hits = list(auto.iter(line.decode("latin-1")))
+    if not hits:
+        return [], np.zeros(0, bool)
+    return sorted({x for _, (_, _, ids) in hits for x in ids}), _covered(line, hits)
+
+
+def _results(n_words: list[int], n_hit: list[int], items: list[list[str]], spans: list[list[dict]]) -> pa.Array:
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(n_words, pa.int64()),
+            pa.array(n_hit, pa.int64()),
+            pa.array(items, pa.list_(pa.string())),
+            pa.array(spans, _SPANS),
+        ],
+        names=["n_words", "n_hit", "items", "spans"],
+    )
+
+
+def _scan_whole(block):
+    """The result of a text when all windows are in one block."""
+
+    def scan(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        auto = _automaton(pickle.loads(block.value))
+        for a in it:
+            n_words, n_hit, items, spans = [], [], [], []
+            for t in values(a):
+                w = words(t)
+                found, marked = _hits(auto, _line(w))
+                n_words.append(len(w))
+                n_hit.append(int(marked.sum()))
+                items.append(found)
+                spans.append(_spans(t, marked) if found else [])
+            yield _results(n_words, n_hit, items, spans)
+
+    return F.arrow_udf(_typed(scan), RESULT).asNondeterministic()  # scanned once: not copied into filters
+
+
+def _scan_block(block):
+    """Items and runs of words that one block's windows hit in a text."""
+
+    def scan(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        auto = _automaton(pickle.loads(block.value))
+        for a in it:
+            items, runs = [], []
+            for t in values(a):
+                found, marked = _hits(auto, _line(words(t)))
+                step = np.diff(marked.astype(np.int8), prepend=0, append=0)
+                items.append(found)
+                runs.append(
+                    [{"first": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
+                )
+            yield pa.StructArray.from_arrays([pa.array(items, pa.list_(pa.string())), pa.array(runs, _RUNS)], names=["items", "runs"])
+
+    return F.arrow_udf(_typed(scan), HITS).asNondeterministic()
+
+
+def _united(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """The result of a text from the hits of all blocks."""
+    for texts, items, runs in it:
+        n_words, n_hit, items_of, spans = [], [], [], []
+        for t, found, parts in zip(values(texts), values(items), values(runs), strict=True):
+            marked = np.zeros(len(words(t)), bool)
+            for r in parts or []:
+                marked[r["first"] : r["end"]] = True
+            n_words.append(len(marked))
+            n_hit.append(int(marked.sum()))
+            items_of.append(sorted(set(found or [])))
+            spans.append(_spans(t, marked) if found else [])
+        yield _results(n_words, n_hit, items_of, spans)
+
+
 def mark_contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -124,46 +198,31 @@ def mark_contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit, items, spans."""
-    blocks = _blocks(item_windows(items, window, item_col, item_text_col), block_bytes)
-    sc = docs.sparkSession.sparkContext
-    shipped = [sc.broadcast(pickle.dumps(b)) for b in blocks]
+    windows = stored(item_windows(items, window, item_col, item_text_col), "windows")
+    size = windows.agg(F.sum(F.octet_length("win") + F.octet_length(F.concat_ws("", "item_ids")))).first()[0] or 0
+    blocks = -(-size // block_bytes)
+    if blocks <= 1:
+        return docs.withColumn(out, _scan_whole(_shipped(windows))(utf8(text_col)))
+    key = F.sha2(utf8(text_col), 256)
+    hits = []
+    for k in range(blocks):
+        block = _shipped(windows.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k))
+        found = docs.select(key.alias("tkey"), _scan_block(block)(utf8(text_col)).alias("h")).filter(F.size("h.items") > 0)
+        hits.append(stored(found.groupBy("tkey").agg(F.first("h").alias("h")), "block-hits"))
+        release(docs.sparkSession, block)
+    per_text = (
+        reduce(DataFrame.union, hits)
+        .groupBy("tkey")
+        .agg(F.flatten(F.collect_list("h.items")).alias("__inocula_items"), F.flatten(F.collect_list("h.runs")).alias("__inocula_runs"))
+        .withColumnRenamed("tkey", "__inocula_key")
+    )
+    finish = F.arrow_udf(_typed(_united, Iterator[tuple[pa.Array, ...]]), RESULT).asNondeterministic()
+    joined = docs.join(per_text, key == F.col("__inocula_key"), "left")
+    return joined.withColumn(out, finish(utf8(text_col), "__inocula_items", "__inocula_runs")).drop(
+        "__inocula_key", "__inocula_items", "__inocula_runs"
+    )
 
-    def scan(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept = _automaton(pickle.loads(shipped[0].value)) if len(shipped) == 1 else None
-        for a in it:
-            n_words, lines, found = [], [], []
-            for t in values(a):
-                w = words(t)
-                n_words.append(len(w))
-                lines.append(b" " + b" ".join(w) + b" " if w else b"")
-                found.append([])
-            for b in shipped:
-                auto = kept or _automaton(pickle.loads(b.value))
-                for i, line in enumerate(lines):
-                    found[i] += auto.iter(line.decode("latin-1"))
-            n_hit, items_of, spans = [], [], []
-            for t, line, hits in zip(values(a), lines, found, strict=True):
-                if hits:
-                    marked = _covered(line, hits)
-                    n_hit.append(int(marked.sum()))
-                    items_of.append(sorted({x for _, (_, _, ids) in hits for x in ids}))
-                    spans.append(_spans(t, marked))
-                else:
-                    n_hit.append(0), items_of.append([]), spans.append([])
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array(items_of, pa.list_(pa.string())),
-                    pa.array(spans, _SPANS),
-                ],
-                names=["n_words", "n_hit", "items", "spans"],
-            )
-
-    udf = F.arrow_udf(_typed(scan), RESULT).asNondeterministic()  # scanned once: not copied into filters
-    return docs.withColumn(out, udf(utf8(text_col)))
-
-
-def _typed(f):
-    f.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
+
+def _typed(f, source=Iterator[pa.Array]):
+    f.__annotations__ = {"it": source, "return": Iterator[pa.Array]}
     return f
