@@ -4,8 +4,11 @@ Trusted positives and unlabelled web text are enough: the classifier
 minimises  pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)])  with the
 logistic loss l, where pi is the share of positives in the web text.  Where
 the second part turns negative (over-fitting) the step climbs out of it
-instead.  pi is estimated as the share of positives among the labelled rows
-given for it (``estimate_prior``); the negatives themselves are never used.
+instead.  pi is estimated from the same two samples (``estimate_prior``):
+a classifier of positives against web text is learnt from one half of each; on
+the other half the web's share above a cut, divided by the positives' share
+above it, bounds pi from above, and is closest where the ratio with its
+confidence margin is least.  Negatives are never used, nor known.
 
 Features are those of the whole text: how often each pair of adjacent byte
 classes occurs, and how much the words and lines repeat.  The model reads a
@@ -74,15 +77,25 @@ class QualityModel:
     prior: float
     constant: float | None = None
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weight + self.offset
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weight + self.offset
+        z = self.margins(x)
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
 
 
-def train(positive: np.ndarray, web: np.ndarray, prior: float, seed: int = 5) -> QualityModel:
-    """Adam on the non-negative risk."""
+def _bounded_step(a, b, za, zb, prior: float, grad, sigmoid) -> np.ndarray:
+    """Gradient of the non-negative risk, or the way out of a negative part."""
+    negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
+    on_negative = grad(b, sigmoid(zb)) - prior * grad(a, sigmoid(za))
+    return prior * grad(a, -sigmoid(-za)) + on_negative if negative >= 0 else -on_negative
+
+
+def train(positive: np.ndarray, web: np.ndarray, prior: float, seed: int = 5, bounded: bool = True) -> QualityModel:
+    """Adam on the non-negative risk; not ``bounded``: positives against web text, both halves alike."""
     rng = np.random.default_rng(seed)
     mean, scale = web.mean(0), web.std(0) + 1e-3
     p, u = (np.clip((a - mean) / scale, -8, 8) for a in (positive, web))
@@ -93,12 +106,10 @@ def train(positive: np.ndarray, web: np.ndarray, prior: float, seed: int = 5) ->
     for step in range(1, STEPS + 1):
         a, b = p[rng.integers(0, len(p), BATCH)], u[rng.integers(0, len(u), BATCH)]
         za, zb = a @ w[:-1] + w[-1], b @ w[:-1] + w[-1]
-        negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-        on_negative = grad(b, sigmoid(zb)) - prior * grad(a, sigmoid(za))
-        if negative >= 0:
-            g = prior * grad(a, -sigmoid(-za)) + on_negative
+        if not bounded:
+            g = prior * grad(a, -sigmoid(-za)) + (1 - prior) * grad(b, sigmoid(zb))
         else:
-            g = -on_negative
+            g = _bounded_step(a, b, za, zb, prior, grad, sigmoid)
         g[:-1] += 1e-4 * w[:-1]
         first += 0.1 * (g - first)
         second += 0.001 * (g * g - second)
@@ -106,10 +117,22 @@ def train(positive: np.ndarray, web: np.ndarray, prior: float, seed: int = 5) ->
     return QualityModel(mean, scale, w[:-1].astype(np.float32), float(w[-1]), prior)
 
 
-def estimate_prior(labels: DataFrame, label_col: str = "quality") -> float:
-    """Share of positives among the labelled rows, kept off 0 and 1."""
-    r = labels.agg(F.avg(F.col(label_col).cast("double")).alias("p")).first()
-    return min(0.99, max(0.01, r["p"])) if r["p"] is not None else 0.5
+def estimate_prior(positive: np.ndarray, web: np.ndarray, seed: int = 7, doubt: float = 0.1) -> float:
+    """Share of positives in the web text, from features of both, kept off 0 and 1."""
+    rng = np.random.default_rng(seed)
+    halves = [np.array_split(a[rng.permutation(len(a))], 2) for a in (positive, web)]
+    if min(len(h) for pair in halves for h in pair) == 0:
+        return 0.5
+    (p_fit, p_held), (u_fit, u_held) = halves
+    # with prior 1/2 and no bound on the risk this is plain positives against web text
+    model = train(p_fit, u_fit, 0.5, seed, bounded=False)
+    at_p, at_u = np.sort(model.margins(p_held)), np.sort(model.margins(u_held))
+    cuts = np.unique(at_p)
+    share_p = 1 - np.searchsorted(at_p, cuts) / len(at_p)
+    share_u = 1 - np.searchsorted(at_u, cuts) / len(at_u)
+    margin = np.sqrt(np.log(4 / doubt) / 2) * (len(at_p) ** -0.5 + len(at_u) ** -0.5)
+    best = int(((share_u + margin) / share_p).argmin())
+    return float(min(0.99, max(0.01, share_u[best] / share_p[best])))
 
 
 def _features(texts):
@@ -124,12 +147,15 @@ def _features(texts):
 def fit_quality(
     docs: DataFrame,
     positives: DataFrame,
-    prior: float,
+    prior: float | None = None,
     text_col: str = "text",
     id_col: str = "doc_id",
     max_rows: int = MAX_ROWS,
 ) -> QualityModel:
-    """Learn from trusted ``positives`` (ids) against the web text ``docs``."""
+    """Learn from trusted ``positives`` (ids) against the web text ``docs``.
+
+    ``prior`` is estimated from the two where it is not given.
+    """
     texts = docs.select(id_col, F.col(text_col).alias("text")).filter(F.col(id_col).isNotNull())
     found = []
     for ids in (positives.filter(F.col(id_col).isNotNull()), texts):
@@ -138,8 +164,8 @@ def fit_quality(
     p, u = found
     if not len(p) or not len(u):
         z = np.zeros(N_FEATURES, np.float32)
-        return QualityModel(z, z + 1, z, 0.0, prior, constant=1.0 if len(p) else 0.0)
-    return train(p, u, prior)
+        return QualityModel(z, z + 1, z, 0.0, prior if prior is not None else 0.5, constant=1.0 if len(p) else 0.0)
+    return train(p, u, estimate_prior(p, u) if prior is None else prior)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "quality_score") -> DataFrame:

@@ -77,8 +77,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the folds but number 0 of 5."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_remainder(5) != 0)
-    prior = quality.estimate_prior(labels)
-    model = quality.fit_quality(docs, labels.filter("quality = 1"), prior)
+    model = quality.fit_quality(docs, labels.filter("quality = 1"))
     return quality.score_quality(docs, model, out="score").select(
         "doc_id",
         (_remainder(5) == 0).alias("held_out"),

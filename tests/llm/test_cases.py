@@ -171,7 +171,7 @@ def test_empty_tables(session):
     assert langid.identify(some, langid.fit_languages(empty)).first()["language"]["best"] == "und"
     labels = session.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score_toxicity(some, toxicity.fit_toxicity(some, labels)).first()["toxicity"] == 0.0
-    model = quality.fit_quality(some, labels.select("doc_id"), quality.estimate_prior(labels))
+    model = quality.fit_quality(some, labels.select("doc_id"))
     assert quality.score_quality(some, model).first()["quality_score"] == 0.0
 
 
@@ -460,7 +460,8 @@ def test_toxicity_and_quality(session):
     held = scored.withColumn("bad", toxicity.is_toxic(model, "toxicity", "lang")).filter("doc_id % 4 = 0 and doc_id < 600").collect()
     assert sum(r["bad"] == (r["doc_id"] % 3 == 0) for r in held) > 0.95 * len(held)
     assert all(0 <= r["toxicity"] <= 1 for r in scored.collect())
-    model = quality.fit_quality(docs, train.filter("quality = 1"), quality.estimate_prior(train))
+    model = quality.fit_quality(docs, train.filter("quality = 1"))
+    assert 0.6 < model.prior < 0.95  # 0.8 of the texts
     scored = quality.score_quality(docs, model)
     held = scored.filter("doc_id % 4 = 0 and doc_id < 600").collect()
     assert sum((r["quality_score"] >= 0.3) == (r["doc_id"] % 5 != 0) for r in held) > 0.95 * len(held)
