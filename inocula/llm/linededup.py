@@ -5,12 +5,20 @@ A line in which every token holds a digit has nothing constant and is not masked
 The tree has a fixed depth: token count, then the ``lead`` leading tokens;
 what shares both is a leaf.  The rest of a line is cut into ``FIELDS`` fields
 by position (single tokens in lines of up to ``lead + FIELDS`` tokens, runs of
-tokens in longer ones).  A leaf holds up to ``groups`` templates.  The first has,
+tokens in longer ones).  A leaf's first ``groups`` templates are voted: the first has,
 for each field, the value with the most weight among the leaf's distinct lines;
 a line with at least ``min_equal`` in ``FIELDS`` of its fields equal belongs to
 it, and its other fields are variable.  The lines that do not belong make the
 next one in the same way.  Fields without tokens do not count: of one to three
 fields all must be equal, of four three, of eight six.
+
+However many templates a leaf has, the lines that the votes left are grouped by
+the fields they share.  A choice of just enough fields with a line's values in them is a
+pattern of the line (28 of eight fields), so two lines are alike if they share one.  Each
+line names the heaviest of its patterns that another line left shares; a pattern
+that two lines name is a template of those that name it, and the others name
+again, until no two lines left share a pattern.  The heaviest pattern is named by
+all its lines, so every turn ends some.
 A line that belongs to none is a template of its own (its masked text).
 
 A template recurs if it stands in enough different documents, whatever lines
@@ -38,9 +46,13 @@ are treated alike; an existing column named as a result is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.core import literal_rows
 from .common import stored
 
 LEAD = 3
@@ -100,6 +112,69 @@ def parse_lines(docs: DataFrame, text_col: str, id_col: str, lead: int) -> DataF
     )
 
 
+def filled(n: int) -> list[int]:
+    """The fields that hold tokens where ``n`` tokens, at most ``FIELDS``, follow the leading ones."""
+    return [j for j in range(FIELDS) if n * (j + 1) // FIELDS > n * j // FIELDS]
+
+
+def enough(n: int, min_equal: int) -> int:
+    """How many of ``n`` filled fields must be equal."""
+    return -(-min_equal * n // FIELDS)
+
+
+def choices(n: int, min_equal: int) -> list[tuple[int, ...]]:
+    """Every choice of just enough fields: two lines are alike if they are equal in one."""
+    return list(combinations(filled(n), enough(n, min_equal)))
+
+
+def bands(n: int, min_equal: int) -> list[tuple[int, ...]]:
+    """Fields in one part more than may differ: lines that are alike are equal in a whole part."""
+    parts = n - enough(n, min_equal) + 1
+    at = [n * i // parts for i in range(parts + 1)]
+    return [tuple(filled(n)[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+
+def _patterns(lines: DataFrame, cuts: Callable[[int, int], list[tuple[int, ...]]], min_equal: int, lead: int) -> DataFrame:
+    """(line, leaf, weight, pattern): a row per cut of a line's fields, with the key of the values in it."""
+    spark = lines.sparkSession
+    table = [(n, ",".join(map(str, cut))) for n in range(1, FIELDS + 1) for cut in cuts(n, min_equal)]
+    cut = literal_rows(spark, table, ("n", "at")).select(
+        F.col("n").cast("int").alias("n"), F.when(F.col("at") == "", F.array()).otherwise(F.split("at", ",")).cast("array<int>").alias("at")
+    )
+    values = F.array(*[f"f{j}" for j in range(FIELDS)])
+    told = F.transform("at", lambda j: F.concat_ws(":", j.cast("string"), F.get("f", j).cast("string")))
+    return (
+        lines.select("line", "leaf", "weight", F.least(F.col("n_tokens") - lead, F.lit(FIELDS)).alias("n"), values.alias("f"))
+        .join(F.broadcast(cut), "n")
+        .select("line", "leaf", "weight", key60(F.array_join(told, ",")).alias("pattern"))
+    )
+
+
+def _shared(patterns: DataFrame) -> DataFrame:
+    """Patterns of several lines, with the lines' weight."""
+    per = patterns.groupBy("leaf", "pattern").agg(F.count("*").alias("lines"), F.sum("weight").alias("total"))
+    return per.filter("lines > 1").drop("lines")
+
+
+def group_rest(left: DataFrame, min_equal: int, lead: int) -> DataFrame:
+    """(line, template): the lines that share a pattern, by the turns described above."""
+    banded = _patterns(left, bands, min_equal, lead)
+    near = banded.join(_shared(banded), ["leaf", "pattern"], "left_semi").select("line").distinct()
+    rows = _patterns(left.join(near, "line", "left_semi"), choices, min_equal, lead)
+    found = left.select("line", F.lit(0).cast("long").alias("template")).limit(0)
+    while True:
+        rows = stored(rows.join(_shared(rows).drop("total"), ["leaf", "pattern"], "left_semi"), "patterns")
+        if rows.isEmpty():
+            return found
+        # the heaviest, of equal ones the largest key
+        named = rows.join(_shared(rows), ["leaf", "pattern"]).groupBy("line", "leaf").agg(F.max(F.struct("total", "pattern")).alias("best"))
+        named = stored(named.select("line", "leaf", "best.pattern"), "named")
+        several = named.groupBy("leaf", "pattern").count().filter("count > 1").drop("count")
+        taken = stored(named.join(several, ["leaf", "pattern"]).select("line", F.xxhash64("leaf", "pattern").alias("template")), "taken")
+        found = found.union(taken)
+        rows = rows.join(taken.select("line"), "line", "left_anti")
+
+
 def assign_templates(lines: DataFrame, min_equal: int, lead: int, groups: int) -> DataFrame:
     """(line, template, n_tokens): distinct lines with their template."""
     fields = [f"f{j}" for j in range(FIELDS)]
@@ -130,6 +205,8 @@ def assign_templates(lines: DataFrame, min_equal: int, lead: int, groups: int) -
         belongs = stored(belongs, "belongs")
         found = belongs if found is None else found.union(belongs)
         left = left.join(belongs.select("line"), "line", "left_anti")
+    rest = group_rest(left if groups else stored(left, "leaves"), min_equal, lead)
+    found = rest if found is None else found.union(rest)
     return distinct.select("line", "n_tokens").join(found, "line", "left").select(
         "line", "n_tokens", F.coalesce("template", "line").alias("template")
     )

@@ -251,10 +251,36 @@ rest{k} AS (SELECT w.* FROM {left} w SEMI JOIN leaves{k} USING (n, lead) ANTI JO
     return "".join(out)
 
 
+def _op4_rest() -> str:
+    """What the votes left: each line names its heaviest shared pattern, turn by turn."""
+    cuts = [
+        f"({n}, {[j + 1 for j in cut]})"
+        for n in range(1, linededup.FIELDS + 1)
+        for cut in linededup.choices(n, linededup.MIN_EQUAL)
+    ]
+    key = "('0x' || substr(md5(%s), 1, %d))::BIGINT"
+    told = f"list_transform(cut, lambda j: (j - 1) || ':' || {key % ('f[j]', 7)})"
+    left = f"rest{linededup.GROUPS - 1}"
+    return f"""
+cuts(fields, cut) AS (VALUES {", ".join(cuts)}),
+turns AS (
+  SELECT line, n, lead, w, {key % (f"array_to_string({told}, ',')", 15)} AS p, NULL::BIGINT AS took
+  FROM {left} JOIN cuts ON fields = least(n - {linededup.LEAD}, {linededup.FIELDS})
+  UNION ALL
+  SELECT line, n, lead, w, p, CASE WHEN count(*) FILTER (p = best) OVER (PARTITION BY n, lead, best) > 1 THEN best END
+  FROM (
+    SELECT *, first_value(p) OVER (PARTITION BY line ORDER BY total DESC, p DESC) AS best
+    FROM (
+      SELECT line, n, lead, w, p, count(*) OVER same AS c, sum(w) OVER same AS total
+      FROM turns WHERE took IS NULL WINDOW same AS (PARTITION BY n, lead, p))
+    WHERE c > 1)),
+taken AS (SELECT DISTINCT line, took FROM turns WHERE took IS NOT NULL),"""
+
+
 # Lines with their masked form, length, leading tokens and fields; the weight of a distinct line
 # is the number of different texts that hold it; templates recur in enough different texts.
 OP4_SQL = f"""
-WITH lined AS (
+WITH RECURSIVE lined AS (
   SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 one AS (SELECT r, doc_id, text, unnest(range(1, len(l) + 1)) AS pos, trim(unnest(l), ' ' || chr(13)) AS b FROM lined),
 shaped AS (
@@ -266,10 +292,11 @@ weighed AS (
       floor(greatest(len(t) - {linededup.LEAD}, 0) * j / {linededup.FIELDS})::INT + 1 + {linededup.LEAD},
       floor(greatest(len(t) - {linededup.LEAD}, 0) * (j + 1) / {linededup.FIELDS})::INT + {linededup.LEAD}), ' ')) AS f
   FROM (SELECT line, regexp_split_to_array(line, ' +') AS t, count(DISTINCT text) AS w FROM shaped GROUP BY line)),
-{_op4_groups()}
+{_op4_groups()}{_op4_rest()}
 template AS (
   SELECT line, w.n, coalesce({", ".join(f"CASE WHEN b{k}.line IS NOT NULL THEN {{'k': {k}, 'n': w.n, 'p': w.lead}}::VARCHAR END" for k in range(linededup.GROUPS))},
-    'line ' || line) AS template FROM weighed w {" ".join(f"LEFT JOIN belongs{k} b{k} USING (line)" for k in range(linededup.GROUPS))}),
+    CASE WHEN took IS NOT NULL THEN {{'k': {linededup.GROUPS}, 'n': w.n, 'p': w.lead}}::VARCHAR || took END,
+    'line ' || line) AS template FROM weighed w {" ".join(f"LEFT JOIN belongs{k} b{k} USING (line)" for k in range(linededup.GROUPS))} LEFT JOIN taken USING (line)),
 recurs AS (
   SELECT template, min(doc_id) AS keeper FROM shaped JOIN template USING (line) GROUP BY template
   HAVING count(DISTINCT text) >= CASE WHEN min(n) < {linededup.SHORT_TOKENS} THEN {linededup.SHORT_PLACES} ELSE {linededup.MIN_PLACES} END),
