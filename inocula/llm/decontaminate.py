@@ -116,7 +116,7 @@ def _line(w: list[bytes]) -> bytes:
 
 def _hits(auto, line: bytes) -> tuple[list[str], np.ndarray]:
     """Items with an occurring window, and the marks of the words."""
-    hits = list(auto.iter(line.decode("latin-1")))
+    hits = list(auto.iter(line.decode("latin-1"))) if len(auto) else []  # no windows: nothing to search for
     if not hits:
         return [], np.zeros(0, bool)
     return sorted({x for _, (_, _, ids) in hits for x in ids}), _covered(line, hits)
