@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inocula.llm import linededup, queries
+from inocula.llm import linededup, queries, toxicity
 from inocula.llm.common import importable
 
 NAMES = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
@@ -85,3 +87,63 @@ def test_what_the_votes_leave_is_grouped_turn_by_turn(session, fields):
         rest = {line: ps for line, ps in rest.items() if not any(line in g for g in taken)}
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and (want or fields == 3)
     assert told(df) == oracle(rows)
+
+
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) & (toxicity.BUCKETS - 2)
+
+
+def test_every_labelled_text_is_learnt_whole(session):
+    """Words that few of many labelled rows hold, and words deep in long texts, get embeddings."""
+    rng = random.Random(5)
+    rare, deep = [f"{x}rare" for x in NAMES[:20]], [f"{x}deep" for x in NAMES[20:25]]
+    rows = []
+    for i in range(16_000):
+        t = rng.choices(NAMES, k=4)
+        if i % 2:
+            t.append(rng.choice(["grobian", "schuft", "lump"]))
+        if i < 12 * len(rare):
+            t.append(rare[i % len(rare)])
+        rows.append((i, " ".join(t), "en", i % 2))
+    for i in range(12 * len(deep)):
+        t = rng.choices(NAMES, k=20_000)
+        t[rng.randrange(20_000)] = deep[i % len(deep)]
+        rows.append((20_000 + i, " ".join(t), None, 0))
+    df = session.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    assert round(0.75 * len(rows) / toxicity.SHARD) > 1  # learnt in several shards
+    model = toxicity.fit_toxicity(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert all(model.row[bucket(w)] for w in rare + deep)
+    assert "en" in model.by_lang
+    right = toxicity.score_toxicity(df, model).filter((F.col("toxicity") >= 0.5) == (F.col("toxic") == 1)).count()
+    assert right > 0.99 * len(rows)
+
+
+def test_the_order_of_tasks_does_not_show(session):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(NAMES[:20], k=5)) + (" lump" if i % 2 else "") + " x" * (i // 100), i % 2) for i in range(600)]
+    df = session.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("lang", F.lit("en"))
+    weights = []
+    for n in (1, 5):
+        dealt = df.repartition(n)
+        kept = toxicity.labelled_rows(dealt, dealt, "text", "doc_id", "toxic", "lang")
+        known = toxicity.known_buckets(kept)
+        model = toxicity.start(known)
+        for turn in range(2):
+            model = toxicity.learn_round(kept, model, {0: 300, 1: 300}, 3, turn)
+        weights.append(toxicity.flat(model))
+    assert (weights[0] == weights[1]).all()
+    assert (toxicity.flat(toxicity.with_weights(model, weights[0])) == weights[0]).all()
+
+
+def test_the_windows_of_learning_are_those_of_scoring(monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 9, (n, 2), np.int32) for n in (0, 1, 2, 40, 7)]
+    model = toxicity.start(np.arange(9))
+    for size in (toxicity.SLICE, 3):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        h, ids = model.windows(docs)
+        x = model.embedding[ids].sum(3)
+        at = [(j * toxicity.FILTERS + f, j, w, f) for j, w in enumerate(toxicity.WIDTHS) for f in range(toxicity.FILTERS)]
+        under = np.stack([np.einsum("bkd,kd->b", x[:, n, :w], model.filters[j].reshape(w, toxicity.DIM, -1)[:, :, f]) for n, j, w, f in at], 1)
+        assert np.allclose(h, under + model.bias, atol=1e-5)
+        assert np.allclose(np.maximum(h, 0) @ model.weight + model.offset, model.logits(docs), atol=1e-5)
