@@ -3,8 +3,9 @@
 ``COUNT(DISTINCT x)`` per group says nothing about the union of two groups.  A
 bitmap does: every distinct x gets a number from 0 without gaps, a group holds
 the bits of its numbers, and the union of groups is the OR of their bitmaps.  A
-bitmap is cut into pieces of 32,768 numbers (4 KB); rows are (group, piece,
-bits), so a group of any size is spread over rows and tasks, and both steps
+bitmap is cut into words of 64 numbers; rows are (group, piece, bits), only of
+words that hold a bit.  So small groups over many numbers take eight bytes a
+value at most, a group of any size is spread over rows and tasks, and both steps
 aggregate before they shuffle.
 """
 
@@ -26,20 +27,20 @@ def number_values(df: DataFrame, column: str, number: str = "number") -> DataFra
 
 def distinct_bitmaps(df: DataFrame, keys: Sequence[str], column: str, numbers: DataFrame, number: str = "number") -> DataFrame:
     """(keys, piece, bits) of the values in each group; ``numbers`` as of ``number_values``."""
-    at = F.col(number) + 1  # pieces count from 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(number).bitwiseAND(F.lit(63)).cast("int"))
     return (
         df.select(*keys, column)
         .join(numbers, column)
-        .groupBy(*keys, F.bitmap_bucket_number(at).alias("piece"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        .groupBy(*keys, F.shiftright(number, 6).alias("piece"))
+        .agg(F.bit_or(bit).alias("bits"))
     )
 
 
 def roll_up(bitmaps: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
     """Bitmaps of coarser groups: the OR of theirs."""
-    return bitmaps.groupBy(*keys, "piece").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return bitmaps.groupBy(*keys, "piece").agg(F.bit_or("bits").alias("bits"))
 
 
 def distinct_counts(bitmaps: DataFrame, keys: Sequence[str], alias: str = "distinct") -> DataFrame:
     """Distinct values per group."""
-    return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias(alias))
+    return bitmaps.groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias(alias))
