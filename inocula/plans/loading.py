@@ -20,8 +20,8 @@ from ..operators import (
 from ..schema import TABLES
 from ..session import ensure_checkpoint_dir
 from ..sources.derived import derived_tables, planted_tables, raw_diagnosis_sheet, raw_shift_sheet
-from ..sources.store import load_tables, preview, read_table
-from ..sources.tables import append_rows, append_violations, create_tables, open_tables, replace_rows
+from ..sources.store import file_system, load_tables, preview, read_table
+from ..sources.tables import BUCKETS, append_rows, append_violations, create_tables, open_tables, replace_rows
 from ..sources.workbook import SHEET_TABLE, clean_sheet, export_sheet, patient_status, read_sheet, read_sheet_rows, unreadable_dates
 from ..sources.kept import append_attendances, create_dose_counts, kept_vaccination_status
 from .catalogue import q5_vaccination_status, q7_symptom_frequency, register_vaccination_status_view
@@ -94,16 +94,26 @@ def audit_planted_symptom_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(planted_tables(spark, sf_dir)["symptoms"], ["name"])
 
 
-def _declared(spark: SparkSession, **layout) -> str:
+BUCKET_BYTES = 8 << 20  # of lineitem, which has the attendances, for each bucket
+
+
+def _buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets in proportion to the load, so that the rows of one, which a task sorts, stay as many."""
+    fs, path = file_system(spark, sf_dir)
+    size = fs.getContentSummary(path(f"{sf_dir.rstrip('/')}/lineitem.parquet")).getLength()
+    return max(BUCKETS, -(-size // BUCKET_BYTES))
+
+
+def _declared(spark: SparkSession, sf_dir: str, **layout) -> str:
     """A new database with the declared tables."""
     database = f"campaign_{uuid.uuid4().hex}"
-    create_tables(spark, database, _shared(spark, "tables"), **layout)
+    create_tables(spark, database, _shared(spark, "tables"), buckets=_buckets(spark, sf_dir), **layout)
     return database
 
 
 def s6_append_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnoses in two appends to their catalogue table, read back."""
-    database, d = _declared(spark, names=["diagnosis"]), derived_tables(spark, sf_dir)["diagnosis"]
+    database, d = _declared(spark, sf_dir, names=["diagnosis"]), derived_tables(spark, sf_dir)["diagnosis"]
     first = F.pmod(F.xxhash64("ssno"), F.lit(2)) == 0
     append_rows(spark, database, "diagnosis", d.where(first), check=False)
     append_rows(spark, database, "diagnosis", d.where(~first), check=False)
@@ -113,7 +123,7 @@ def s6_append_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s6_append_refused_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the keys refuse of an append: attendances of a month already loaded, and of
     patients and events that are not there."""
-    database, t = _declared(spark), derived_tables(spark, sf_dir)
+    database, t = _declared(spark, sf_dir), derived_tables(spark, sf_dir)
     month = F.month("date")
     replace_rows(spark, database, "patient", t["patient"].where("gender = 'F'"))
     replace_rows(spark, database, "vaccination", t["vaccination"].where(month <= 8))
@@ -123,7 +133,7 @@ def s6_append_refused_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s7_overwrite_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symptoms loaded, then replaced by the critical ones, read back."""
-    database, s = _declared(spark, names=["symptoms"]), derived_tables(spark, sf_dir)["symptoms"]
+    database, s = _declared(spark, sf_dir, names=["symptoms"]), derived_tables(spark, sf_dir)["symptoms"]
     append_rows(spark, database, "symptoms", s, check=False)
     replace_rows(spark, database, "symptoms", s.where("criticality = 1"))
     return open_tables(spark, database, ["symptoms"])["symptoms"]
@@ -132,7 +142,7 @@ def s7_overwrite_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s7_replace_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnoses partitioned by symptom; the partitions of critical symptoms are
     replaced by their rows of the last year, all others stay."""
-    database = _declared(spark, names=["diagnosis"], bucket_by={}, partition_by={"diagnosis": ["symptom"]})
+    database = _declared(spark, sf_dir, names=["diagnosis"], bucket_by={}, partition_by={"diagnosis": ["symptom"]})
     t = derived_tables(spark, sf_dir)
     replace_rows(spark, database, "diagnosis", t["diagnosis"])
     critical = t["symptoms"].where("criticality = 1").select(F.col("name").alias("symptom"))
@@ -143,7 +153,7 @@ def s7_replace_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bucketed(report: Callable, names: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        database, t = _declared(spark, names=names), derived_tables(spark, sf_dir)
+        database, t = _declared(spark, sf_dir, names=names), derived_tables(spark, sf_dir)
         for name in names:
             replace_rows(spark, database, name, t[name])
         return report(open_tables(spark, database, names))
@@ -169,8 +179,8 @@ def s9_vaccination_status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s9_kept_status_after_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5 from kept counts, after attendances were appended in two loads."""
-    database, t = _declared(spark, names=[*DOSE_TABLES, "patient"]), derived_tables(spark, sf_dir)
-    create_dose_counts(spark, database, _shared(spark, "kept"))
+    database, t = _declared(spark, sf_dir, names=[*DOSE_TABLES, "patient"]), derived_tables(spark, sf_dir)
+    create_dose_counts(spark, database, _shared(spark, "kept"), _buckets(spark, sf_dir))
     for name in [*DOSE_TABLES[:-1], "patient"]:
         replace_rows(spark, database, name, t[name])
     early = F.month("date") <= 6
