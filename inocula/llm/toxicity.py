@@ -351,6 +351,7 @@ def learn_round(rows: DataFrame, model: ToxicityModel, count: dict[int, int], sh
     weights = flat(model).astype(np.float64)
     total = np.stack([mean.column(f).to_numpy() for f in fields], axis=1)
     weights[mean.column("k").to_numpy()] += total / mean.column("n").to_numpy()[:, None] / _UNIT
+    del changes  # its shuffle files go before the next round's come
     release(spark, shipped)
     return with_weights(model, weights.astype(np.float32))
 
@@ -400,6 +401,7 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learn from all rows of ``labels`` (id, 0/1); everything else is unlabelled."""
     rows = stored(labelled_rows(docs, labels, text_col, id_col, label_col, lang_col), "labelled")
+    release(docs.sparkSession)
     apart = F.pmod(F.shiftrightunsigned("h", 32), F.lit(4)) == 0
     count = {(r["label"], r["apart"]): r["count"] for r in rows.groupBy("label", apart.alias("apart")).count().collect()}
     kinds = {y for y, _ in count}
