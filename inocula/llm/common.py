@@ -7,6 +7,7 @@ import gc
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +90,22 @@ def release(spark: SparkSession, *broadcasts) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside remove their shuffle files when they end.
+
+    For queries that run once, their results stored or collected; a DataFrame
+    that is run a second time would have to shuffle again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _held: dict = {}
 
 

@@ -37,8 +37,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, release, stored, utf8, values, words
+from ..operators.bloom import key_filter, possibly_in
+from .common import discard, give_back, map_texts, release, short_lived_shuffles, stored, utf8, values, words
 
 BUCKETS = 1 << 18
 STEM = 5
@@ -194,6 +196,22 @@ def with_weights(m: ToxicityModel, weights: np.ndarray) -> ToxicityModel:
     return ToxicityModel(m.row, weights[:known].copy(), fs, bias.copy(), weight.copy(), float(offset[0]))
 
 
+def part_for(m: ToxicityModel, docs: list[np.ndarray]) -> tuple[ToxicityModel, np.ndarray]:
+    """A copy of the model with the embeddings alone that ``docs`` use, and their rows in ``m``.
+
+    What it learns from ``docs`` is what ``m`` would learn, in the memory of their own words.
+    """
+    used = np.zeros(len(m.embedding), bool)
+    used[0] = True
+    for d in docs:
+        used[m.row[d]] = True
+    rows = np.flatnonzero(used)
+    place = np.zeros(len(used), np.int32)
+    place[rows] = np.arange(len(rows))
+    fs = [f.copy() for f in m.filters]
+    return ToxicityModel(place[m.row], m.embedding[rows], fs, m.bias.copy(), m.weight.copy(), m.offset), rows
+
+
 def learn(m: ToxicityModel, docs: list[np.ndarray], toxic: np.ndarray, cost: np.ndarray, turn: int) -> None:
     """Round ``turn`` over hashed documents: Adam on the logistic loss, weighted by ``cost``.
 
@@ -283,24 +301,32 @@ def spread(rows: np.ndarray, most: int, piece: int = 64) -> np.ndarray:
 
 
 def _hashed(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(t, np.int32).reshape(-1, 2) for t in values(column)]
+    """Views of the column's own bytes."""
+    return [np.frombuffer(v.as_buffer(), np.int32).reshape(-1, 2) for v in column]
+
+
+def _maybe_labelled(texts: DataFrame, labels: DataFrame, on: str) -> DataFrame:
+    """``texts`` without most rows that have no label, so those are not shuffled for the join."""
+    kind = texts.schema[on].dataType
+    if kind != labels.schema[on].dataType or not (kind == T.StringType() or isinstance(kind, T.IntegralType)):
+        return texts  # equal keys might differ in their hashes
+    bits = key_filter(labels, [on])
+    return texts if bits is None else possibly_in(texts, [on], bits)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, lang_col: str) -> DataFrame:
     """(label, lang, h, x): the hashed words of every labelled text, equal rows once."""
 
-    @F.arrow_udf("binary")
-    def hashed(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in it:
-            yield pa.array([hash_words(t).tobytes() for t in values(a)], pa.binary())
+    def hashed(texts: list[bytes]) -> list[pa.Array]:
+        return [pa.array([hash_words(t).tobytes() for t in texts], pa.binary())]
 
     labels = labels.select(id_col, F.col(label_col).cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & F.col(id_col).isNotNull()
-    )
+    ).distinct()
     texts = docs.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known = _maybe_labelled(texts, labels, id_col).join(labels, id_col).select("label", "lang", "text")
     return (
-        texts.join(labels.distinct(), id_col)
-        .select("label", "lang", hashed(utf8("text")).alias("x"))
+        map_texts(known, "text", "x binary", hashed, drop=("text",))
         .withColumn("h", F.xxhash64("x", "lang"))
         .dropDuplicates(["h", "label"])
     )
@@ -332,14 +358,20 @@ def learn_round(rows: DataFrame, model: ToxicityModel, count: dict[int, int], sh
     fields = [f"d{i}" for i in range(DIM)]
 
     def shard(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("h", "ascending"), ("label", "ascending")])
-        before = flat(shipped.value)
-        own = with_weights(shipped.value, before)
         toxic = table.column("label").to_numpy().astype(np.float32)
-        learn(own, _hashed(table.column("x")), toxic, costs(toxic, count), turn)
+        order = np.lexsort([toxic, table.column("h").to_numpy()])
+        docs, toxic = _hashed(table.column("x")), toxic[order]
+        docs = [docs[i] for i in order]
+        own, at = part_for(shipped.value, docs)
+        before = flat(own)
+        learn(own, docs, toxic, costs(toxic, count), turn)
         change = np.rint((flat(own).astype(np.float64) - before) * _UNIT).astype(np.int64)
         moved = np.flatnonzero(change.any(1))
-        arrays = [pa.array(moved.astype(np.int32)), *(pa.array(change[moved, i]) for i in range(DIM))]
+        known = len(shipped.value.embedding)
+        at = np.concatenate([at, np.arange(known, known + len(change) - len(at))])[moved]
+        arrays = [pa.array(at.astype(np.int32)), *(pa.array(change[moved, i]) for i in range(DIM))]
+        del docs, own, before, change
+        give_back()
         return pa.Table.from_arrays(arrays, names=["k", *fields])
 
     changes = (
@@ -351,7 +383,6 @@ def learn_round(rows: DataFrame, model: ToxicityModel, count: dict[int, int], sh
     weights = flat(model).astype(np.float64)
     total = np.stack([mean.column(f).to_numpy() for f in fields], axis=1)
     weights[mean.column("k").to_numpy()] += total / mean.column("n").to_numpy()[:, None] / _UNIT
-    del changes  # its shuffle files go before the next round's come
     release(spark, shipped)
     return with_weights(model, weights.astype(np.float32))
 
@@ -400,8 +431,12 @@ def fit_toxicity(
     lang_col: str = "lang",
 ) -> ToxicityModel:
     """Learn from all rows of ``labels`` (id, 0/1); everything else is unlabelled."""
-    rows = stored(labelled_rows(docs, labels, text_col, id_col, label_col, lang_col), "labelled")
-    release(docs.sparkSession)
+    with short_lived_shuffles(docs.sparkSession):
+        return _fit(labelled_rows(docs, labels, text_col, id_col, label_col, lang_col))
+
+
+def _fit(labelled: DataFrame) -> ToxicityModel:
+    rows = stored(labelled, "labelled")
     apart = F.pmod(F.shiftrightunsigned("h", 32), F.lit(4)) == 0
     count = {(r["label"], r["apart"]): r["count"] for r in rows.groupBy("label", apart.alias("apart")).count().collect()}
     kinds = {y for y, _ in count}

@@ -147,3 +147,48 @@ def test_the_windows_of_learning_are_those_of_scoring(monkeypatch):
         under = np.stack([np.einsum("bkd,kd->b", x[:, n, :w], model.filters[j].reshape(w, toxicity.DIM, -1)[:, :, f]) for n, j, w, f in at], 1)
         assert np.allclose(h, under + model.bias, atol=1e-5)
         assert np.allclose(np.maximum(h, 0) @ model.weight + model.offset, model.logits(docs), atol=1e-5)
+
+
+def shuffle_files(session) -> set[str]:
+    disk = session.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f.getName() for f in session._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if "shuffle_" in f.getName()}
+
+
+def test_toxicity_leaves_no_shuffle_files(session):
+    rows = [(i, " ".join(NAMES[i % 20 :]) + f" x{i}" + (" lump" if i % 2 else ""), "en", i % 2) for i in range(400)]
+    df = session.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = session.conf.get(name)
+    before = shuffle_files(session)
+    toxicity.fit_toxicity(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert not shuffle_files(session) - before
+    assert session.conf.get(name) == setting
+
+
+def test_texts_without_label_are_not_shuffled(session):
+    """A filter of the labelled ids stands before the join; ids that repeat, null ids and other types lose nothing."""
+    docs = session.createDataFrame([(i % 900 if i < 1000 else None, f"w{i % 7}") for i in range(1010)], "doc_id long, text string")
+    docs = docs.withColumn("lang", F.lit("en"))
+    for kind in ("long", "int", "string"):
+        marks = session.createDataFrame([(i, i % 2) for i in (3, 4, 50, 950, 3)], "doc_id long, toxic int")
+        marks = marks.withColumn("doc_id", F.col("doc_id").cast(kind))
+        kept = toxicity.labelled_rows(docs, marks, "text", "doc_id", "toxic", "lang")
+        # ids 3, 4 and 50 twice (as i and i + 900): words of i % 7
+        assert kept.count() == len({(i % 7, i % 900 % 2) for i in (3, 4, 50, 903, 904, 950)})
+    left = toxicity._maybe_labelled(docs, docs.filter("doc_id < 20").select("doc_id").distinct(), "doc_id")
+    assert 40 <= left.count() < 100
+
+
+def test_a_shard_learns_alike_with_its_own_embeddings_alone():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 500, (n, 2), np.int32) for n in (0, 3, 30, 80, 11)] * 20
+    toxic = np.arange(100, dtype=np.float32) % 2
+    whole = toxicity.start(np.arange(3, 5000))
+    part, rows = toxicity.part_for(whole, docs)
+    assert len(part.embedding) == len(rows) <= 498
+    before = toxicity.flat(whole)
+    for m in (part, whole):
+        toxicity.learn(m, docs, toxic, np.ones(100, np.float32), 0)
+    rest = np.delete(whole.embedding, rows, axis=0)
+    assert (whole.embedding[rows] == part.embedding).all() and (rest == np.delete(before[: len(whole.embedding)], rows, axis=0)).all()
+    assert (toxicity.flat(whole)[len(whole.embedding) :] == toxicity.flat(part)[len(rows) :]).all()
