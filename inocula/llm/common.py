@@ -116,13 +116,18 @@ def held(key, make):
     its own; asking for another key drops the one held and gives its memory back.
     """
     if key not in _held:
-        if _held:
-            _held.clear()
-            give_back()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
+def let_go() -> None:
+    """Drop what an earlier step's tasks left ``held`` in this worker."""
+    if _held:
+        _held.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system (Arrow's pool, then malloc's)."""
     pa.default_memory_pool().release_unused()

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.bloom import key_filter, possibly_in
-from .common import discard, give_back, map_texts, release, short_lived_shuffles, stored, utf8, values, words
+from .common import discard, give_back, let_go, map_texts, release, short_lived_shuffles, stored, utf8, values, words
 
 BUCKETS = 1 << 18
 STEM = 5
@@ -318,6 +318,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str
     """(label, lang, h, x): the hashed words of every labelled text, equal rows once."""
 
     def hashed(texts: list[bytes]) -> list[pa.Array]:
+        let_go()
         return [pa.array([hash_words(t).tobytes() for t in texts], pa.binary())]
 
     labels = labels.select(id_col, F.col(label_col).cast("int").alias("label")).filter(
@@ -358,6 +359,7 @@ def learn_round(rows: DataFrame, model: ToxicityModel, count: dict[int, int], sh
     fields = [f"d{i}" for i in range(DIM)]
 
     def shard(table: pa.Table) -> pa.Table:
+        let_go()
         toxic = table.column("label").to_numpy().astype(np.float32)
         order = np.lexsort([toxic, table.column("h").to_numpy()])
         docs, toxic = _hashed(table.column("x")), toxic[order]

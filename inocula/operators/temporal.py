@@ -48,9 +48,8 @@ def count_prior_pairs(
     equal ``key`` and ``event_date <= probe_date``.
 
     ``labels``: the complete, small set of event labels, if the caller knows
-    it.  One running count per label is then kept as a column, which saves the
-    label/probe-day join and its shuffles; a label outside the set ends the
-    query with an error, and NULL labels are not counted.
+    it.  One running count per label is then kept as a column; a label outside
+    the set ends the query with an error, and NULL labels are not counted.
 
     Same counts as ``SELECT e.label, p.label, COUNT(*) FROM events e JOIN
     probes p ON e.key = p.key AND e.date <= p.date GROUP BY 1, 2`` (pairs
@@ -80,30 +79,35 @@ def _pairs_of(counted: DataFrame, event_label: str, probe_label: str, alias: str
 def _collapsed_pairs(e: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
     """(_el, _pl, _n): pairs of equal ``keys`` with the event's ``_d`` not after the probe's, from
     the collapsed sides (keys, _el, _d, _ne) and (keys, _pl, _d, _np)."""
-    # 2. probe dates, one per (key, event label present for that key, date).
-    # Derived from the collapsed sides with a real aggregate (a bare
-    # distinct would be rewritten into a second aggregation of the source);
-    # this way the sources are scanned once and their exchange is reused.
-    labels = e.groupBy(*keys, "_el").agg(F.sum("_ne").alias("_x")).where(F.col("_x") > 0).drop("_x")
-    days = p.groupBy(*keys, "_d").agg(F.sum("_np").alias("_x")).where(F.col("_x") > 0).drop("_x")
-    probe_days = days.join(labels, keys)
-    # 3. running count of events per (key, event label) as of each probe date
-    u = e.select(*keys, "_el", "_d", F.lit(0).alias(_KIND), "_ne").unionByName(
-        probe_days.select(*keys, "_el", "_d", F.lit(1).alias(_KIND), F.lit(0).cast("bigint").alias("_ne"))
+    # 2. both sides dealt by key once; every step below works on a key's own
+    # rows, so none of them shuffles again before the pairs are summed
+    e, p = e.repartition(*keys), p.repartition(*keys)
+    # 3. each probe group once per event label present for its key.  A real
+    # aggregate (a bare distinct would be rewritten into a second aggregation
+    # of the source) over all columns: the sources are scanned once and their
+    # exchange is reused
+    labels = (
+        e.groupBy(*keys, "_el")
+        .agg(F.sum("_ne").alias("_x"), F.max("_d").alias("_last"))
+        .where((F.col("_x") > 0) & F.col("_last").isNotNull())
+        .drop("_x", "_last")
     )
+    label_type = p.schema["_pl"].dataType
+    u = e.select(
+        *keys, "_el", "_d", F.lit(0).alias(_KIND), "_ne", F.lit(None).cast(label_type).alias("_pl"), F.lit(0).cast("bigint").alias("_np")
+    ).unionByName(
+        p.join(labels, keys).select(*keys, "_el", "_d", F.lit(1).alias(_KIND), F.lit(0).cast("bigint").alias("_ne"), "_pl", "_np")
+    )
+    # 4. running count of events per (key, event label) as of each probe group,
+    # weighted by its probes and summed per label pair
     w = (
         Window.partitionBy(*keys, "_el")
         .orderBy("_d", _KIND)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    prior = (
+    return (
         u.withColumn("_prior", F.sum("_ne").over(w))
         .where((F.col(_KIND) == 1) & (F.col("_prior") > 0))
-        .select(*keys, "_d", "_el", "_prior")
-    )
-    # 4. weight each probe group by the events before it, sum per label pair
-    return (
-        p.join(prior, [*keys, "_d"])
         .groupBy("_el", "_pl")
         .agg(F.sum(F.col("_np") * F.col("_prior")).cast("bigint").alias("_n"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -137,3 +138,14 @@ def test_count_std_exact(spark):
     # order and partitioning do not change a single bit
     assert count_std(df.repartition(7), "c").first()[0] == sd
     assert count_std(df.limit(1), "c").first()[0] is None
+
+
+def test_prior_pairs_are_dealt_by_key_once(spark):
+    """Each side is collapsed, dealt by key, and summed: no further shuffle between."""
+    day = d("2024-01-01")
+    ev = spark.createDataFrame([("a", day, "x"), ("a", day, None)], "k string, d date, l string")
+    pr = spark.createDataFrame([("a", day, "p"), ("a", day, "p"), ("b", day, None)], "k string, d date, s string")
+    pairs = count_prior_pairs(ev, pr, "k", "d", "d", "l", "s")
+    assert {tuple(r) for r in pairs.collect()} == {("x", "p", 2), (None, "p", 2)}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"Exchange hashpartitioning.*plan_id=(\d+)", plan.split("== Initial Plan ==")[0]))) == 5
