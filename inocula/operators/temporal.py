@@ -43,6 +43,7 @@ def count_prior_pairs(
     probe_label: str,
     alias: str = "frequency",
     labels: Sequence | None = None,
+    bucketed: bool = False,
 ) -> DataFrame:
     """Per (event_label, probe_label): the number of (event, probe) pairs with
     equal ``key`` and ``event_date <= probe_date``.
@@ -51,6 +52,8 @@ def count_prior_pairs(
     it.  One running count per label is then kept as a column; a label outside
     the set ends the query with an error, and NULL labels are not counted.
 
+    ``bucketed``: both sides lie bucketed by ``key`` and are not dealt anew.
+
     Same counts as ``SELECT e.label, p.label, COUNT(*) FROM events e JOIN
     probes p ON e.key = p.key AND e.date <= p.date GROUP BY 1, 2`` (pairs
     with a NULL key or date never match; label groups with no pair are
@@ -69,19 +72,20 @@ def count_prior_pairs(
     p = pr.groupBy(F.col(key).alias("_k"), F.col(probe_label).alias("_pl"), F.col(probe_date).alias("_d")).agg(
         F.count(F.lit(1)).alias("_np")
     )
-    return _pairs_of(_collapsed_pairs(e, p, ["_k"]), event_label, probe_label, alias)
+    return _pairs_of(_collapsed_pairs(e, p, ["_k"], bucketed), event_label, probe_label, alias)
 
 
 def _pairs_of(counted: DataFrame, event_label: str, probe_label: str, alias: str) -> DataFrame:
     return counted.select(F.col("_el").alias(event_label), F.col("_pl").alias(probe_label), F.col("_n").alias(alias))
 
 
-def _collapsed_pairs(e: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
+def _collapsed_pairs(e: DataFrame, p: DataFrame, keys: list[str], dealt: bool = False) -> DataFrame:
     """(_el, _pl, _n): pairs of equal ``keys`` with the event's ``_d`` not after the probe's, from
     the collapsed sides (keys, _el, _d, _ne) and (keys, _pl, _d, _np)."""
     # 2. both sides dealt by key once; every step below works on a key's own
     # rows, so none of them shuffles again before the pairs are summed
-    e, p = e.repartition(*keys), p.repartition(*keys)
+    if not dealt:
+        e, p = e.repartition(*keys), p.repartition(*keys)
     # 3. each probe group once per event label present for its key.  A real
     # aggregate (a bare distinct would be rewritten into a second aggregation
     # of the source) over all columns: the sources are scanned once and their

@@ -146,7 +146,9 @@ def _vaccine_symptom_pairs(t: Tables, symptom_col: str) -> DataFrame:
     dg = t["diagnosis"].join(s, F.col("symptom") == F.col("_sn")).select(
         "ssno", "date", F.col("symptom").alias(symptom_col)
     )
-    return count_prior_pairs(dz, dg, "ssno", "date", "date", "id", symptom_col, alias="frequency")
+    # catalogue tables lie bucketed by person
+    bucketed = getattr(t, "most_event_bytes", 0) > 0
+    return count_prior_pairs(dz, dg, "ssno", "date", "date", "id", symptom_col, alias="frequency", bucketed=bucketed)
 
 
 def q7_symptom_frequency(t: Tables) -> DataFrame:
