@@ -126,21 +126,54 @@ def _row_rules(spec: TableSpec) -> list[tuple[str, str, F.Column]]:
 
 
 def _orphan_rows(child: DataFrame, parent: DataFrame, cols, pcols) -> DataFrame:
-    """Distinct orphan references of the child with their row counts (``_n``).
+    """Orphan references of the child with their row counts (``_n``).
 
-    The child is first collapsed to one row per distinct reference (partial
-    aggregation absorbs hot keys); only those keys meet the parent.
+    For a one-column reference the child is first collapsed to one row per
+    distinct reference (partial aggregation absorbs hot keys); only those keys
+    meet the parent.  References of several columns repeat too little within a
+    task for that: their rows are looked up as they are in a hash table of the
+    parent's keys, without a sort, and a hot key's rows can be split.
     """
     cc, pc = list(cols), list(pcols)
-    refs = child.where(_all_not_null(cc)).groupBy(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cc)]).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    refs = child.where(_all_not_null(cc)).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cc)])
     keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(pc)]).distinct()
+    if len(cc) == 1:
+        # an outer join, as the optimizer puts an anti join below the grouping
+        counted = refs.groupBy("_c0").agg(F.count(F.lit(1)).alias("_n"))
+        return counted.join(keys, counted["_c0"] == keys["_p0"], "left").where(keys["_p0"].isNull()).select("_c0", "_n")
     cond = None
     for i in range(len(cc)):
         e = refs[f"_c{i}"] == keys[f"_p{i}"]
         cond = e if cond is None else cond & e
-    return refs.join(keys, cond, "left_anti")
+    return refs.withColumn("_n", F.lit(1)).join(keys.hint("shuffle_hash"), cond, "left_anti")
+
+
+SUSPECT_WORDS = 1 << 14  # of 64 bits each: the filter of hashes that occur twice
+
+
+def _suspect_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The key columns of every row whose key may occur more than once, and of few others.
+
+    Only 8-byte hashes of the keys are counted.  Those that occur twice set bits of
+    a filter of fixed size; where none does, or a row's bit is not set, its key is
+    unique.  Equal keys have equal hashes, so none is lost.
+    """
+    keyed = df.where(_all_not_null(keys)).select(*keys)
+    h = F.xxhash64(*keys)
+    one = F.lit(1).cast("bigint")
+
+    def place(col, mask: int, shift: int):
+        return F.shiftrightunsigned(col, shift).bitwiseAND(F.lit(mask).cast("bigint")).cast("int")
+
+    word, bit = lambda c: place(c, SUSPECT_WORDS - 1, 6), lambda c: place(c, 63, 0)
+    twice = keyed.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    found = twice.select(word(F.col("_h")).alias("_w"), F.call_function("shiftleft", one, bit(F.col("_h"))).alias("_b"))
+    zero = df.sparkSession.range(SUSPECT_WORDS).select(F.col("id").cast("int").alias("_w"), F.lit(0).cast("bigint").alias("_b"))
+    words = found.unionByName(zero).groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+    bits = F.transform(F.array_sort(F.collect_list(F.struct("_w", "_b"))), lambda x: x["_b"])
+    # NULL if no bit is set: then no row's hash need be taken again
+    seen = words.agg(F.when(F.bit_or("_b") != 0, bits).alias("_bits")).scalar()
+    return keyed.where(F.call_function("getbit", F.get(seen, word(h)), bit(h)) == 1)
 
 
 _TAG = ("table", "rule", "detail")
@@ -155,9 +188,10 @@ def audit_summary(tables: dict[str, DataFrame], names: Sequence[str] | None = No
 
     All rules feed one final aggregate: row-local rules (NULL key part,
     CHECK, width, NOT NULL) are conditional counts in one pass per table; each
-    key rule emits one row per duplicated key value (one grouped aggregate);
-    each foreign key emits its orphan references with their row counts (one
-    anti join over distinct references).  The tagged rows are summed per
+    key rule emits one row per duplicated key value (one grouped aggregate, of
+    keys of several columns only over rows whose hash occurs twice); each
+    foreign key emits its orphan references with their row counts (one anti
+    join).  The tagged rows are summed per
     rule in a single shuffle and laid over the list of declared rules, so a
     rule without violations reads 0.  Key rules count duplicated key values;
     the others count violating rows.
@@ -187,7 +221,9 @@ def audit_summary(tables: dict[str, DataFrame], names: Sequence[str] | None = No
         key_rules = [("primary_key_duplicate", list(spec.primary_key))] + [("unique", list(u)) for u in spec.unique]
         for kind, keys in key_rules:
             declared.append((name, kind, ",".join(keys)))
-            parts.append(_tagged(duplicate_keys(df, keys), name, kind, ",".join(keys), F.lit(1).cast("bigint")))
+            # hashes of wide keys are much cheaper to group than the keys
+            rows = _suspect_rows(df, keys) if len(keys) > 1 else df
+            parts.append(_tagged(duplicate_keys(rows, keys), name, kind, ",".join(keys), F.lit(1).cast("bigint")))
         for fk in spec.foreign_keys:
             if fk.parent in tables:
                 detail = f"{','.join(fk.columns)}->{fk.parent}"

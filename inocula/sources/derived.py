@@ -9,13 +9,15 @@ Scale notes: the dimension-side inputs (region, nation, supplier) are tiny and
 joined by size (AQE broadcast); every fact-side derivation (vaccination,
 attends, transportationlog, diagnosis) is a grouped aggregate with map-side
 partial aggregation, so a hot supplier/customer never lands whole in one task.
+Groups by facility name use a number of the name, which is short to hash and
+shuffle.
 The supplier count ``N`` is a one-row global aggregate, used as a scalar
 subquery (evaluated once, inlined as a value).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import TABLES
@@ -42,6 +44,9 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+NAME_RANGES = 64  # of the suppliers' names, each ranked by itself
+
+
 def _key(prefix: str, col) -> F.Column:
     return F.concat(F.lit(prefix), F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
 
@@ -168,41 +173,60 @@ class DerivedTables:
             "shift",
         )
 
+    def _supplier_names(self) -> DataFrame:
+        """(s_suppkey, s_name, _name): suppliers with a number of their name, in the names' order.
+
+        Names are cut into ranges at some of them, chosen by hash, and ranked
+        within their range: equal names have one number, others differ, the same
+        on every run, and no task ranks all names.
+        """
+        s = self.raw("supplier").select("s_suppkey", "s_name")
+        spread = F.xxhash64("s_name")
+        chosen = s.groupBy(F.pmod(spread, F.lit(NAME_RANGES)).alias("_b")).agg(F.min_by("s_name", spread).alias("_at"))
+        cuts = chosen.agg(F.collect_list("_at").alias("_cuts")).scalar()
+        place = F.array_position(F.sort_array(F.array_append(cuts, F.col("s_name"))), F.col("s_name"))
+        s = s.withColumn("_range", F.coalesce(place, F.lit(0)))
+        rank = F.dense_rank().over(Window.partitionBy("_range").orderBy("s_name"))
+        return s.select("s_suppkey", "s_name", (F.shiftleft("_range", 40) + rank).alias("_name"))
+
+    def _named(self, df: DataFrame, number: str = "_name", name: str = "healthcarefacilityname") -> DataFrame:
+        """``df`` with the facility name that a number stands for."""
+        names = self._supplier_names().select(F.col("_name").alias(number), F.col("s_name").alias(name)).distinct()
+        return df.join(names, number, "left")
+
     def _line_supplier(self) -> DataFrame:
-        l, s = self.raw("lineitem"), self.raw("supplier")
-        return l.join(s.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+        l, s = self.raw("lineitem"), self._supplier_names()
+        return l.join(s.select("s_suppkey", "_name"), F.col("l_suppkey") == F.col("s_suppkey"))
 
     @staticmethod
     def _month_start(ts: str) -> F.Column:
         return F.trunc(F.col(ts).cast("date"), "month")
 
     def vaccination(self) -> DataFrame:
-        ls = self._line_supplier()
-        return _conform(
-            ls.groupBy(
-                self._month_start("l_shipdate").alias("date"),
-                F.col("s_name").alias("healthcarefacilityname"),
-            ).agg(_key("B", F.min("l_partkey")).alias("batchid")),
-            "vaccination",
+        events = (
+            self._line_supplier()
+            .groupBy(self._month_start("l_shipdate").alias("date"), "_name")
+            .agg(F.min("l_partkey").alias("_part"))
         )
+        return _conform(self._named(events).withColumn("batchid", _key("B", "_part")), "vaccination")
 
     def attends(self) -> DataFrame:
-        l, o, s = self.raw("lineitem"), self.raw("orders"), self.raw("supplier")
+        o = self.raw("orders")
         # every line is an attendance: customers attend in pairs under the even
         # key, so odd patients have none; some attendees are not patients
         ck = F.col("o_custkey")
-        attendee = F.when(ck % 97 == 1, _key("X", "o_custkey")).otherwise(_key("P", ck - ck % 2))
-        j = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(
-            s.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")
-        )
-        return _conform(
-            j.select(
-                self._month_start("l_shipdate").alias("date"),
-                F.col("s_name").alias("healthcarefacilityname"),
-                attendee.alias("ssno"),
-            ).distinct(),
-            "attends",
+        even, stranger = ck - ck % 2, ck % 97 == 1
+        # one customer key for each attendee, of whom it gives the name again
+        one = F.when(stranger | (even % 97 == 1), ck).otherwise(even)
+        attendee = F.when(stranger, _key("X", "o_custkey")).otherwise(_key("P", even))
+        met = (
+            self._line_supplier()
+            # an order's key is its own: its side is a hash table, and the lines need no sort
+            .join(o.select("o_orderkey", "o_custkey").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(self._month_start("l_shipdate").alias("date"), "_name", one.alias("o_custkey"))
+            .distinct()
         )
+        return _conform(self._named(met).withColumn("ssno", attendee), "attends")
 
     @staticmethod
     def _symptom_name() -> F.Column:
@@ -230,24 +254,24 @@ class DerivedTables:
         )
 
     def transportationlog(self) -> DataFrame:
-        l, s = self.raw("lineitem"), self.raw("supplier")
-        l = l.withColumn("_tk", (F.col("l_suppkey") + F.col("l_linenumber")) % self._supplier_count().scalar())
-        f = s.select(F.col("s_suppkey").alias("f_key"), F.col("s_name").alias("f_name"))
-        t = s.select(F.col("s_suppkey").alias("t_key"), F.col("s_name").alias("t_name"))
-        j = l.join(f, F.col("l_suppkey") == F.col("f_key")).join(t, F.col("_tk") == F.col("t_key"))
-        return _conform(
-            j.groupBy(
-                _key("B", "l_partkey").alias("batchid"),
-                F.col("f_name").alias("fromlocation"),
-                F.col("l_shipdate").cast("date").alias("departuredate"),
-            ).agg(
-                F.min("t_name").alias("tolocation"),
-                F.min(
-                    F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_orderkey") % 3).cast("int"))
-                ).alias("arrivaldate"),
-            ),
-            "transportationlog",
+        day = F.col("l_shipdate").cast("date")
+        named = F.when(F.col("s_name").isNotNull(), F.col("_name"))
+        t = self._supplier_names().select(F.col("s_suppkey").alias("t_key"), named.alias("_to"))
+        to = (F.col("l_suppkey") + F.col("l_linenumber")) % self._supplier_count().scalar()
+        trips = (
+            self._line_supplier()
+            .join(t, to == F.col("t_key"))
+            .groupBy("l_partkey", "_name", day.alias("departuredate"))
+            .agg(
+                # numbers in the order of the names: a least text would be found by sorting all lines
+                F.min("_to").alias("_to"),
+                F.min(F.date_add(day, (F.col("l_orderkey") % 3).cast("int"))).alias("arrivaldate"),
+            )
         )
+        trips = self._named(self._named(trips, "_name", "fromlocation"), "_to", "tolocation")
+        # a batch's trips side by side: files half as large, and quicker to group by batch
+        trips = trips.sortWithinPartitions("l_partkey")
+        return _conform(trips.withColumn("batchid", _key("B", "l_partkey")), "transportationlog")
 
     def tables(self) -> dict[str, DataFrame]:
         return LazyTables({name: getattr(self, name) for name in TABLES})
