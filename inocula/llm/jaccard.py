@@ -57,7 +57,7 @@ HASHES = 4  # min-hash values of a node
 STAR_HASHES = 1  # of them that must agree before two nodes are compared for grouping
 ORDER_SAMPLE = 16
 CELL_BITS = 26
-CACHE = 1 << 18
+CACHE = 1 << 16  # words whose hashes a worker keeps, about 8 MB
 
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -147,6 +147,10 @@ def _longs(rows: list[np.ndarray]) -> pa.Array:
 
 # ---- steps ---------------------------------------------------------------------
 
+# Functions whose result is exploded or joined on are called non-deterministic: Spark
+# would copy the call into the filters that it infers from the explode or the join, and
+# run it twice, each time in Python workers of its own.
+
 
 def common_tokens(docs: DataFrame, text_col: str, n_words: int):
     """Bitmap of the tokens that many documents have."""
@@ -158,7 +162,8 @@ def common_tokens(docs: DataFrame, text_col: str, n_words: int):
 
     counts = (
         docs.filter(F.pmod(F.xxhash64(text_col), F.lit(ORDER_SAMPLE)) == 0)
-        .select(F.explode(tokens(utf8(text_col))).alias("token"))
+        .select(tokens.asNondeterministic()(utf8(text_col)).alias("tokens"))
+        .select(F.explode("tokens").alias("token"))
         .groupBy(cell(F.col("token")).alias("cell"))
         .count()
     )
@@ -229,7 +234,7 @@ def links_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
 
     # one key for id and text, null ids too, that joins and groups: texts are dealt once
     source = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
-    source = source.filter(may_be_needed("tkey")).withColumn("row", F.xxhash64("tkey", "id"))
+    source = source.filter(may_be_needed.asNondeterministic()("tkey")).withColumn("row", F.xxhash64("tkey", "id"))
     asked = need.select("digest", "rep", F.col("tkey").alias("t"), F.xxhash64("tkey", "rep").alias("row"))
     texts = stored(
         source.join(asked, "row")
@@ -348,13 +353,14 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 sets = [np.frombuffer(p, np.uint64) for p in values(a)]
                 yield _longs([s if bits is None else s[in_bitmap(bits.value, s)] for s in sets])
 
-        return tokens("prefix")
+        return tokens.asNondeterministic()("prefix")
 
     # tokens of one group only cannot let anything through; 32 bits of a token tell
     # most of those apart, and one that they do not goes on to be joined
     own = stored(own, "prefixes")
     between = (
-        own.select("g", F.explode(tokens_of(None)).alias("token"))
+        own.select("g", tokens_of(None).alias("tokens"))
+        .select("g", F.explode("tokens").alias("token"))
         .groupBy(F.shiftright(F.shiftleft("token", 32), 32).cast("int").alias("token"))
         .agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
         .filter("lo != hi")
