@@ -57,7 +57,7 @@ HASHES = 4  # min-hash values of a node
 STAR_HASHES = 1  # of them that must agree before two nodes are compared for grouping
 ORDER_SAMPLE = 16
 CELL_BITS = 26
-CACHE = 1 << 16  # words whose hashes a worker keeps, about 8 MB
+CACHE = 1 << 16  # words whose hashes a worker keeps
 
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
